@@ -1,3 +1,5 @@
 """Operators for training data. Nothing outside this subpackage imports it."""
 
-MODULES: list = []
+from corpusflow.llm import split
+
+MODULES = [split]
