@@ -1,5 +1,5 @@
 """Operators for training data. Nothing outside this subpackage imports it."""
 
-from corpusflow.llm import split
+from corpusflow.llm import leakage, split
 
-MODULES = [split]
+MODULES = [split, leakage]
