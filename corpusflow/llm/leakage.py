@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -211,6 +212,19 @@ def _promising(a: np.ndarray, b: np.ndarray, g: np.ndarray, q: np.ndarray, need:
 _LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("char_from", T.IntegerType()), T.StructField("char_to", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("n_edits", T.IntegerType())])
 
 
+def _finder(held: Broadcast):
+    @F.pandas_udf(T.ArrayType(_LEAK))
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index, cache = ItemIndex(held.value), {}
+        for s in batches:
+            found = []
+            for lo in range(0, len(s), 500):
+                found += scan(index, cache, s.iloc[lo : lo + 500].tolist())
+            yield pd.Series(found, dtype=object)
+
+    return find
+
+
 def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, block_chars: int = 32_000_000) -> DataFrame:
     """Stretches of ``docs.text`` that come from an item's passage: ``doc_id, item_id, char_from, char_to, n_words, n_edits``.
 
@@ -228,17 +242,7 @@ def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     for k in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast([(r.i, r.p) for r in part.collect()])
-
-        @F.pandas_udf(T.ArrayType(_LEAK))
-        def find(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            index, cache = ItemIndex(held.value), {}
-            for s in batches:
-                found = []
-                for lo in range(0, len(s), 500):
-                    found += scan(index, cache, s.iloc[lo : lo + 500].tolist())
-                yield pd.Series(found, dtype=object)
-
-        part_out = rows.select("d", F.explode(find("t")).alias("l"))
+        part_out = rows.select("d", F.explode(_finder(held)("t")).alias("l"))
         out = part_out if out is None else out.unionByName(part_out)
     return out.select(F.col("d").alias(doc_id), *[F.col(f"l.{f}").alias(f) for f in _LEAK.names])
 
