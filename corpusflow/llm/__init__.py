@@ -1,5 +1,5 @@
 """Operators for training data. Nothing outside this subpackage imports it."""
 
-from corpusflow.llm import leakage, split
+from corpusflow.llm import language, leakage, split
 
-MODULES = [split, leakage]
+MODULES = [split, leakage, language]

@@ -56,3 +56,27 @@ def match_form(word: str) -> str:
     if not w.isascii():
         w = "".join(c for c in w if not invisible(c))
     return unicodedata.normalize("NFC", w.casefold()).translate(CASELESS).replace("_", "")
+
+
+def script(ch: str) -> str:
+    """L, G or C for a Latin, Greek or Cyrillic letter; empty for anything else."""
+    o = ord(ch)
+    if o < 0x250 or 0x1E00 <= o < 0x1F00 or 0xA720 <= o < 0xA800:
+        return "L" if ch.isalpha() else ""
+    if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
+        return "G" if ch.isalpha() else ""
+    return "C" if (0x400 <= o < 0x530 or 0x1C80 <= o < 0x1C90) and ch.isalpha() else ""
+
+
+#: Character -> its look-alikes by script.
+IN_SCRIPT = {c: {script(x): x for x in reversed(group)} for group in [*LOOKALIKES, *ACCENTED] for c in group}
+
+
+def one_script(word: str) -> str:
+    """A word of several scripts in the one that most of its distinctive letters have, as far as look-alikes exist."""
+    scripts = [script(c) for c in word]
+    if len({x for x in scripts if x}) < 2:
+        return word
+    own = [x for c, x in zip(word, scripts) if x and c not in IN_SCRIPT] or [x for x in scripts if x]
+    want = max(sorted(set(own)), key=own.count)
+    return "".join(IN_SCRIPT[c].get(want, c) if c in IN_SCRIPT else c for c in word)
