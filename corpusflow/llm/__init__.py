@@ -1,5 +1,5 @@
 """Operators for training data. Nothing outside this subpackage imports it."""
 
-from corpusflow.llm import language, leakage, split
+from corpusflow.llm import language, leakage, packing, split
 
-MODULES = [split, leakage, language]
+MODULES = [split, packing, leakage, language]
