@@ -1,5 +1,5 @@
 """Operators for training data. Nothing outside this subpackage imports it."""
 
-from corpusflow.llm import language, leakage, packing, split
+from corpusflow.llm import language, leakage, lookalike, packing, split
 
-MODULES = [split, packing, leakage, language]
+MODULES = [split, lookalike, packing, leakage, language]

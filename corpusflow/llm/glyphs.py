@@ -6,7 +6,7 @@ import unicodedata
 
 #: Letters that look the same in Latin, Greek and Cyrillic type; the first of each group stands for it where one must.
 LOOKALIKES = """
-aаα bЬ cсϲ dԁ eеє gɡ hһ iіιı jјϳ kκ lӏ oоοօ pрρ qԛ sѕ uυ vνѵ wԝω xхχ yуγ
+aаα cсϲ dԁ eе hһ iіι jјϳ kκ lӏ oоοօ pрρ qԛ sѕ uυ vνѵ wԝω xхχ yуγ
 AАΑ BВΒ CСϹ EЕΕ FϜ GԌ HНΗ IІΙӀ JЈͿ KКΚ MМΜ NΝ OОΟՕ PРΡ QԚ SЅ TТΤ VѴ WԜ XХΧ YҮΥ ZΖ
 """.split()
 #: Accented letters that Latin and Cyrillic share, as composed characters.
