@@ -1,5 +1,5 @@
 """Operators for training data. Nothing outside this subpackage imports it."""
 
-from corpusflow.llm import language, leakage, lookalike, packing, split, truncation
+from corpusflow.llm import alignment, language, leakage, lookalike, packing, split, truncation
 
-MODULES = [split, truncation, lookalike, packing, leakage, language]
+MODULES = [split, alignment, truncation, lookalike, packing, leakage, language]
