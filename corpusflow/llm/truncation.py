@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.llm.language import sentences
-from corpusflow.session import table
+from corpusflow.session import cut_lineage, table
 
 #: Words of context: all since the start of the sentence up to this many, beyond it the last two.
 CONTEXT = 4
@@ -72,6 +72,11 @@ def _context(words: list[str], i: int) -> str:
     return "^ " + " ".join(words[:i]) if i <= CONTEXT else " ".join(words[i - 2 : i])
 
 
+def _any(word: str) -> str:
+    """The context that stands for any; words are kept apart by their first two characters."""
+    return "~" + word[:2]
+
+
 def tail(text: str) -> tuple[str, str, str] | None:
     """``(ending, context, last word or its beginning)`` of a candidate; None for a finished text."""
     kind, core = ending(text)
@@ -101,7 +106,7 @@ def count_tails(texts: list[str | None], total: Counter) -> None:
                 last = len(words) - 1 if _ENDED.search(s) or s.endswith("…") else -1
             for i, w in enumerate(words):
                 total[_context(words, i), w, i == last] += 1
-                total["", w, i == last] += 1
+                total[_any(w), w, i == last] += 1
 
 
 _TAIL = T.StructType([T.StructField("kind", T.StringType()), T.StructField("ctx", T.StringType()), T.StructField("last", T.StringType())])
@@ -118,27 +123,34 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: Counter = Counter()
 
     def out() -> pd.DataFrame:
-        frame = pd.DataFrame([(c, w, e, n) for (c, w, e), n in total.items()], columns=["ctx", "w", "e", "n"])
+        frame = pd.DataFrame([(c, w, n, n if e else 0) for (c, w, e), n in total.items()], columns=["ctx", "w", "n", "ends"])
         total.clear()
         return frame
 
     for b in batches:
         for lo in range(0, len(b), 200):
             count_tails(b["t"].iloc[lo : lo + 200].tolist(), total)
-            if len(total) > 400_000:
+            if len(total) > 150_000:
                 yield out()
     yield out()
 
 
-def tail_counts(values: DataFrame, text: str) -> DataFrame:
-    """``ctx, last, n_longer, n_end``: how often a word with the beginning ``last`` after ``ctx`` goes on, and how often ``last`` ends a
-    sentence there. Context "" stands for any."""
-    words = values.select(F.col(text).alias("t")).mapInPandas(_counted, "ctx string, w string, e boolean, n long").groupBy("ctx", "w").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("e"), F.col("n")).otherwise(0)).alias("ends"))
-    starts = words.select("ctx", "w", "n", "ends", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("k"))
+def tail_counts(values: DataFrame, text: str, asked: DataFrame) -> DataFrame:
+    """``c, last, n_longer, n_end, n_word`` for the contexts ``c`` (hashes) of ``asked``: how often a word with the beginning ``last``
+    goes on there, how often ``last`` ends a sentence, and how often it stands as a word.
+
+    Counts leave the tasks added up, and of those only the contexts asked for, with beginnings of the lengths asked for there; one
+    exchange by context serves all steps after it.
+    """
+    words = values.select(F.col(text).alias("t")).mapInPandas(_counted, "ctx string, w string, n long, ends long").select(F.xxhash64("ctx").alias("c"), "w", "n", "ends")
+    # As many lengths as a word has letters.
+    lengths = asked.groupBy("c").agg(F.collect_set(F.length("last")).alias("ks"))
+    words = words.join(lengths, "c").groupBy("c", "w").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.first("ks").alias("ks"))
+    starts = words.select("c", "w", "n", "ends", F.explode(F.filter("ks", lambda k: k <= F.length("w"))).alias("k"))
     whole = F.col("k") == F.length("w")
     return (
-        starts.select("ctx", F.substring("w", F.lit(1), F.col("k")).alias("last"), F.when(whole, F.col("n") - F.col("ends")).otherwise(F.col("n")).alias("longer"), F.when(whole, F.col("ends")).otherwise(0).alias("end"), F.when(whole, F.col("n")).otherwise(0).alias("word"))
-        .groupBy("ctx", "last")
+        starts.select("c", F.substring("w", F.lit(1), F.col("k")).alias("last"), F.when(whole, F.col("n") - F.col("ends")).otherwise(F.col("n")).alias("longer"), F.when(whole, F.col("ends")).otherwise(0).alias("end"), F.when(whole, F.col("n")).otherwise(0).alias("word"))
+        .groupBy("c", "last")
         .agg(F.sum("longer").alias("n_longer"), F.sum("end").alias("n_end"), F.sum("word").alias("n_word"))
     )
 
@@ -149,14 +161,13 @@ def truncated(values: DataFrame, keys: list[str], text: str) -> DataFrame:
     ``n_longer`` and ``n_end`` count, over all values, the longer copies of the tail and the sentences it ends; ``n_word`` counts the
     tail's last word as a whole word anywhere. ``cut`` tells whether the value was cut: it ends inside a word or sentence; or with an
     ellipsis after a tail that goes on elsewhere (as a word's beginning, or SURE times) and never ends a sentence; or in a list or verse with the beginning of a word that
-    nowhere stands whole. Finished values, nulls and empty texts give no row; repeated rows repeat; an empty table gives none.
+    nowhere stands whole. Finished values, nulls and empty texts give no row; repeated rows give one; an empty table gives none.
     """
-    cand = values.select(F.struct(*keys).alias("k"), _tails(F.col(text)).alias("x")).where("x.kind IS NOT NULL").select("k", "x.*")
-    counts = tail_counts(values, text)
-    # The same counts serve the tail in its context and the word in any; a candidate asks twice.
-    asked = cand.select("k", "kind", "ctx", "last", F.explode(F.array(F.struct(F.col("ctx").alias("c"), F.lit(0).alias("any")), F.struct(F.lit("").alias("c"), F.lit(1).alias("any")))).alias("q")).select("k", "kind", "ctx", "last", F.col("q.c").alias("c"), F.col("q.any").alias("any"))
-    named = counts.withColumnsRenamed({"ctx": "c"})
-    got = asked.join(named, ["c", "last"], "left").groupBy("k", "kind", "ctx", "last").agg(
+    cand = cut_lineage(values.select(F.struct(*keys).alias("k"), _tails(F.col(text)).alias("x")).where("x.kind IS NOT NULL").select("k", "x.*"))
+    # A candidate asks for its tail in its context, and where that may not decide, for its last word in any; one letter tells nothing.
+    contexts = F.array(F.struct(F.xxhash64("ctx").alias("c"), F.lit(0).alias("any")), F.struct(F.xxhash64(F.concat(F.lit("~"), F.substring("last", 1, 2))).alias("c"), F.lit(1).alias("any")))
+    asked = cand.select("k", "kind", "last", F.explode(F.when((F.length("last") < 2) | (F.col("kind") == "open"), F.slice(contexts, 1, 1)).otherwise(contexts)).alias("q")).select("k", "kind", "last", "q.c", "q.any")
+    got = asked.join(tail_counts(values, text, asked), ["c", "last"], "left").groupBy("k", "kind", "last").agg(
         *[F.coalesce(F.max(F.when(F.col("any") == a, F.col(n))), F.lit(0)).alias(f"{n}_{a}") for n in ("n_longer", "n_end", "n_word") for a in (0, 1)]
     )
     goes_on = (F.col("n_longer_0") >= SURE) | (F.col("n_longer_0") > 0) & (F.col("n_word_0") == 0)
