@@ -22,6 +22,19 @@ def invisible(ch: str) -> bool:
     return ch in INVISIBLE or "︀" <= ch <= "️" or unicodedata.category(ch) == "Cf"
 
 
+def hidden_class() -> str:
+    """The invisible characters as a class for a regular expression."""
+    runs, start = [], None
+    for o in range(0x80, 0xE0200):
+        if 0xD800 <= o < 0xE000 or 0x20000 <= o < 0xE0000 or not invisible(chr(o)):
+            if start is not None:
+                runs.append((start, o - 1))
+                start = None
+        elif start is None:
+            start = o
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+
 def _alike() -> dict[str, str]:
     return {ch: group[0] for group in [*LOOKALIKES, *ACCENTED] for ch in group}
 

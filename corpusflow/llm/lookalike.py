@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.core.broadcast import Broadcast
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.glyphs import HYPHENS, IN_SCRIPT, PROTOTYPE, invisible, script
+from corpusflow.llm.glyphs import HYPHENS, IN_SCRIPT, PROTOTYPE, hidden_class, script
 from corpusflow.session import table
 
 SCRIPTS = "LCG"
@@ -29,8 +30,10 @@ SCRIPTS = "LCG"
 SWITCH, OWN, ADD, UNSEEN = 14.0, 3.0, 5.0, -14.0
 _WORD = re.compile(r"[^\W\d_][^\W\d_̀-ͯ]*(?:[̀-ͯ]+[^\W\d_]*)*")
 _SPACE = re.compile(r"[^\S\n\r\t]")
+_HIDDEN = re.compile(hidden_class())
 #: Look-alikes that the normalisation would turn into other letters.
 _KEPT = {ord(c): PROTOTYPE[c] for c in PROTOTYPE if unicodedata.normalize("NFKC", c) != c}
+_ODD = re.compile("[" + "".join(map(chr, _KEPT)) + "]")
 Bigrams = dict[tuple[str, str, str], float]
 
 
@@ -38,16 +41,17 @@ def clean(text: str) -> str:
     """Compatibility normalisation, no invisible characters, one kind of space and hyphen; letters are decomposed from their marks."""
     if text.isascii():
         return text
-    t = unicodedata.normalize("NFKC", text.translate(_KEPT))
-    t = "".join(c for c in t if c.isascii() or not invisible(c) or c in HYPHENS[:2])
+    t = unicodedata.normalize("NFKC", text.translate(_KEPT) if _ODD.search(text) else text)
+    t = _HIDDEN.sub("", t)
     for h in HYPHENS[:2]:
         t = t.replace(h, "-")
     return unicodedata.normalize("NFD", _SPACE.sub(" ", t))
 
 
-def _anchors(word: str) -> set[str]:
+@lru_cache(maxsize=200_000)
+def _anchors(word: str) -> frozenset[str]:
     """The scripts of the letters that no other script has."""
-    return {script(c) for c in word if c not in IN_SCRIPT} - {""}
+    return frozenset(script(c) for c in word if c not in IN_SCRIPT) - {""}
 
 
 def _pair(bigrams: Bigrams, s: str, a: str, b: str) -> float:
@@ -93,8 +97,12 @@ def resolve(word: str, own: str, bigrams: Bigrams) -> str:
 
 def own_script(text: str) -> str:
     """The script that most of the words with a distinctive letter have."""
+    return _own(clean(text))
+
+
+def _own(cleaned: str) -> str:
     n: Counter = Counter()
-    for w in _WORD.findall(clean(text)):
+    for w in _WORD.findall(cleaned):
         a = _anchors(w)
         if len(a) == 1:
             n.update(a)
@@ -116,7 +124,15 @@ class Canonical:
         return self.known[key]
 
     def form(self, text: str, own: str) -> str:
-        return unicodedata.normalize("NFC", _WORD.sub(lambda m: self.word(m[0], own), clean(text)))
+        return self._form(clean(text), own)
+
+    def own_and_form(self, text: str) -> tuple[str, str]:
+        t = clean(text)
+        own = _own(t)
+        return own, self._form(t, own)
+
+    def _form(self, cleaned: str, own: str) -> str:
+        return unicodedata.normalize("NFC", _WORD.sub(lambda m: self.word(m[0], own), cleaned))
 
 
 def letter_pairs(texts: Sequence[str | None]) -> Counter:
@@ -149,12 +165,17 @@ def fit_bigrams(texts: DataFrame, text: str) -> Bigrams:
     return bigram_scores({(r.s, r.a, r.b): r.n for r in pairs.collect()})  # letters are few hundred for each script
 
 
-def _own() -> object:
-    @F.pandas_udf(T.StringType())
-    def own(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else own_script(t))
+_BOTH = T.StructType([T.StructField("own", T.StringType()), T.StructField("form", T.StringType())])
+
+
+def _own_and_form(held: Broadcast) -> object:
+    @F.pandas_udf(_BOTH)
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = Canonical(held.value)
+        for s in batches:
+            yield pd.DataFrame([(None, None) if t is None else c.own_and_form(t) for t in s], columns=_BOTH.names)
 
-    return own
+    return both
 
 
 def _form(held: Broadcast) -> object:
@@ -174,8 +195,11 @@ def canonical_texts(df: DataFrame, keep: Sequence[str], text: str, bigrams: Bigr
     text has a null form, an empty one an empty form. Rows are treated one by one: repeated rows repeat, no rows give none.
     """
     held = df.sparkSession.sparkContext.broadcast(bigrams)
-    rows = df.select(F.struct(*keep).alias("k"), F.col(text).alias("t"), (F.col(own) if own else _own()(F.col(text))).alias("o"))
-    return rows.select(*[F.col("k").getField(k).alias(k) for k in keep], F.col("o").alias("own"), _form(held)("t", "o").alias("form"))
+    if own:
+        rows = df.select(F.struct(*keep).alias("k"), F.struct(F.col(own).alias("own"), _form(held)(F.col(text), F.col(own)).alias("form")).alias("x"))
+    else:
+        rows = df.select(F.struct(*keep).alias("k"), _own_and_form(held)(F.col(text)).alias("x"))
+    return rows.select(*[F.col("k").getField(k).alias(k) for k in keep], F.col("x.own").alias("own"), F.col("x.form").alias("form"))
 
 
 def _units(spark: SparkSession, root: str) -> tuple[DataFrame, Bigrams]:
