@@ -1,5 +1,5 @@
 """The modules whose QUERIES and ORACLE make up the driver's contract, without those of the optional subpackage."""
 
-from corpusflow.plans import reviews, snapshots, texts
+from corpusflow.plans import edits, reviews, snapshots, texts
 
-MODULES = [snapshots, texts, reviews]
+MODULES = [snapshots, texts, reviews, edits]
