@@ -115,11 +115,11 @@ def romanised(words: Sequence[str]) -> list[str]:
     return ["".join(ROMAN.get(c, c) for c in w) for w in words]
 
 
-def train(samples: Sequence[tuple[Sequence[str], int]], languages: tuple[str, ...] = LANGUAGES, dim: int = 12, buckets: int = 1 << 15, epochs: int = 4, rate: float = 0.3, seed: int = 7, clean: bool = True) -> Model:
+def train(samples: Sequence[tuple[Sequence[str], int]], languages: tuple[str, ...] = LANGUAGES, dim: int = 12, buckets: int = 1 << 15, epochs: int = 4, rate: float = 0.3, seed: int = 7, clean: bool = True, cache: dict[str, list[int]] | None = None) -> Model:
     """Fit on (words, language index) pairs. Deterministic for a given order of the samples."""
     rnd, k = np.random.default_rng(seed), len(languages)
     epochs = max(1, epochs // 2) if clean else epochs
-    cache: dict[str, list[int]] = {}
+    cache = {} if cache is None else cache
     for words, _ in samples:
         for w in words:
             if w not in cache:
@@ -163,11 +163,12 @@ def train(samples: Sequence[tuple[Sequence[str], int]], languages: tuple[str, ..
             bias -= step * p.mean(0)
             np.subtract.at(emb, flat, (step * 8 * np.repeat(back, sizes, 0)).astype(np.float32))
     model = Model(languages, (emb @ out).astype(np.float32), bias)
-    sums = np.array([sum((model.word(w) for w in samples[i][0]), np.zeros(k + 1, np.float32)) for i in (range(len(samples)) if clean else held)])
+    known = {w: model.word(w) for w in {w for words, _ in samples for w in words}}
+    sums = np.array([np.sum([known[w] for w in samples[i][0]], axis=0) for i in (range(len(samples)) if clean else held)])
     if clean:
         p = model.confidence(sums)
         agree = p.argmax(1) == np.array([y for _, y in samples])
-        return train([s for s, ok in zip(samples, agree) if ok], languages, dim, buckets, 2 * epochs, rate, seed, clean=False)
+        return train([s for s, ok in zip(samples, agree) if ok], languages, dim, buckets, 2 * epochs, rate, seed, clean=False, cache=cache)
     y = np.array([samples[i][1] for i in held])
     best = min((float(-np.log(np.maximum(Model(languages, model.scores, bias, t).confidence(sums)[np.arange(len(y)), y], 1e-9)).mean()), t) for t in (0.15, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0)) if len(y) else (0, 1.0)
     model.temperature = best[1]
