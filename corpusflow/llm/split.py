@@ -111,7 +111,7 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
         start = core
         if core and overlap:
             low = max(0, core - overlap)
-            m = _WORD.search(text, low, min(core, low + overlap // 4 + 1))
+            m = _WORD.search(text, low, min(core, low + overlap // 8 + 1))
             start = m.end() if m and m.end() < core else low
             while start < core and start and (unicodedata.combining(text[start]) or text[start - 1 : start + 1] == "\r\n"):
                 start += 1
@@ -133,7 +133,7 @@ def split_oversized(df: DataFrame, keys: Sequence[str], text: str | Column, limi
     """Pieces of each row's text: ``keys, piece_no, n_pieces, piece_start, core_start, piece_end, boundary, piece``.
 
     ``piece`` is ``text[piece_start:piece_end]`` (code points, from 0) and never longer than ``limit``; from ``core_start`` on it is
-    new, before that it repeats the end of its forerunners, ``overlap`` characters or up to a quarter less to begin at a word.
+    new, before that it repeats the end of its forerunners, ``overlap`` characters or up to an eighth less to begin at a word.
     ``boundary`` is the strength of the cut at its end. The cores of an item concatenate to its text exactly.
 
     A text within the limit, an empty one, and one whose limit is null is one piece; a null text gives no row. Repeated rows come out

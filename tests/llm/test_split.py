@@ -12,7 +12,7 @@ def check(text, limit, overlap):
     assert "".join(text[c:e] for _, c, e, _ in pieces) == text
     assert all(e - s <= limit and s <= c < e or not text for s, c, e, _ in pieces)
     for (_, c0, e0, _), (s1, c1, _, _) in zip(pieces, pieces[1:]):
-        assert c1 == e0 and c1 - overlap <= s1 and (c1 - s1 >= min(c1, overlap * 3 // 4 - 2) or "́" in text)
+        assert c1 == e0 and c1 - overlap <= s1 and (c1 - s1 >= min(c1, overlap * 7 // 8 - 2) or "́" in text)
     return pieces
 
 
