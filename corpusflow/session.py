@@ -32,7 +32,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session; a temporary one only where that is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
         held_dir = conf or os.path.join(tempfile.gettempdir(), f"corpusflow-{os.getuid()}")
