@@ -131,3 +131,10 @@ def external_links_only(c: Column) -> Column:
     links = F.regexp_extract_all(bare, F.lit(LINK), F.lit(0))
     targets = F.regexp_extract_all(bare, F.lit(LINK), F.lit(3))
     return (F.size(links) > 0) & ~F.exists(links, lambda x: x.startswith("!")) & F.forall(targets, lambda x: x.rlike("(?i)^<?https?:")) & (strip(F.regexp_replace(bare, LINK, "")) == "")
+
+
+@F.pandas_udf(T.StringType())
+def identity_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A name or title for comparison: compatibility normalisation, exact case folding, single spaces."""
+    for s in batches:
+        yield s.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))

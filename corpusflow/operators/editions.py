@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,3 +45,52 @@ def hash_state(stored: Column, content: Column) -> Column:
     """How a stored SHA-256 relates to the content: missing, malformed, same, other_case or different."""
     real = F.sha2(content, 256)
     return F.when(stored.isNull(), "missing").when(stored == real, "same").when(F.lower(stored) == real, "other_case").when(~stored.rlike("^[0-9a-fA-F]{64}$"), "malformed").otherwise("different")
+
+
+def verify_seal(stored: DataFrame, current: DataFrame, book: str, unit: str, content_hash: str) -> DataFrame:
+    """``book, unit, problem``: units of a stored seal that are missing or differ now, and those that it does not know."""
+    a = stored.select(F.col(book).alias("b"), F.col(unit).alias("u"), F.col(content_hash).alias("was"), F.lit(True).alias("old"))
+    c = current.select(F.col(book).alias("b"), F.col(unit).alias("u"), F.col(content_hash).alias("now"), F.lit(True).alias("new"))
+    both = a.join(c, ["b", "u"], "full_outer")
+    problem = F.when(F.col("new").isNull(), "missing").when(F.col("old").isNull(), "unknown").when(~F.col("was").eqNullSafe(F.col("now")), "different")
+    return both.where(problem.isNotNull()).select(F.col("b").alias(book), F.col("u").alias(unit), problem.alias("problem"))
+
+
+def match_in_order(old: DataFrame, new: DataFrame, book: str, unit: str, position: str, content_hash: str) -> DataFrame:
+    """``book, old_unit, new_unit``: units in the matching blocks of two editions, as difflib finds them in their order.
+
+    Used where contents repeat inside a book, so that only their order tells them apart. A book's hashes are one task's work: a unit
+    is 64 characters there, whatever its length.
+    """
+    schema = f"{book} string, old_unit string, new_unit string"
+
+    def blocks(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = (x.sort_values("p", kind="stable").reset_index(drop=True) for x in (a, b))
+        found = SequenceMatcher(a=a["h"].tolist(), b=b["h"].tolist(), autojunk=False).get_matching_blocks()
+        rows = [(key[0], a["u"][m.a + k], b["u"][m.b + k]) for m in found for k in range(m.size)]
+        return pd.DataFrame(rows, columns=[book, "old_unit", "new_unit"])
+
+    side = lambda df: df.select(F.col(book).cast("string").alias("g"), F.col(unit).alias("u"), F.col(position).alias("p"), F.col(content_hash).alias("h")).groupBy("g")
+    return side(old).cogroup(side(new)).applyInPandas(blocks, schema)
+
+
+def unanswered(earlier: DataFrame, later: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, problem``: rows of ``earlier`` that ``later`` answers never (missing) or more than once (twice), and answers to nothing
+    (unknown)."""
+    n = later.groupBy(*keys).agg(F.count("*").alias("_n"))
+    asked = earlier.select(*keys).distinct().withColumn("_asked", F.lit(True))
+    both = asked.join(n, list(keys), "full_outer")
+    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_asked").isNull(), "unknown").when(F.col("_n") > 1, "twice")
+    return both.where(problem.isNotNull()).select(*keys, problem.alias("problem"))
+
+
+def tiered_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: Sequence[Sequence[str]]) -> DataFrame:
+    """``left_id, right_id, tier, n_matches``: the rows of ``right`` that a row of ``left`` agrees with on the keys of the first tier
+    that gives any. More than one leaves ``right_id`` null: the row is ambiguous. Null keys agree with nothing."""
+    todo, found = left, None
+    for k, keys in enumerate(tiers):
+        known = right.where(" AND ".join(f"`{c}` IS NOT NULL" for c in keys)).groupBy(*keys).agg(F.countDistinct(right_id).alias("n_matches"), F.min(right_id).alias("_r"))
+        hit = todo.join(known, list(keys)).select(left_id, F.when(F.col("n_matches") == 1, F.col("_r")).alias(right_id), F.lit(k + 1).alias("tier"), "n_matches")
+        found = hit if found is None else found.unionByName(hit)
+        todo = todo.join(hit.select(left_id), left_id, "left_anti")
+    return found

@@ -116,3 +116,41 @@ def fair_queue(df: DataFrame, key: Sequence[str], first: Sequence[str], order: S
     rest = [c for c in df.columns if c not in key]
     one = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*first)).alias("_r")).select(*key, *[F.col("_r").getField(c).alias(c) for c in rest])
     return one.orderBy(*order).limit(limit)
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("source_from", "source_to", "target_from", "target_to")]))
+_BLOCK = re.compile(r"<!--\s*bt-block:(\d+)\s*-->")
+
+
+def block_ranges(text: str) -> dict[str, tuple[int, int]]:
+    """Where each marked block begins and ends, marker included; nothing where a number occurs twice."""
+    found = list(_BLOCK.finditer(text))
+    ends = [*(m.start() for m in found[1:]), len(text)]
+    out = {m[1]: (m.start(), e) for m, e in zip(found, ends)}
+    return out if len(out) == len(found) else {}
+
+
+def paired_cuts(source: str, target: str, count: int) -> list[tuple[int, int, int, int]] | None:
+    """Both texts in ``count`` pieces cut before the same marked blocks, each cut where both together come nearest their even share;
+    None where the blocks of the two differ or are too few."""
+    a, b = block_ranges(source), block_ranges(target)
+    if list(a) != list(b) or len(a) < count or count < 1:
+        return None
+    places = [(a[k][0], b[k][0]) for k in list(a)[1:]]
+    full, cuts, first = len(source) + len(target), [], 0
+    for part in range(1, count):
+        last = len(places) - (count - 1 - part)
+        k = min(range(first, last), key=lambda i: abs(sum(places[i]) - full * part / count))
+        cuts.append(places[k])
+        first = k + 1
+    edges = [(0, 0), *cuts, (len(source), len(target))]
+    return [(x[0], y[0], x[1], y[1]) for x, y in zip(edges, edges[1:])]
+
+
+def paired_chunks(source: Column, target: Column, count: Column) -> Column:
+    @F.pandas_udf(_SPANS)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for s, t, n in batches:
+            yield pd.Series([None if x is None or y is None else paired_cuts(x, y, int(k)) for x, y, k in zip(s, t, n)], dtype=object)
+
+    return cut(source, target, count)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
-from corpusflow.operators import edits, planning
+from corpusflow.operators import edits, editions, planning
 from corpusflow.plans.tables import chapters, findings, segments
 from corpusflow.session import table
 from corpusflow.sinks import books
@@ -84,7 +84,21 @@ def book_archives(spark: SparkSession, root: str) -> DataFrame:
     return books.check_epubs(books.epubs(c, "book_slug", "chapter_no", "title", "content")).withColumnRenamed("book", "book_slug")
 
 
-QUERIES = {f.__name__: f for f in (patched_chapters, quote_excerpts, quote_suggestions, findings_in_chunks, link_masks, plain_chapters, block_audit, selected_units, span_values, book_archives)}
+def paired_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Source documents of four blocks or more and their twins in capitals, cut into two before the same blocks."""
+    d = table(spark, root, "source_documents").dropDuplicates(["document_key"]).where("size(blocks) >= 4").withColumn("s", numbered_blocks(F.transform("blocks", lambda b: F.coalesce(b, F.lit("")))))
+    cuts = d.select("document_key", planning.paired_chunks(F.col("s"), F.concat(F.col("s"), F.lit("\n")), F.lit(2)).alias("c"))
+    return cuts.where("c IS NOT NULL").select("document_key", F.get("c", F.lit(0))["source_to"].alias("source_cut"), F.get("c", F.lit(0))["target_to"].alias("target_cut"), F.size("c").alias("n"))
+
+
+def title_matches(spark: SparkSession, root: str) -> DataFrame:
+    """Chapters found in the revisions: by book and title, else by title alone, where that is unique."""
+    r = table(spark, root, "source_revisions").select("book_slug", X.identity_form("title").alias("t"), F.concat_ws("/", "book_slug", "unit_id").alias("revised")).where("t IS NOT NULL").distinct()
+    c = chapters(spark, root, "book_slug", "title").select("chapter_id", "book_slug", X.identity_form("title").alias("t"))
+    return editions.tiered_match(c, r, "chapter_id", "revised", [["book_slug", "t"], ["t"]])
+
+
+QUERIES = {f.__name__: f for f in (patched_chapters, quote_excerpts, quote_suggestions, findings_in_chunks, link_masks, plain_chapters, block_audit, selected_units, span_values, book_archives, paired_chunks, title_matches)}
 
 _F = "(SELECT DISTINCT ON (finding_key) finding_key, book_slug, unit_id, source_anchor FROM findings)"
 _C = "(SELECT DISTINCT ON (chapter_id) * FROM chapters)"
@@ -95,6 +109,11 @@ ORACLE = {
 FROM (SELECT *, {_AT} AS at_ FROM ({_Q}) QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY finding_key) = 1) WHERE at_ IS NOT NULL""",
     "quote_excerpts": f"""SELECT finding_key, substr(content, CAST(greatest(0, at_ - 40) + 1 AS BIGINT), CAST(least(length(content), at_ + length(q) + 40) - greatest(0, at_ - 40) AS BIGINT)) AS excerpt FROM (SELECT *, {_AT} AS at_ FROM ({_Q})) WHERE at_ IS NOT NULL""",
     "selected_units": f"""SELECT s.selector, c.unit_id, count(*) AS n FROM (VALUES ('3', 3, 3), ('5-7', 5, 7)) s(selector, a, b) JOIN {_C} c ON CAST(right(c.unit_id, 6) AS INTEGER) BETWEEN a AND b GROUP BY 1, 2""",
+    "title_matches": r"""WITH r AS (SELECT DISTINCT book_slug, trim(regexp_replace(lower(title), '[\s\p{Z}]+', ' ', 'g')) AS t, book_slug || '/' || unit_id AS v FROM source_revisions WHERE title IS NOT NULL),
+c AS (SELECT DISTINCT chapter_id, book_slug, trim(regexp_replace(lower(title), '[\s\p{Z}]+', ' ', 'g')) AS t FROM chapters),
+a AS (SELECT c.chapter_id, count(DISTINCT v) AS n_matches, min(v) AS v, 1 AS tier FROM c JOIN r ON r.book_slug = c.book_slug AND r.t = c.t GROUP BY 1),
+b AS (SELECT c.chapter_id, count(DISTINCT v) AS n_matches, min(v) AS v, 2 AS tier FROM c JOIN r ON r.t = c.t WHERE c.chapter_id NOT IN (SELECT chapter_id FROM a) GROUP BY 1)
+SELECT chapter_id, CASE WHEN n_matches = 1 THEN v END AS revised, CAST(tier AS INTEGER) AS tier, n_matches FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
     "span_values": "SELECT book_slug, unit_id, id, count(DISTINCT source) AS n_values FROM structural_segments WHERE source IS NOT NULL GROUP BY 1, 2, 3",
     "book_archives": f"SELECT book_slug, CAST(count(*) AS INTEGER) AS n_units, CAST(count(*) AS INTEGER) AS n_read FROM {_C} WHERE status = 'reviewed' AND content IS NOT NULL GROUP BY 1",
     "block_audit": r"SELECT DISTINCT ON (document_key) document_key, len(regexp_extract_all(nfc_normalize(array_to_string(list_transform(blocks, lambda b: coalesce(b, '')), ' ')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n_expected, len(regexp_extract_all(nfc_normalize(array_to_string(list_transform(blocks, lambda b: coalesce(b, '')), ' ')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n_actual, CAST(NULL AS BIGINT) AS mismatch FROM source_documents WHERE len(blocks) > 0",

@@ -100,3 +100,12 @@ def test_memory(spark):
     assert (pack.entries, pack.used, pack.n_candidates) == (["a", "c", "d"], 8, 4)
     ent = spark.createDataFrame([("a", None), ("b", "a")], "e string, r string")
     assert {r.e: r.active for r in memory.superseded(ent, "e", "r").collect()} == {"a": False, "b": True}
+
+
+def test_paired_cuts():
+    source = "".join(f"<!-- bt-block:{i:06d} -->\n{'x' * n}\n\n" for i, n in enumerate([10, 200, 30, 180], 1))
+    target = source.upper().replace("BT-BLOCK", "bt-block")
+    cuts = planning.paired_cuts(source, target, 2)
+    assert [source[a:b].count("bt-block") for a, b, _, _ in cuts] == [target[c:d].count("bt-block") for _, _, c, d in cuts] == [2, 2]
+    assert "".join(source[a:b] for a, b, _, _ in cuts) == source and "".join(target[c:d] for _, _, c, d in cuts) == target
+    assert planning.paired_cuts(source, "no blocks", 2) is None and planning.paired_cuts(source, target, 5) is None and planning.block_ranges(source + source) == {}
