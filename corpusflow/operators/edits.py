@@ -28,6 +28,28 @@ def apply_patches(text: Column, patches: Column) -> Column:
     return F.aggregate(rising, start, step, lambda a: F.when(a["ok"], F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
 
 
+def _place(text: Column, quote: Column, n: Column) -> Column:
+    """Offset of the ``n``-th (from 0) occurrence, counted without overlaps also where a quote overlaps itself; null where there is none."""
+    literal = F.concat(F.lit("\\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    before = F.slice(F.split(text, literal), 1, (n + 1).cast("int"))
+    later = F.aggregate(before, F.lit(0), lambda a, x: a + F.length(x)) + (n * F.length(quote)).cast("int")
+    return F.when((n > 0) & (X.occurrences(text, quote) > n), later).otherwise(F.when(n == 0, X.nth_offset(text, quote, n)))
+
+
+def replace_places(text: Column, quotes: Column, replacement: Column) -> Column:
+    """``text, n_placed``: every place of ``quotes`` (array of ``quote, occurrence``) replaced; those that have no place count for nothing.
+
+    Places are those of the text as it was. Places that overlap are one stretch and get one replacement; places that touch stay two.
+    """
+    placed = F.transform(quotes, lambda p: F.struct(_place(text, p["quote"], p["occurrence"]).alias("lo"), F.length(p["quote"]).alias("n")))
+    rising = F.array_sort(F.filter(placed, lambda p: p["lo"].isNotNull()))
+    apart = lambda a, p: F.concat(a["out"], F.substring(text, a["at"] + 1, p["lo"] - a["at"]), replacement)
+    step = lambda a, p: F.struct(F.when(p["lo"] >= a["at"], apart(a, p)).otherwise(a["out"]).alias("out"), F.greatest(a["at"], p["lo"] + p["n"]).alias("at"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    done = F.aggregate(rising, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.struct(done.alias("text"), F.size(rising).alias("n_placed"))
+
+
 def line_range(text: Column, first: Column, last: Column) -> Column:
     """Lines ``first`` to ``last`` (from 1) of a text."""
     return F.array_join(F.slice(F.split(text, "\n"), first, last - first + 1), "\n")

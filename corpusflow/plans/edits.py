@@ -26,6 +26,14 @@ def patched_chapters(spark: SparkSession, root: str) -> DataFrame:
     return done.where("t IS NOT NULL").select("chapter_id", F.sha2("t", 256).alias("sha256"))
 
 
+def fully_patched_chapters(spark: SparkSession, root: str) -> DataFrame:
+    """Chapters with the quotes of all their findings replaced, overlapping ones together, and how many findings have a place there."""
+    f = findings(spark, root).select("book_slug", "unit_id", F.struct(F.col("source_anchor.quote").alias("quote"), F.col("source_anchor.occurrence").alias("occurrence")).alias("p")).where("p.quote <> ''")
+    c = f.groupBy("book_slug", "unit_id").agg(F.collect_list("p").alias("p")).join(chapters(spark, root, "book_slug", "unit_id", "content"), ["book_slug", "unit_id"])
+    done = c.select("chapter_id", F.size("p").alias("n_findings"), edits.replace_places(F.col("content"), F.col("p"), F.lit("[…]")).alias("x")).where("x.n_placed > 0")
+    return done.select("chapter_id", "n_findings", "x.n_placed", F.sha2("x.text", 256).alias("sha256"))
+
+
 def quote_excerpts(spark: SparkSession, root: str) -> DataFrame:
     """Every quote that stands in its unit, with forty characters on both sides."""
     at = X.nth_offset(F.col("content"), F.col("q"), F.col("n"))
@@ -98,7 +106,7 @@ def title_matches(spark: SparkSession, root: str) -> DataFrame:
     return editions.tiered_match(c, r, "chapter_id", "revised", [["book_slug", "t"], ["t"]])
 
 
-QUERIES = {f.__name__: f for f in (patched_chapters, quote_excerpts, quote_suggestions, findings_in_chunks, link_masks, plain_chapters, block_audit, selected_units, span_values, book_archives, paired_chunks, title_matches)}
+QUERIES = {f.__name__: f for f in (patched_chapters, fully_patched_chapters, quote_excerpts, quote_suggestions, findings_in_chunks, link_masks, plain_chapters, block_audit, selected_units, span_values, book_archives, paired_chunks, title_matches)}
 
 _F = "(SELECT DISTINCT ON (finding_key) finding_key, book_slug, unit_id, source_anchor FROM findings)"
 _C = "(SELECT DISTINCT ON (chapter_id) * FROM chapters)"

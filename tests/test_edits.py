@@ -1,8 +1,11 @@
+import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from corpusflow.operators import edits as E
+from corpusflow.plans import edits as plans
 from corpusflow.sinks import books
 from corpusflow.sources.files import read_epub
 
@@ -15,6 +18,39 @@ def test_patches(spark):
     assert got == ["a YY X c", None, None, "abc", None]
 
 
+def replaced(text, quotes):
+    """By brute force: the characters of every place are marked, and each stretch of places that overlap is replaced."""
+    places = []
+    for q, n in quotes:
+        at = [m.start() for m in re.finditer(re.escape(q), text)]
+        if n < len(at):
+            places.append((at[n], at[n] + len(q)))
+    joined = {k for lo, hi in places for k in range(lo + 1, hi)}  # no cut before these characters
+    inside = {k for lo, hi in places for k in range(lo, hi)}
+    out = "".join("" if k in joined else "[…]" if k in inside else c for k, c in enumerate(text))
+    return out, len(places)
+
+
+def test_all_places_against_brute_force(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("ab \\E") for _ in range(n))
+    rows = [(i, word(rnd.randint(0, 25)), [(word(rnd.randint(1, 4)), rnd.randint(0, 2)) for _ in range(rnd.randint(0, 6))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, t string, p array<struct<quote:string,occurrence:int>>")
+    got = {r.i: tuple(r.x) for r in df.select("i", E.replace_places(F.col("t"), F.col("p"), F.lit("[…]")).alias("x")).collect()}
+    assert got == {i: replaced(t, p) for i, t, p in rows}
+
+
+def test_chapter_with_several_findings(spark, tmp_path):
+    text = {1: "The old cat sees the red boat.", 2: "Only one here.", 3: "Nothing here.", 4: None}
+    spark.createDataFrame([(k, "b", f"u{k}", t) for k, t in text.items()], "chapter_id long, book_slug string, unit_id string, content string").write.parquet(f"{tmp_path}/chapters.parquet")
+    quotes = [(1, "u1", "lost"), (2, "u1", "old cat"), (3, "u1", "cat sees"), (4, "u1", "boat"), (5, "u2", "one"), (6, "u3", "lost"), (7, "u4", "x"), (8, "u1", "")]
+    found = spark.createDataFrame([(k, "b", u, (q, 0)) for k, u, q in quotes], "finding_key long, book_slug string, unit_id string, source_anchor struct<quote:string,occurrence:int>")
+    found.unionByName(found).write.parquet(f"{tmp_path}/findings.parquet")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {tuple(r) for r in plans.fully_patched_chapters(spark, str(tmp_path)).collect()}
+    assert got == {(1, 4, 3, sha("The […] the red […].")), (2, 1, 1, sha("Only […] here."))}
+
+
 def test_masks():
     rnd = random.Random(1)
     for _ in range(100):
