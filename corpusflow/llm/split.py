@@ -97,8 +97,12 @@ def merge_atoms(ends: Sequence[int], strengths: Sequence[int], room: int) -> lis
     return [(ends[last[i]], strengths[last[i]]) for i in range(n) if alive[i]]
 
 
-def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
-    """``(start, core_start, end, strength of the boundary at its end)`` of each piece. The cores are the text, without holes."""
+def cut(text: str, limit: int, overlap: int, at_word: bool = False) -> list[tuple[int, int, int, int]]:
+    """``(start, core_start, end, strength of the boundary at its end)`` of each piece. The cores are the text, without holes.
+
+    A later piece starts ``overlap`` characters before its core, or with the text where less stands before it. ``at_word`` lets it
+    start at the first word of the overlap's first eighth instead, where there is one.
+    """
     if limit < 1 or overlap < 0 or overlap >= limit:
         raise ValueError(f"a limit of {limit} leaves no room for an overlap of {overlap}")
     if len(text) <= limit:
@@ -108,13 +112,9 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     kept = merge_atoms([a[0] for a in atoms], [a[1] for a in atoms], room)
     pieces, core = [], 0
     for end, strength in kept:
-        start = core
-        if core and overlap:
-            low = max(0, core - overlap)
-            m = _WORD.search(text, low, min(core, low + overlap // 8 + 1))
-            start = m.end() if m and m.end() < core else low
-            while start < core and start and (unicodedata.combining(text[start]) or text[start - 1 : start + 1] == "\r\n"):
-                start += 1
+        start = max(0, core - overlap)
+        if at_word and start and (m := _WORD.search(text, start, start + overlap // 8)):
+            start = m.end()
         pieces.append((start, core, end, strength))
         core = end
     return pieces
@@ -123,18 +123,21 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
 _SPAN = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "core_start", "end", "strength")]))
 
 
-@F.pandas_udf(_SPAN)
-def _spans(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, limits, overlaps in batches:
-        yield pd.Series([None if t is None else cut(t, int(n), int(o)) for t, n, o in zip(texts, limits, overlaps)], dtype=object)
+def _spans(at_word: bool):
+    @F.pandas_udf(_SPAN)
+    def spans(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, limits, overlaps in batches:
+            yield pd.Series([None if t is None else cut(t, int(n), int(o), at_word) for t, n, o in zip(texts, limits, overlaps)], dtype=object)
+
+    return spans
 
 
-def split_oversized(df: DataFrame, keys: Sequence[str], text: str | Column, limit: str | Column, overlap: str | Column, only_oversized: bool = False) -> DataFrame:
+def split_oversized(df: DataFrame, keys: Sequence[str], text: str | Column, limit: str | Column, overlap: str | Column, only_oversized: bool = False, at_word: bool = False) -> DataFrame:
     """Pieces of each row's text: ``keys, piece_no, n_pieces, piece_start, core_start, piece_end, boundary, piece``.
 
     ``piece`` is ``text[piece_start:piece_end]`` (code points, from 0) and never longer than ``limit``; from ``core_start`` on it is
-    new, before that it repeats the end of its forerunners, ``overlap`` characters or up to an eighth less to begin at a word.
-    ``boundary`` is the strength of the cut at its end. The cores of an item concatenate to its text exactly.
+    new, before that it repeats the end of its forerunners: exactly ``overlap`` characters, or all there are where less stands before
+    the core. ``at_word`` makes the repeated part begin at a word where one begins in its first eighth. ``boundary`` is the strength of the cut at its end. The cores of an item concatenate to its text exactly.
 
     A text within the limit, an empty one, and one whose limit is null is one piece; a null text gives no row. Repeated rows come out
     repeatedly. Columns besides ``keys`` are dropped; where a key has the name of an output column, that gets an underscore.
@@ -145,7 +148,7 @@ def split_oversized(df: DataFrame, keys: Sequence[str], text: str | Column, limi
     big = F.coalesce(F.length("t") > F.col("n"), F.lit(False))
     rows = rows.where(big) if only_oversized else rows
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("core_start"), F.length("t").alias("end"), F.lit(SECTION).alias("strength")))
-    spans = rows.withColumn("s", F.coalesce(_spans(F.when(big, F.col("t")), F.col("n"), F.col("o")), whole))
+    spans = rows.withColumn("s", F.coalesce(_spans(at_word)(F.when(big, F.col("t")), F.col("n"), F.col("o")), whole))
     out = {name: free(name, keys) for name in ("piece_no", "n_pieces", "piece_start", "core_start", "piece_end", "boundary", "piece")}
     one = spans.select("k", "t", F.size("s").alias("c"), F.posexplode("s").alias("i", "p"))
     return one.select(
@@ -175,6 +178,24 @@ def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_oversized(items, keys, "item", "max_chars", "overlap_chars").drop("version")
 
 
+def p1_checks(spark: SparkSession, root: str) -> DataFrame:
+    """Every oversized item put together again from its pieces: the digest of its cores in order, and how many pieces are above the
+    limit, begin elsewhere than the overlap asks for, or have other characters than the item there."""
+    items = limited_items(spark, root).where(F.length("item") > F.col("max_chars"))
+    keys = ["item_kind", "item_id", "item_pos", "version"]
+    items = items.withColumn("version", F.xxhash64("item")).dropDuplicates(keys)
+    pieces = split_oversized(items, [*keys, "max_chars", "overlap_chars"], "item", "max_chars", "overlap_chars")
+    core = F.substring("piece", F.col("core_start") - F.col("piece_start") + 1, F.length("piece"))
+    seen = pieces.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", core.alias("t")))), lambda p: p["t"]), "").alias("t"),
+        F.count_if(F.length("piece") > F.col("max_chars")).alias("n_too_long"),
+        F.count_if(F.col("core_start") - F.col("piece_start") != F.least("overlap_chars", "core_start")).alias("n_wrong_overlap"),
+        F.count_if(F.length("piece") != F.col("piece_end") - F.col("piece_start")).alias("n_wrong_length"),
+        (F.min(F.struct("piece_no", F.col("core_start")))["core_start"] == 0).alias("from_start"),
+    )
+    return seen.select("item_kind", "item_id", "item_pos", F.sha2("t", 256).alias("sha256"), "n_too_long", "n_wrong_overlap", "n_wrong_length", "from_start")
+
+
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     items = limited_items(spark, root)
     pieces = split_oversized(items, ["item_kind", "item_id", "item_pos"], "item", "max_chars", "overlap_chars", only_oversized=True)
@@ -194,11 +215,14 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_report": p1_report}
-ORACLE = {
-    "p1_found": """WITH items AS (
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_report": p1_report, "p1_checks": p1_checks}
+_ITEMS = """WITH items AS (
   SELECT 'chapter' AS item_kind, chapter_id AS item_id, 0 AS item_pos, content AS item FROM chapters
   UNION ALL SELECT 'segment', segment_key, 0, source FROM structural_segments
   UNION ALL SELECT 'block', document_key, CAST(generate_subscripts(blocks, 1) - 1 AS INTEGER), unnest(blocks) FROM source_documents
-) SELECT DISTINCT item_kind, item_id, CAST(item_pos AS INTEGER) AS item_pos FROM items JOIN size_limits USING (item_kind) WHERE length(item) > max_chars"""
+)"""
+ORACLE = {
+    "p1_found": f"{_ITEMS} SELECT DISTINCT item_kind, item_id, CAST(item_pos AS INTEGER) AS item_pos FROM items JOIN size_limits USING (item_kind) WHERE length(item) > max_chars",
+    "p1_checks": f"""{_ITEMS} SELECT DISTINCT item_kind, item_id, CAST(item_pos AS INTEGER) AS item_pos, sha256(item) AS sha256, CAST(0 AS BIGINT) AS n_too_long, CAST(0 AS BIGINT) AS n_wrong_overlap,
+  CAST(0 AS BIGINT) AS n_wrong_length, true AS from_start FROM items JOIN size_limits USING (item_kind) WHERE length(item) > max_chars""",
 }

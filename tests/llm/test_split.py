@@ -22,6 +22,21 @@ def test_round_trip(text, limit, overlap):
     check(text, limit, overlap)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab .,\n!é́Ж漢\U0001f600", max_size=300), st.integers(8, 60), st.integers(0, 7))
+def test_overlap_is_exact(text, limit, overlap):
+    assert all(c - s == min(c, overlap) for s, c, _, _ in S.cut(text, limit, overlap)[1:])
+    at_word = S.cut(text, limit, overlap, at_word=True)
+    assert [p[1:] for p in at_word] == [p[1:] for p in S.cut(text, limit, overlap)]
+    assert all(min(c, overlap) - overlap // 8 <= c - s <= min(c, overlap) for s, c, _, _ in at_word[1:])
+
+
+def test_overlap_at_a_word():
+    text = "aaaa bbbb " * 30
+    (s, c, _, _), *_ = S.cut(text, 60, 24, at_word=True)[1:]
+    assert c - s <= 24 and (c - s == 24 or text[s - 1] == " ")
+
+
 def test_no_boundary_at_all_and_very_long():
     assert len(check("x" * 100_000, 1000, 100)) == 112
     words = " ".join(random.Random(1).choice(["lorem", "ipsum.", "Dolor", "sit,\n"]) for _ in range(60_000))
