@@ -12,12 +12,12 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,7 @@ SCRIPTS = "LCG"
 #: single letters beside the pairs seen, and the score of a letter never seen.
 SWITCH, OWN, ADD, UNSEEN = 14.0, 3.0, 5.0, -14.0
 _WORD = re.compile(r"[^\W\d_][^\W\d_̀-ͯ]*(?:[̀-ͯ]+[^\W\d_]*)*")
-_SPACE = re.compile(r"[^\S\n\r\t]")
+_SPACE = re.compile(r"[^\S\n\r\t ]")
 _HIDDEN = re.compile(hidden_class())
 #: Look-alikes that the normalisation would turn into other letters.
 _KEPT = {ord(c): PROTOTYPE[c] for c in PROTOTYPE if unicodedata.normalize("NFKC", c) != c}
@@ -97,15 +97,15 @@ def resolve(word: str, own: str, bigrams: Bigrams) -> str:
 
 def own_script(text: str) -> str:
     """The script that most of the words with a distinctive letter have."""
-    return _own(clean(text))
+    return _own(Counter(_WORD.findall(clean(text))))
 
 
-def _own(cleaned: str) -> str:
+def _own(words: Counter) -> str:
     n: Counter = Counter()
-    for w in _WORD.findall(cleaned):
+    for w, k in words.items():
         a = _anchors(w)
         if len(a) == 1:
-            n.update(a)
+            n[next(iter(a))] += k
     return max(n, key=lambda s: (n[s], -SCRIPTS.index(s))) if n else ""
 
 
@@ -124,15 +124,20 @@ class Canonical:
         return self.known[key]
 
     def form(self, text: str, own: str) -> str:
-        return self._form(clean(text), own)
+        t = clean(text)
+        return self._form(t, own, _WORD.findall(t))
 
     def own_and_form(self, text: str) -> tuple[str, str]:
         t = clean(text)
-        own = _own(t)
-        return own, self._form(t, own)
+        words = Counter(_WORD.findall(t))
+        own = _own(words)
+        return own, self._form(t, own, words)
 
-    def _form(self, cleaned: str, own: str) -> str:
-        return unicodedata.normalize("NFC", _WORD.sub(lambda m: self.word(m[0], own), cleaned))
+    def _form(self, cleaned: str, own: str, words: Iterable[str]) -> str:
+        # Most texts hold no word that takes another form.
+        if any(self.word(w, own) != w for w in words):
+            cleaned = _WORD.sub(lambda m: self.word(m[0], own), cleaned)
+        return unicodedata.normalize("NFC", cleaned)
 
 
 def letter_pairs(texts: Sequence[str | None]) -> Counter:
@@ -202,28 +207,67 @@ def canonical_texts(df: DataFrame, keep: Sequence[str], text: str, bigrams: Bigr
     return rows.select(*[F.col("k").getField(k).alias(k) for k in keep], F.col("x.own").alias("own"), F.col("x.form").alias("form"))
 
 
-def _units(spark: SparkSession, root: str) -> tuple[DataFrame, Bigrams]:
-    chapters = table(spark, root, "chapters").select("chapter_id", "book_slug", "unit_id", "content")
-    bigrams = fit_bigrams(chapters, "content")
-    return canonical_texts(chapters, ["chapter_id", "book_slug", "unit_id", "content"], "content", bigrams), bigrams
+_FOUND = T.ArrayType(T.StructType([T.StructField("form", T.StringType()), T.StructField("found", T.BooleanType())]))
+
+
+def _search(held: Broadcast) -> object:
+    @F.pandas_udf(_FOUND)
+    def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        c = Canonical(held.value)
+        for texts, lists in batches:
+            out = []
+            for text, quotes in zip(texts, lists):
+                asked = [] if quotes is None else list(quotes)
+                own, form = c.own_and_form(text) if text is not None else ("", None)
+                forms = [None if q is None else c.form(q, own) for q in asked]
+                out.append([(f, None if f is None else form is not None and f in form) for f in forms])
+            yield pd.Series(out, dtype=object)
+
+    return search
+
+
+def find_quotes(quotes: DataFrame, key: str, quote: str, units: DataFrame, text: str, on: Sequence[str], bigrams: Bigrams, every_form: bool = True, block: int = 200) -> DataFrame:
+    """``key, quote, quote_form, exact, found`` of every quote, for each text of its unit: whether it stands there as it is, and whether
+    it does in the consistent form of both.
+
+    The quotes of a unit meet its text together, ``block`` of them at a time, so a text travels once for so many quotes and a unit with
+    any number of them is spread over as many tasks. A quote that stands there as it is goes through the lattice only for ``every_form``;
+    else its ``quote_form`` is null. A unit without text holds nothing, repeated quotes of a key are one, a null quote gives no row.
+    """
+    held = quotes.sparkSession.sparkContext.broadcast(bigrams)
+    asked = quotes.where(F.col(quote).isNotNull()).select(*[F.col(c).alias(f"_q{i}") for i, c in enumerate(on)], F.col(key).alias("_k"), F.col(quote).alias("_t"))
+    ids = [f"_q{i}" for i in range(len(on))]
+    # Units with more than one block are few, whatever the number of quotes.
+    many = asked.groupBy(*ids).agg(F.count("*").alias("_n")).where(F.col("_n") > block).withColumnsRenamed({c: f"{c}m" for c in ids})
+    blocked = asked.join(many, _all([F.col(c).eqNullSafe(F.col(f"{c}m")) for c in ids]), "left").withColumn("_b", F.pmod(F.xxhash64("_k", "_t"), F.ceil(F.coalesce("_n", F.lit(1)) / block)))
+    lists = blocked.groupBy(*ids, "_b").agg(F.collect_set(F.struct("_k", "_t")).alias("_qs"))
+    texts = units.where(F.col(text).isNotNull()).select(*[F.col(c).alias(f"_u{i}") for i, c in enumerate(on)], F.col(text).alias("_text"))
+    met = lists.join(texts, _all([F.col(f"_q{i}") == F.col(f"_u{i}") for i in range(len(on))]), "left")
+    seen = met.select("_text", F.transform("_qs", lambda q: F.struct(q["_k"].alias("k"), q["_t"].alias("t"), F.coalesce(F.contains("_text", q["_t"]), F.lit(False)).alias("exact"))).alias("_qs"))
+    to_form = F.transform("_qs", lambda q: q["t"] if every_form else F.when(~q["exact"], q["t"]))
+    needs = F.exists(to_form, lambda t: t.isNotNull())
+    done = seen.select("_qs", _search(held)(F.when(needs, F.col("_text")), to_form).alias("_r"))
+    each = done.select(F.explode(F.zip_with("_qs", "_r", lambda q, r: F.struct(q["k"].alias("k"), q["t"].alias("t"), q["exact"].alias("exact"), r["form"].alias("form"), r["found"].alias("found")))).alias("x"))
+    return each.select(F.col("x.k").alias(key), F.col("x.t").alias(quote), F.col("x.form").alias("quote_form"), F.col("x.exact").alias("exact"), (F.col("x.exact") | F.coalesce("x.found", F.lit(False))).alias("found"))
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
-def quotes_in_units(spark: SparkSession, root: str) -> DataFrame:
-    """Findings with their quote's form and its unit's: ``finding_key, quote, quote_form, exact, found``. A finding whose unit has no
-    content is not found; one without quote falls out."""
-    units, bigrams = _units(spark, root)
-    findings = table(spark, root, "findings").select("finding_key", "book_slug", "unit_id", F.col("source_anchor.quote").alias("quote")).where("quote IS NOT NULL").distinct()
-    units = units.select(F.col("book_slug").alias("b"), F.col("unit_id").alias("u"), "content", "own", F.col("form").alias("unit_form")).where("content IS NOT NULL")
-    both = findings.join(units, (F.col("book_slug") == F.col("b")) & (F.col("unit_id") == F.col("u")), "left")
-    # Only the quotes not found as they stand go through the lattice.
-    both = both.withColumn("exact", F.coalesce(F.contains("content", "quote"), F.lit(False))).select("finding_key", "quote", "exact", "own", F.when(~F.col("exact"), F.col("unit_form")).alias("unit_form"))
-    held = spark.sparkContext.broadcast(bigrams)
-    both = both.withColumn("quote_form", _form(held)("quote", "own"))
-    return both.select("finding_key", "quote", "quote_form", "exact", (F.col("exact") | F.coalesce(F.contains("unit_form", "quote_form"), F.lit(False))).alias("found"))
+def quotes_in_units(spark: SparkSession, root: str, every_form: bool = True) -> DataFrame:
+    """Findings with their quote's form: ``finding_key, quote, quote_form, exact, found``. A finding whose unit has no content is not
+    found; one without quote falls out."""
+    chapters = table(spark, root, "chapters").select("book_slug", "unit_id", "content")
+    findings = table(spark, root, "findings").select("finding_key", "book_slug", "unit_id", F.col("source_anchor.quote").alias("quote"))
+    return find_quotes(findings, "finding_key", "quote", chapters, "content", ["book_slug", "unit_id"], fit_bigrams(chapters, "content"), every_form)
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    seen = quotes_in_units(spark, root)
+    seen = quotes_in_units(spark, root, every_form=False)
     by = seen.groupBy("finding_key").agg(F.max("exact").alias("exact"), F.max("found").alias("found"))
     return by.where("found AND NOT exact").select("finding_key")
 
@@ -235,7 +279,9 @@ def p5_quotes(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_contents(spark: SparkSession, root: str) -> DataFrame:
     """Every chapter's content in the consistent form."""
-    return _units(spark, root)[0].select("chapter_id", "own", F.col("form").alias("content_form")).dropDuplicates(["chapter_id"])
+    chapters = table(spark, root, "chapters").select("chapter_id", "content")
+    forms = canonical_texts(chapters, ["chapter_id"], "content", fit_bigrams(chapters, "content"))
+    return forms.select("chapter_id", "own", F.col("form").alias("content_form")).dropDuplicates(["chapter_id"])
 
 
 QUERIES = {"p5_found": p5_found, "p5_quotes": p5_quotes, "p5_contents": p5_contents}

@@ -94,3 +94,16 @@ def test_found(spark, tmp_path):
     spark.createDataFrame(fi, "finding_key long, book_slug string, unit_id string, source_anchor struct<quote:string>").write.parquet(f"{tmp_path}/findings.parquet")
     assert [r.finding_key for r in L.p5_found(spark, str(tmp_path)).collect()] == [1]
     assert L.p5_quotes(spark, str(tmp_path)).count() == 6
+
+
+def test_find_quotes_in_blocks(spark):
+    """Blocks of two quotes give what one block gives; nulls, several texts of a unit and a unit without text."""
+    q = spark.createDataFrame([(i, "u", f"word{i} hеre" if i % 2 else f"word{i}") for i in range(25)] + [(90, "u", None), (91, None, "x"), (92, "v", "x"), (3, "u", "word3 hеre")], "k long, unit string, q string")
+    u = spark.createDataFrame([("u", " ".join(f"word{i} here" for i in range(20))), ("u", "other text"), (None, "x"), ("w", "word1")], "unit string, t string")
+    grams = L.bigram_scores(L.letter_pairs(TEXTS))
+    rows = lambda **o: sorted((r.k, r.q, r.exact, r.found, r.quote_form is None) for r in L.find_quotes(q, "k", "q", u, "t", ["unit"], grams, **o).collect())
+    every = rows()
+    assert every == rows(block=2) and len(every) == 52 and not any(x[4] for x in every)
+    best = {k: max(x[2:4] for x in every if x[0] == k) for k in {x[0] for x in every}}
+    assert best[3] == (False, True) and best[4] == (True, True) and best[23] == best[91] == best[92] == (False, False)
+    assert [x[:4] for x in rows(every_form=False)] == [x[:4] for x in every] and all(x[4] == x[2] for x in rows(every_form=False))
