@@ -9,12 +9,16 @@ verse, signature or broken speech), the counts are evidence only; where it does,
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +30,9 @@ from corpusflow.session import cut_lineage, table
 CONTEXT = 4
 #: Longer copies that make a tail of whole words an unfinished one; a beginning of a word needs one.
 SURE = 5
+#: Bits of the filter that tells the tasks which contexts are asked for: it has this size (1 MB) for any number of them, and what it
+#: lets through in excess falls out of the join.
+FILTER_BITS = 1 << 23
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WORD = re.compile(r"\w+")
 _JUNK = re.compile(r"(?:\\+[nrt\"']?|�|&\#?\w{0,8}|<[^<>]{0,60}|[\u00ad\u200b-\u200f\u2060\ufeff]|\[(?:\.\.\.|…|truncated|cut)\]|\((?:truncated|cut)\)|\s)+$", re.I)
@@ -36,11 +43,31 @@ _SIGNED = re.compile(r"\s*(?:—|–|--?)\s?(?:[A-ZÀ-ÞА-ЯЁІЇЄҐΑ-Ω][\w
 _PARAGRAPH = re.compile(r"\n[ \t]*\n")
 
 
+#: An ending that fills all that is looked at: it may have begun before.
+_LONG_END = re.compile(r"[\s\"'”“’»)\]*_]+|[^()\s]*\)")
+
+
+def _without_junk(text: str) -> str:
+    """``text`` without what was put behind the cut. Only the end is read, and more of it as long as all of that is such."""
+    size = 128
+    while True:
+        low = max(0, len(text) - size)
+        m = _JUNK.search(text, low)
+        if m is None or low == 0 or m.start() > low + 64:  # one piece of it has 64 characters at most, or repeats one
+            return text if m is None else text[: m.start()]
+        size *= 4
+
+
+def _is_ended(core: str) -> bool:
+    low = max(0, len(core) - 64)
+    return bool(_ENDED.search(core, low)) or low > 0 and bool(_LONG_END.fullmatch(core, low)) and bool(_ENDED.search(core))
+
+
 def ending(text: str) -> tuple[str, str]:
     """How a text ends: ``done``, or ``open`` (inside a word or sentence), ``dots``, ``list`` or ``verse``; and the text before what
     was put behind the cut."""
-    core = _JUNK.sub("", text)
-    if not core or _ENDED.search(core):
+    core = _without_junk(text)
+    if not core or _is_ended(core):
         return "done", core
     block = _PARAGRAPH.split(core)[-1]
     lines = block.strip("\n").split("\n")
@@ -89,8 +116,46 @@ def tail(text: str) -> tuple[str, str, str] | None:
     return kind, _context(words, len(words) - 1), words[-1]
 
 
-def count_tails(texts: list[str | None], total: Counter) -> None:
-    """Add the places of all words: (context, word, ends a sentence). The last word of an unfinished text is left out."""
+def context_hash(context: str) -> int:
+    """Where a context stands in the filter."""
+    h = 0
+    for w in context.split(" "):
+        h = (h * 31 + zlib.crc32(w.encode())) % FILTER_BITS
+    return h
+
+
+def _passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def _context_hashes(words: list[str], place: np.ndarray, crc: dict[str, int]) -> np.ndarray:
+    """``context_hash`` of the context of every word, from its place in its sentence and the hashes of the words before."""
+    try:
+        h = np.array([crc[w] for w in words], np.int64)
+    except KeyError:
+        if len(crc) > 1_000_000:
+            crc.clear()
+        for w in words:
+            if w not in crc:
+                crc[w] = zlib.crc32(w.encode())
+        h = np.array([crc[w] for w in words], np.int64)
+    at = np.arange(len(words))
+    out = h[np.maximum(at - 2, 0)] * 31 + h[np.maximum(at - 1, 0)]
+    for p in range(CONTEXT + 1):
+        here = at[place == p]
+        x = np.full(len(here), zlib.crc32(b"^"), np.int64)
+        for k in range(max(1, p)):
+            x = (x * 31 + (h[here - p + k] if p else 0)) % FILTER_BITS
+        out[here] = x
+    return out % FILTER_BITS
+
+
+def count_tails(texts: list[str | None], total: Counter, bits: np.ndarray | None = None, crc: dict[str, int] | None = None) -> None:
+    """Add the places of all words: (context, word, ends a sentence); with ``bits`` of those whose context passes the filter only. The
+    last word of an unfinished text is left out."""
+    said: list[str] = []
+    sizes: list[int] = []
+    closed: list[bool] = []
     for t in texts:
         if not t:
             continue
@@ -99,14 +164,33 @@ def count_tails(texts: list[str | None], total: Counter) -> None:
         for k, (lo, hi) in enumerate(spans):
             s = core[lo:hi]
             words = _words(s)
-            if k == len(spans) - 1 and kind != "done":
-                words.pop() if words else None
-                last = -1
-            else:
-                last = len(words) - 1 if _ENDED.search(s) or s.endswith("…") else -1
-            for i, w in enumerate(words):
-                total[_context(words, i), w, i == last] += 1
-                total[_any(w), w, i == last] += 1
+            open_ = k == len(spans) - 1 and kind != "done"
+            if open_:
+                del words[-1:]
+            if words:
+                said += words
+                sizes.append(len(words))
+                closed.append(not open_ and (s[-1] in "!?…．！？。" or s[-1] == "." and s[-3:] != "..." or bool(_ENDED.search(s))))
+    if not said:
+        return
+    ends = np.cumsum(sizes)
+    place = np.arange(len(said)) - np.repeat(ends - sizes, sizes)
+    final = np.zeros(len(said), bool)
+    final[ends - 1] = closed
+    wanted = range(len(said)) if bits is None else np.flatnonzero(_passes(bits, _context_hashes(said, place, {} if crc is None else crc))).tolist()
+    for i in wanted:
+        p = int(place[i])
+        total[("^ " + " ".join(said[i - p : i]) if p <= CONTEXT else " ".join(said[i - 2 : i])), said[i], bool(final[i])] += 1
+    last = Counter(said[i] for i in np.flatnonzero(final).tolist())
+    counts = Counter(said)
+    starts = [*{_any(w) for w in counts}]
+    kept = set(starts if bits is None else itertools.compress(starts, _passes(bits, np.array([context_hash(c) for c in starts]))))
+    for w, n in counts.items():
+        if (c := _any(w)) in kept:
+            if n > last[w]:
+                total[c, w, False] += n - last[w]
+            if last[w]:
+                total[c, w, True] += last[w]
 
 
 _TAIL = T.StructType([T.StructField("kind", T.StringType()), T.StructField("ctx", T.StringType()), T.StructField("last", T.StringType())])
@@ -119,38 +203,50 @@ def _tails(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["kind", "ctx", "last"])
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: Counter = Counter()
+def _counted(held: Broadcast):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, crc = Counter(), {}
+
+        def out() -> pd.DataFrame:
+            frame = pd.DataFrame([(c, w, n, n if e else 0) for (c, w, e), n in total.items()], columns=["ctx", "w", "n", "ends"])
+            total.clear()
+            return frame
+
+        for b in batches:
+            for lo in range(0, len(b), 1000):
+                count_tails(b["t"].iloc[lo : lo + 1000].tolist(), total, held.value, crc)
+                if len(total) > 150_000:
+                    yield out()
+        yield out()
+
+    return run
 
-    def out() -> pd.DataFrame:
-        frame = pd.DataFrame([(c, w, n, n if e else 0) for (c, w, e), n in total.items()], columns=["ctx", "w", "n", "ends"])
-        total.clear()
-        return frame
 
-    for b in batches:
-        for lo in range(0, len(b), 200):
-            count_tails(b["t"].iloc[lo : lo + 200].tolist(), total)
-            if len(total) > 150_000:
-                yield out()
-    yield out()
+def _filter_of(asked: DataFrame) -> np.ndarray:
+    """The bits of the contexts ``ctx``: as many rows come to the driver as the filter has words of 64 bits, at most."""
+    bit = F.aggregate(F.split("ctx", " "), F.lit(0).cast("long"), lambda h, w: F.pmod(h * 31 + F.crc32(w), F.lit(FILTER_BITS).cast("long")))
+    rows = asked.select(bit.alias("b")).select(F.shiftright("b", 6).alias("i"), F.expr("shiftleft(1L, cast(b & 63 AS int))").alias("v")).groupBy("i").agg(F.bit_or("v").alias("v")).collect()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[[r.i for r in rows]] = np.array([r.v for r in rows], np.int64).view(np.uint64)
+    return out
 
 
 def tail_counts(values: DataFrame, text: str, asked: DataFrame) -> DataFrame:
-    """``c, last, n_longer, n_end, n_word`` for the contexts ``c`` (hashes) of ``asked``: how often a word with the beginning ``last``
-    goes on there, how often ``last`` ends a sentence, and how often it stands as a word.
+    """``ctx, last, n_longer, n_end, n_word`` for the contexts ``ctx`` of ``asked``: how often a word with the beginning ``last`` goes on
+    there, how often ``last`` ends a sentence, and how often it stands as a word.
 
-    Counts leave the tasks added up, and of those only the contexts asked for, with beginnings of the lengths asked for there; one
-    exchange by context serves all steps after it.
+    Counts leave the tasks added up, and of those only the contexts asked for. A context has as many rows after the first exchange as
+    there are words that follow it, however often they do.
     """
-    words = values.select(F.col(text).alias("t")).mapInPandas(_counted, "ctx string, w string, n long, ends long").select(F.xxhash64("ctx").alias("c"), "w", "n", "ends")
+    held = values.sparkSession.sparkContext.broadcast(_filter_of(asked))
+    words = values.select(F.col(text).alias("t")).mapInPandas(_counted(held), "ctx string, w string, n long, ends long").groupBy("ctx", "w").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     # As many lengths as a word has letters.
-    lengths = asked.groupBy("c").agg(F.collect_set(F.length("last")).alias("ks"))
-    words = words.join(lengths, "c").groupBy("c", "w").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.first("ks").alias("ks"))
-    starts = words.select("c", "w", "n", "ends", F.explode(F.filter("ks", lambda k: k <= F.length("w"))).alias("k"))
+    lengths = asked.groupBy("ctx").agg(F.collect_set(F.length("last")).alias("ks"))
+    starts = words.join(lengths, "ctx").select("ctx", "w", "n", "ends", F.explode(F.filter("ks", lambda k: k <= F.length("w"))).alias("k"))
     whole = F.col("k") == F.length("w")
     return (
-        starts.select("c", F.substring("w", F.lit(1), F.col("k")).alias("last"), F.when(whole, F.col("n") - F.col("ends")).otherwise(F.col("n")).alias("longer"), F.when(whole, F.col("ends")).otherwise(0).alias("end"), F.when(whole, F.col("n")).otherwise(0).alias("word"))
-        .groupBy("c", "last")
+        starts.select("ctx", F.substring("w", F.lit(1), F.col("k")).alias("last"), F.when(whole, F.col("n") - F.col("ends")).otherwise(F.col("n")).alias("longer"), F.when(whole, F.col("ends")).otherwise(0).alias("end"), F.when(whole, F.col("n")).otherwise(0).alias("word"))
+        .groupBy("ctx", "last")
         .agg(F.sum("longer").alias("n_longer"), F.sum("end").alias("n_end"), F.sum("word").alias("n_word"))
     )
 
@@ -165,9 +261,9 @@ def truncated(values: DataFrame, keys: list[str], text: str) -> DataFrame:
     """
     cand = cut_lineage(values.select(F.struct(*keys).alias("k"), _tails(F.col(text)).alias("x")).where("x.kind IS NOT NULL").select("k", "x.*"))
     # A candidate asks for its tail in its context, and where that may not decide, for its last word in any; one letter tells nothing.
-    contexts = F.array(F.struct(F.xxhash64("ctx").alias("c"), F.lit(0).alias("any")), F.struct(F.xxhash64(F.concat(F.lit("~"), F.substring("last", 1, 2))).alias("c"), F.lit(1).alias("any")))
-    asked = cand.select("k", "kind", "last", F.explode(F.when((F.length("last") < 2) | (F.col("kind") == "open"), F.slice(contexts, 1, 1)).otherwise(contexts)).alias("q")).select("k", "kind", "last", "q.c", "q.any")
-    got = asked.join(tail_counts(values, text, asked), ["c", "last"], "left").groupBy("k", "kind", "last").agg(
+    contexts = F.array(F.struct(F.col("ctx").alias("c"), F.lit(0).alias("any")), F.struct(F.concat(F.lit("~"), F.substring("last", 1, 2)).alias("c"), F.lit(1).alias("any")))
+    asked = cand.select("k", "kind", "last", F.explode(F.when((F.length("last") < 2) | (F.col("kind") == "open"), F.slice(contexts, 1, 1)).otherwise(contexts)).alias("q")).select("k", "kind", "last", F.col("q.c").alias("ctx"), "q.any")
+    got = asked.join(tail_counts(values, text, asked), ["ctx", "last"], "left").groupBy("k", "kind", "last").agg(
         *[F.coalesce(F.max(F.when(F.col("any") == a, F.col(n))), F.lit(0)).alias(f"{n}_{a}") for n in ("n_longer", "n_end", "n_word") for a in (0, 1)]
     )
     goes_on = (F.col("n_longer_0") >= SURE) | (F.col("n_longer_0") > 0) & (F.col("n_word_0") == 0)

@@ -1,5 +1,8 @@
+import random
 from collections import Counter
 
+import numpy as np
+
 from corpusflow.llm import truncation as U
 
 
@@ -36,3 +39,31 @@ def test_operator(spark):
     row = U.truncated(df, ["id"], "text").where("id = 100").first()
     assert (row.tail_word, row.n_longer, row.n_end) == ("kni", 9, 0)
     assert U.truncated(df.limit(0), ["id"], "text").count() == 0
+
+
+def test_the_end_is_found_whatever_its_length():
+    """Only the end of a text is read: the same as the patterns over all of it."""
+    rnd = random.Random(3)
+    parts = ["word ", "End. ", "…", "...", "\n", "  " * 40, "</b>", "\\n", "�", "[truncated]", "](http://x.y/" + "z" * 90 + ")", "”" * 70, "* * *", "&amp", "(cut)", "— "]
+    for _ in range(3000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9)))
+        core = U._JUNK.sub("", t)
+        assert U._without_junk(t) == core
+        assert not core or U._is_ended(core) == bool(U._ENDED.search(core))
+
+
+def test_filter_loses_no_count():
+    texts = ["The old cat sleeps in the attic, and the old dog sleeps in the barn. Once more: the old car stops…", "“Où est-il ?” – Il dort. ﬁn", None, "the old ca"] * 3
+    every, some, bits = Counter(), Counter(), np.zeros(U.FILTER_BITS // 64, np.uint64)
+    U.count_tails(texts, every)
+    for c in (asked := {"^ ", "^ the old", "in the", "~ca", "sleeps in"}):
+        h = U.context_hash(c)
+        bits[h >> 6] |= np.uint64(1) << np.uint64(h & 63)
+    U.count_tails(texts, some, bits, {})
+    assert some == {k: n for k, n in every.items() if k[0] in asked} and len(some) >= 8
+
+
+def test_filter_of_the_session(spark):
+    df = spark.createDataFrame([("^ ",), ("^ le vieux",), ("в доме",), ("~ca",), ("~ca",)], "ctx string")
+    bits = U._filter_of(df)
+    assert all(U._passes(bits, np.array([U.context_hash(r.ctx)]))[0] for r in df.collect()) and sum(int(x).bit_count() for x in bits) == 4
