@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corpusflow.llm.language import sentences
 from corpusflow.session import cut_lineage, table
@@ -272,6 +274,48 @@ def truncated(values: DataFrame, keys: list[str], text: str) -> DataFrame:
     return got.select(*[F.col("k").getField(k).alias(k) for k in keys], F.col("kind").alias("ending"), F.col("last").alias("tail_word"), F.col("n_longer_0").alias("n_longer"), F.col("n_end_0").alias("n_end"), F.col("n_word_1").alias("n_word"), cut.alias("cut"))
 
 
+_STEP = "_h binary, _k string, _n long, _border int, _pid int, _text string, _longer string, _m long"
+
+
+def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Values in order, each against the next; the first and the last of a partition also go out by themselves."""
+    pid, last = TaskContext.get().partitionId(), None
+    for frame in batches:
+        rows = []
+        for h, k, t in zip(frame["_h"], frame["_k"], frame["_text"]):
+            if last is None:
+                rows.append((h, k, len(t), 0, pid, t, None, None))
+            elif t.startswith(last[2]):
+                rows.append((last[0], last[1], len(last[2]), None, None, None, k, len(t)))
+            last = (h, k, t)
+        yield pd.DataFrame(rows, columns=["_h", "_k", "_n", "_border", "_pid", "_text", "_longer", "_m"])
+    if last is not None:
+        yield pd.DataFrame([(last[0], last[1], len(last[2]), 1, pid, last[2], None, None)], columns=["_h", "_k", "_n", "_border", "_pid", "_text", "_longer", "_m"])
+
+
+def strict_prefixes(values: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, longer, n_chars, n_longer_chars``: the rows whose text is the beginning of a longer text, and the row that has it.
+
+    The different values are sorted by ranges. If any value begins with a text, then the one that follows it in the order does, so each
+    is compared with its successor only, however many share a beginning; what is compared over the borders of the ranges are two values
+    for each. ``longer`` is the keys (a struct) of the successor: the least of those rows with it. Every copy of a value has a row,
+    repeated rows one; nulls and empty texts have none, and are nobody's beginning. An empty table gives none.
+    """
+    rows = values.where(F.length(text) > 0).select(F.struct(*keys).alias("k"), F.col(text).alias("t")).withColumn("h", F.unhex(F.sha2("t", 256)))
+    kind = rows.schema["k"].dataType.simpleString()
+    distinct = rows.groupBy(F.col("h").alias("_h"), F.col("t").alias("_text")).agg(F.to_json(F.min("k"), {"ignoreNullFields": "false"}).alias("_k"))
+    laid = distinct.select("_h", "_k", "_text").repartitionByRange("_text").sortWithinPartitions("_text")
+    seen = cut_lineage(laid.mapInPandas(_neighbours, _STEP))
+    # Two rows for each partition.
+    borders = seen.where("_border IS NOT NULL")
+    following = Window.orderBy("_pid", "_border")
+    after = [F.lead(c).over(following).alias(a) for c, a in (("_border", "b2"), ("_text", "t2"), ("_k", "k2"), ("_n", "n2"))]
+    over = borders.select("_h", "_n", "_text", "_border", *after).where((F.col("_border") == 1) & (F.col("b2") == 0) & F.startswith("t2", "_text"))
+    found = seen.where("_border IS NULL").select("_h", "_n", "_longer", "_m").unionByName(over.select("_h", "_n", F.col("k2").alias("_longer"), F.col("n2").alias("_m")))
+    out = rows.select("k", "h").distinct().join(found, F.col("h") == F.col("_h"))
+    return out.select(*[F.col("k").getField(k).alias(k) for k in keys], F.from_json("_longer", kind).alias("longer"), F.col("_n").alias("n_chars"), F.col("_m").alias("n_longer_chars"))
+
+
 def p4_values(spark: SparkSession, root: str) -> DataFrame:
     answers = table(spark, root, "translator_responses").select(F.lit("response").alias("record_kind"), F.col("response_id").alias("record_id"), F.lower(F.trim("route")).alias("source"), F.col("translation").alias("value"))
     chapters = table(spark, root, "chapters").select(F.lit("chapter").alias("record_kind"), F.col("chapter_id").alias("record_id"), F.col("source_format").alias("source"), F.col("content").alias("value"))
@@ -293,5 +337,27 @@ def p4_rates(spark: SparkSession, root: str) -> DataFrame:
     return records.join(cut, ["record_kind", "record_id"], "left").groupBy("record_kind", "source").agg(F.count("*").alias("n_records"), F.count("cut").alias("n_cut"), F.round(F.count("cut") / F.count("*"), 6).alias("share"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_evidence": p4_evidence, "p4_rates": p4_rates}
-ORACLE: dict[str, str] = {}
+def p4_prefixes(spark: SparkSession, root: str) -> DataFrame:
+    """Whole values that are the beginning of a longer value elsewhere."""
+    found = strict_prefixes(p4_values(spark, root), ["record_kind", "record_id"], "value")
+    return found.select("record_kind", "record_id", F.col("longer.record_kind").alias("longer_kind"), F.col("longer.record_id").alias("longer_id"), "n_chars", "n_longer_chars")
+
+
+def p4_prefix_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Share of records that are the beginning of a longer value, per route and format."""
+    records = p4_values(spark, root).where("value IS NOT NULL").select("record_kind", "record_id", "source").distinct()
+    hit = p4_prefixes(spark, root).select("record_kind", "record_id").distinct().withColumn("hit", F.lit(1))
+    return records.join(hit, ["record_kind", "record_id"], "left").groupBy("record_kind", "source").agg(F.count("*").alias("n_records"), F.count("hit").alias("n_prefixes"), F.round(F.count("hit") / F.count("*"), 6).alias("share"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_evidence": p4_evidence, "p4_rates": p4_rates, "p4_prefixes": p4_prefixes, "p4_prefix_rates": p4_prefix_rates}
+_VALUES = """v AS (SELECT 'response' AS record_kind, response_id AS record_id, lower(trim(route, ' ')) AS source, translation AS value FROM translator_responses
+  UNION ALL SELECT 'chapter', chapter_id, source_format, content FROM chapters),
+d AS (SELECT value, min({'k': record_kind, 'i': record_id}) AS k FROM v WHERE length(value) > 0 GROUP BY 1),
+s AS (SELECT a.value, arg_min(b.k, b.value) AS k, CAST(arg_min(length(b.value), b.value) AS BIGINT) AS n FROM d a JOIN d b ON starts_with(b.value, a.value) AND length(b.value) > length(a.value) GROUP BY 1),
+p AS (SELECT DISTINCT v.record_kind, v.record_id, s.k.k AS longer_kind, s.k.i AS longer_id, CAST(length(value) AS BIGINT) AS n_chars, s.n AS n_longer_chars FROM v JOIN s USING (value))"""
+ORACLE = {
+    "p4_prefixes": f"WITH {_VALUES} SELECT * FROM p",
+    "p4_prefix_rates": f"""WITH {_VALUES}, r AS (SELECT DISTINCT record_kind, record_id, source FROM v WHERE value IS NOT NULL), h AS (SELECT DISTINCT record_kind, record_id, 1 AS hit FROM p)
+SELECT record_kind, source, count(*) AS n_records, count(hit) AS n_prefixes, round(count(hit) / count(*), 6) AS share FROM r LEFT JOIN h USING (record_kind, record_id) GROUP BY 1, 2""",
+}

@@ -67,3 +67,18 @@ def test_filter_of_the_session(spark):
     df = spark.createDataFrame([("^ ",), ("^ le vieux",), ("в доме",), ("~ca",), ("~ca",)], "ctx string")
     bits = U._filter_of(df)
     assert all(U._passes(bits, np.array([U.context_hash(r.ctx)]))[0] for r in df.collect()) and sum(int(x).bit_count() for x in bits) == 4
+
+
+def test_strict_prefixes_by_brute_force(spark):
+    rnd = random.Random(5)
+    rows = [(i, "".join(rnd.choice("abé漢") for _ in range(rnd.randint(0, 7))), "x") for i in range(400)] + [(900, None, "x"), (901, "a", "x"), (901, "a", "x"), (902, "zz" * 30_000, "x"), (903, "zz" * 60_000, "x")]
+    df = spark.createDataFrame(rows, "id long, text string, longer string").repartition(7)
+    got = sorted((r.id, r.longer.id, r.n_chars, r.n_longer_chars) for r in U.strict_prefixes(df, ["id"], "text").collect())
+    values = sorted({t for _, t, _ in rows if t}, key=lambda t: t.encode())
+    least = {t: min(i for i, u, _ in rows if u == t) for t in values}
+    want = set()
+    for i, t, _ in rows:
+        if t and (longer := [u for u in values if u.startswith(t) and u != t]):
+            want.add((i, least[longer[0]], len(t), len(longer[0])))
+    assert got == sorted(want) and len(want) > 100
+    assert U.strict_prefixes(df.limit(0), ["id"], "text").count() == 0
