@@ -1,14 +1,16 @@
 """Language of documents and of the segments of mixed ones (problem 8).
 
 The model averages hashed subword embeddings of a sentence and puts a linear softmax on the average. It is trained by stochastic
-gradient descent in numpy on a bounded sample of labelled documents, cleaned once of sentences that contradict their label, and
-calibrated on held-out sentences: a temperature for the confidence, and the confidence below which a sentence is rejected. For use,
-embedding and softmax fold into one row of scores for each distinct word, so that a text costs one look-up for each word. Rows are
-labelled where they lie; nothing is shuffled.
+gradient descent in numpy on a bounded sample of labelled documents, cleaned of sentences that stand apart from most of their label,
+and once of those that contradict it, and calibrated on held-out sentences: a temperature for the confidence, and the confidence below which a sentence is rejected. A softmax
+is sure of anything, so a sentence is also rejected, before it, when too few of its subwords were ever seen in the language: how few
+is calibrated with each language left out in turn. For use, embedding and softmax fold into one row of scores for each distinct word,
+so that a text costs one look-up for each word. Rows are labelled where they lie; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -25,6 +27,18 @@ from pyspark.sql import types as T
 from corpusflow.llm.glyphs import one_script
 from corpusflow.session import table
 
+#: What a text or segment has whose language is none of those that the labels teach.
+UNDETERMINED = "und"
+#: A language is learned when at least so many documents, and so large a share of the labelled ones, have its label; at most so many
+#: languages, those of most documents, as each has a bit in the table of subwords seen.
+LEAST_DOCS, LEAST_SHARE, MOST_LANGUAGES = 2, 0.002, 32
+#: Places in the table of subwords seen, and the sentences of a language in which one must have been.
+PLACES, OFTEN_SEEN = 1 << 18, 2
+#: Rejection is set half way between where this share of every language left out is rejected and where that of what is known would be,
+#: and never above the latter.
+REJECT_UNKNOWN, REJECT_KNOWN = 0.95, 0.005
+#: A sentence stands apart from its label when its subwords are so many deviations rarer there than usual.
+APART = 2.5
 LANGUAGES = ("de", "en", "es", "fr", "pt", "ru", "uk")
 #: Notations of the languages besides the two-letter codes: fixed values, in lower case.
 NOTATIONS = {
@@ -61,7 +75,7 @@ def label_code(label: Column) -> Column:
     pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     known = F.coalesce(F.try_element_at(pairs, clean), F.try_element_at(pairs, root))
     nothing = clean.isin(*NO_LANGUAGE) | ~clean.rlike(r"\p{L}")
-    return F.when(label.isNull() | nothing, F.lit(None)).otherwise(F.coalesce(known, clean))
+    return F.when(label.isNull() | nothing, F.lit(None)).otherwise(F.coalesce(known, F.when(root != "", root), clean))
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -84,6 +98,12 @@ def subwords(word: str, buckets: int) -> list[int]:
     return [zlib.crc32(g.encode()) % buckets for g in sorted(grams)]
 
 
+def places(word: str) -> set[int]:
+    """Where the character n-grams of 3 and 4 of a word stand in the table of subwords seen."""
+    w = f"<{word}>"
+    return {zlib.crc32(w[i : i + n].encode()) % PLACES for n in (3, 4) for i in range(len(w) - n + 1)}
+
+
 @dataclass
 class Model:
     languages: tuple[str, ...]
@@ -91,16 +111,30 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     reject: float = 0.5
+    seen: np.ndarray | None = None  # place -> a bit for each language in which training saw the subword
+    least_seen: float = 0.0
 
     def word(self, w: str) -> np.ndarray:
-        ids = subwords(one_script(w), len(self.scores))
-        return np.append(self.scores[ids].sum(0), np.float32(len(ids)))
+        """Scores of each language and the number of subwords; how many are seen in each language, and of how many."""
+        own, k = one_script(w), len(self.languages)
+        ids, at = subwords(own, len(self.scores)), [*places(own)]
+        out = np.zeros(2 * k + 2, np.float32)
+        out[:k], out[k], out[2 * k + 1] = self.scores[ids].sum(0), len(ids), len(at)
+        if self.seen is not None and at:
+            out[k + 1 : 2 * k + 1] = ((self.seen[at][:, None] >> np.arange(k, dtype=np.uint32)) & 1).sum(0)
+        return out
 
     def confidence(self, sums: np.ndarray) -> np.ndarray:
-        z = (sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias) / self.temperature
+        k = len(self.languages)
+        z = (sums[:, :k] / np.maximum(sums[:, k : k + 1], 1) + self.bias) / self.temperature
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
+    def share_seen(self, sums: np.ndarray) -> np.ndarray:
+        """The share of subwords that training saw in each language."""
+        k = len(self.languages)
+        return sums[:, k + 1 : 2 * k + 1] / np.maximum(sums[:, -1:], 1)
+
 
 def _words(text: str) -> list[str]:
     t = text.lower()
@@ -118,6 +152,7 @@ def romanised(words: Sequence[str]) -> list[str]:
 def train(samples: Sequence[tuple[Sequence[str], int]], languages: tuple[str, ...] = LANGUAGES, dim: int = 12, buckets: int = 1 << 15, epochs: int = 4, rate: float = 0.3, seed: int = 7, clean: bool = True, cache: dict[str, list[int]] | None = None) -> Model:
     """Fit on (words, language index) pairs. Deterministic for a given order of the samples."""
     rnd, k = np.random.default_rng(seed), len(languages)
+    samples = _of_their_label(samples) if clean else samples
     epochs = max(1, epochs // 2) if clean else epochs
     cache = {} if cache is None else cache
     for words, _ in samples:
@@ -177,9 +212,70 @@ def train(samples: Sequence[tuple[Sequence[str], int]], languages: tuple[str, ..
     # Rejected is what is no surer than all but a thousandth of the held-out sentences' errors.
     allowed = len(y) // 1000
     model.reject = float(min(0.9, max(0.6, wrong[-1 - allowed] if len(wrong) > allowed else 0.0)))
+    _learn_seen(model, samples, fit, held)
     return model
 
 
+def _of_their_label(samples: Sequence[tuple[Sequence[str], int]]) -> list[tuple[Sequence[str], int]]:
+    """The samples without those that stand apart: wrong labels, also those in a language that no label names, where nothing else would
+    tell. A sentence's subwords are looked up among those of the other sentences with its label; twice, as the first time the strange
+    ones support each other."""
+    known: dict[str, set[int]] = {}
+    for words, _ in samples:
+        for w in words:
+            if w not in known:
+                known[w] = places(one_script(w))
+    ids = [np.array([p for w in words for p in known[w]], np.int64) for words, _ in samples]
+    kept = [i for i, x in enumerate(ids) if len(x)]
+    for _ in range(2):
+        out = []
+        for y in sorted({samples[i][1] for i in kept}):
+            own = [i for i in kept if samples[i][1] == y]
+            counts = np.zeros(PLACES, np.float32)
+            for i in own:
+                counts[np.unique(ids[i])] += 1
+            score = np.array([np.log((counts[ids[i]] - 1) / len(own) + 0.001).mean() for i in own])
+            middle = np.median(score)
+            spread = max(0.1, 1.4826 * float(np.median(np.abs(score - middle))))
+            out += [i for i, v in zip(own, score) if v >= middle - APART * spread or len(own) < 10]
+        kept = out
+    return [samples[i] for i in sorted(kept)]
+
+
+def _learn_seen(model: Model, samples: Sequence[tuple[Sequence[str], int]], fit: list[int], held: list[int]) -> None:
+    """Which subwords each language has, and the share of them below which a sentence is in none of the languages."""
+    k, known = len(model.languages), {}
+
+    def at(words: Sequence[str]) -> list[int]:
+        for w in words:
+            if w not in known:
+                known[w] = places(one_script(w))
+        return [p for w in words for p in known[w]]
+
+    counts = np.zeros((PLACES, k), np.int32)
+
+    def add(which: list[int]) -> None:
+        for i in which:
+            words, y = samples[i]
+            for form in [words, romanised(words)] if any("а" <= c <= "я" for c in words[0]) else [words]:
+                counts[list(set(at(form))), y] += 1
+
+    add(fit)
+    seen = counts >= OFTEN_SEEN
+    own, other = [], [[] for _ in range(k)]
+    for i in held:
+        words, y = samples[i]
+        if len(words) >= SHORTEST and (ids := at(words)):
+            share = seen[ids].mean(0)
+            own.append(share[y])
+            other[y].append(np.delete(share, y).max(initial=0.0))
+    if own:
+        known_from, unknown_to = float(np.quantile(own, REJECT_KNOWN)), max(float(np.quantile(x, REJECT_UNKNOWN)) for x in other if x)
+        model.least_seen = min(known_from, (known_from + unknown_to) / 2)
+    add(held)
+    model.seen = ((counts >= OFTEN_SEEN).astype(np.uint32) << np.arange(k, dtype=np.uint32)).sum(1, dtype=np.uint32)
+
+
 def judge(model: Model, cache: dict, texts: list[str | None]) -> list[list[tuple]]:
     """For each text its segments: ``(lang, confidence, char_from, char_to, n_sentences)``; ``n_sentences`` counts whole ones."""
     rows, index = cache.setdefault("rows", []), cache.setdefault("index", {})
@@ -211,60 +307,98 @@ def judge(model: Model, cache: dict, texts: list[str | None]) -> list[list[tuple
         cache["matrix"] = np.array(rows, np.float32)
     sizes = np.array([u[3] for u in units])
     sums = np.add.reduceat(cache["matrix"][np.array(flat)], np.cumsum(sizes) - sizes)
-    p = model.confidence(sums)
+    p, share = model.confidence(sums), model.share_seen(sums)
     own = np.array([u[0] for u in units])
     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    whole_text = model.confidence(np.add.reduceat(sums, first))
+    together = np.add.reduceat(sums, first)
+    whole_text, whole_share = model.confidence(together), model.share_seen(together)
     for k, lo in enumerate(first.tolist()):
         hi = first[k + 1] if k + 1 < len(first) else len(units)
-        _segments(model, units[lo:hi], p[lo:hi], whole_text[k], out[units[lo][0]])
+        _segments(model, units[lo:hi], p[lo:hi], share[lo:hi], whole_text[k], whole_share[k], out[units[lo][0]])
     return out
 
 
-def _segments(model: Model, units: list, p: np.ndarray, total: np.ndarray, out: list) -> None:
-    top, sure = p.argmax(1), p.max(1)
-    # A sentence stands for itself when it is whole and sure; others take the language of the text or of their neighbours.
-    solid = [u[4] and s >= model.reject for u, s in zip(units, sure)]
-    main = int(np.bincount(top[solid], weights=[u[3] for u, ok in zip(units, solid) if ok], minlength=p.shape[1]).argmax()) if any(solid) else int(total.argmax())
+def _segments(model: Model, units: list, p: np.ndarray, share: np.ndarray, total: np.ndarray, total_share: np.ndarray, out: list) -> None:
+    top, sure, und = p.argmax(1), p.max(1), p.shape[1]
+    known = share[np.arange(len(units)), top] >= model.least_seen
+    # A sentence stands for itself when it is whole and sure, or whole and strange; others take the language of the text or of their neighbours.
+    solid = [bool(u[4] and k and s >= model.reject) for u, k, s in zip(units, known, sure)]
+    if any(solid):
+        main = int(np.bincount(top[solid], weights=[u[3] for u, ok in zip(units, solid) if ok], minlength=und).argmax())
+    else:
+        main = int(total.argmax()) if total_share[total.argmax()] >= model.least_seen else und
     solid = [ok and (t == main or s >= MINOR) for ok, t, s in zip(solid, top, sure)]
+    strange = [bool(u[4]) and not k for u, k in zip(units, known)]
     lang, here = [], next((int(t) for t, ok in zip(top, solid) if ok), main)
-    for t, ok in zip(top, solid):
+    for t, ok, odd in zip(top, solid, strange):
         here = int(t) if ok else here
-        lang.append(here)
+        lang.append(und if odd else here)
+    # The confidence that a sentence is in one of the languages falls with the share of its subwords that were seen there.
+    trust = p * np.minimum(1.0, share / max(model.least_seen, 1e-9)) if model.least_seen else p
+    trust = np.concatenate([trust, 1 - trust.max(1, keepdims=True)], 1)
     start = 0
     for i in range(1, len(units) + 1):
         if i == len(units) or lang[i] != lang[start]:
-            part = range(start, i)
+            part, y = range(start, i), lang[start]
             weights = np.array([units[j][3] for j in part], float)
-            out.append((model.languages[lang[start]], float((p[start:i, lang[start]] * weights).sum() / weights.sum()), units[start][1], units[i - 1][2], sum(1 for j in part if solid[j])))
+            name = model.languages[y] if y < und else UNDETERMINED
+            out.append((name, float((trust[start:i, y] * weights).sum() / weights.sum()), units[start][1], units[i - 1][2], sum(1 for j in part if (strange if y == und else solid)[j])))
             start = i
 
 
 _SEGMENT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("char_from", T.IntegerType()), T.StructField("char_to", T.IntegerType()), T.StructField("n_sentences", T.IntegerType())])
 
 
-def fit_model(docs: DataFrame, doc_id: str, text: str, label: str, languages: tuple[str, ...] = LANGUAGES, sample_docs: int = 2000, sample_sentences: int = 9000) -> Model:
-    """Train on at most ``sample_docs`` labelled rows and ``sample_sentences`` of their sentences, chosen by a hash of the id.
+def labelled_languages(docs: DataFrame, label: str) -> dict[str, int]:
+    """The languages that enough documents are labelled with, as two- or three-letter codes, and how many are."""
+    counts = docs.groupBy(label_code(F.col(label)).alias("l")).agg(F.count("*").alias("n")).where(F.col("l").rlike("^[a-z]{2,3}$"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * total)).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()
+    return {r.l: r.n for r in rows}
+
 
-    Rows without usable label or text are left out. A table without any gives a model that knows nothing and rejects everything.
+def fit_model(docs: DataFrame, doc_id: str, text: str, label: str, languages: Sequence[str] | None = None, sample_docs: int = 2000, sample_sentences: int = 9000) -> Model:
+    """Train on about ``sample_docs`` labelled rows and ``sample_sentences`` of their sentences: of every language the same number of
+    rows, as far as it has them, those with the least hashes of their ids.
+
+    The languages are those of the labels, or of them those given. Rows without usable label or text are left out. A table without any
+    gives a model that knows nothing and rejects everything. A session trains once on the same sample.
     """
-    labelled = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), label_code(F.col(label)).alias("l")).where(F.col("l").isin(*languages) & (F.length("t") >= 40))
-    total = docs.select(doc_id).count()
-    share = min(1.0, 1.5 * sample_docs / max(1, total))
-    drawn = labelled.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(sample_docs).collect()
-    drawn.sort(key=lambda r: (zlib.crc32(str(r.i).encode()), str(r.i)))
-    samples = []
-    for r in drawn:
-        y = languages.index(r.l)
-        for lo, hi in sentences(r.t):
-            if len(words := _words(r.t[lo:hi])) >= 3:
-                samples.append((words, y))
-    step = max(1.0, len(samples) / sample_sentences)
-    rare = np.bincount([y for _, y in samples], minlength=len(languages)) < sample_sentences / (2 * len(languages))
-    samples = [s for i, s in enumerate(samples) if rare[s[1]] or int(i / step) != int((i - 1) / step)]
+    held = {k: n for k, n in labelled_languages(docs, label).items() if languages is None or k in languages}
+    names = tuple(sorted(held))
+    nothing = Model(names or ("und",), np.zeros((2, max(1, len(names))), np.float32), np.zeros(max(1, len(names)), np.float32), 1.0, 1.0, None, 1.0)
+    if not names:
+        return nothing
+    quota, rest = {}, sample_docs
+    for i, k in enumerate(sorted(names, key=lambda k: held[k])):
+        quota[k] = min(held[k], max(1, rest // (len(names) - i)))
+        rest -= quota[k]
+    code = label_code(F.col(label))
+    share = F.create_map(*[F.lit(x) for k in names for x in (k, int(1_000_000 * min(1.0, 1.5 * quota[k] / held[k])))])
+    drawn = (
+        docs.select(F.xxhash64(doc_id).alias("h"), F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t"), code.alias("l"))
+        .where(F.col("l").isin(*names) & (F.pmod("h", F.lit(1_000_000)) < F.try_element_at(share, F.col("l"))) & (F.length("t") >= 40))
+        .collect()
+    )
+    drawn.sort(key=lambda r: (r.h % 1_000_000, r.h, r.i, r.t))
+    samples: list[tuple[list[str], int]] = []
+    for y, k in enumerate(names):
+        own = [words for r in [r for r in drawn if r.l == k][: quota[k]] for lo, hi in sentences(r.t) if len(words := _words(r.t[lo:hi])) >= 3]
+        step = max(1.0, len(own) * len(names) / sample_sentences)
+        samples += [(words, y) for i, words in enumerate(own) if int(i / step) != int((i - 1) / step)]
     if not samples:
-        return Model(languages, np.zeros((2, len(languages)), np.float32), np.zeros(len(languages), np.float32), 1.0, 1.0)
-    return train(samples, languages)
+        return nothing
+    samples.sort(key=lambda s: zlib.crc32(" ".join(s[0]).encode()))
+    key = hashlib.sha256(repr((names, samples)).encode()).hexdigest()
+    if key not in _TRAINED:
+        if len(_TRAINED) >= 4:
+            _TRAINED.pop(next(iter(_TRAINED)))
+        _TRAINED[key] = train(samples, names)
+    return _TRAINED[key]
+
+
+#: The models of the last samples.
+_TRAINED: dict[str, Model] = {}
 
 
 def _labeller(held: Broadcast):
@@ -284,7 +418,8 @@ def language_segments(docs: DataFrame, keep: Sequence[str], text: str, model: Mo
     """``keep`` columns and ``segments``: array of ``lang, confidence, char_from, char_to, n_sentences`` in order of the text.
 
     ``n_sentences`` counts the whole sentences in which the language is sure; 0 where the text has words but no such sentence, and
-    the language is the likeliest. Words in a sentence of another language make no segment of their own. A null or empty text, or one
+    the language is the likeliest. ``lang`` is "und" for whole sentences, or a text, in none of the model's languages: ``n_sentences``
+    then counts the rejected ones. Words in a sentence of another language make no segment of their own. A null or empty text, or one
     without words, has no segments. Rows are judged one by one, so repeated rows repeat and an empty table stays empty.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -292,8 +427,8 @@ def language_segments(docs: DataFrame, keep: Sequence[str], text: str, model: Mo
 
 
 def _languages(segments: Column) -> Column:
-    """Languages with at least one whole sentence; the likeliest where there is none."""
-    whole = F.filter(segments, lambda s: s["n_sentences"] > 0)
+    """Languages with at least one whole sentence; the likeliest where there is none, and "und" where none is likely."""
+    whole = F.filter(segments, lambda s: (s["n_sentences"] > 0) & (s["lang"] != UNDETERMINED))
     best = F.slice(F.array_sort(segments, lambda a, b: F.when(a["char_to"] - a["char_from"] > b["char_to"] - b["char_from"], -1).otherwise(1)), 1, 1)
     return F.array_sort(F.array_distinct(F.transform(F.when(F.size(whole) > 0, whole).otherwise(best), lambda s: s["lang"])))
 
@@ -307,7 +442,8 @@ def _judged(spark: SparkSession, root: str) -> DataFrame:
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     seen = _judged(spark, root).where(F.size("segments") > 0).select("doc_id", label_code(F.col("lang")).alias("l"), _languages(F.col("segments")).alias("ls"))
     wrong = F.col("l").isNull() | (F.size("ls") > 1) | ~F.array_contains("ls", F.col("l"))
-    return seen.where(wrong).select("doc_id", F.explode("ls").alias("lang_found")).distinct()
+    # A text in none of the languages has no code to be reported with.
+    return seen.where(wrong).select("doc_id", F.explode("ls").alias("lang_found")).where(F.col("lang_found") != UNDETERMINED).distinct()
 
 
 def p8_segments(spark: SparkSession, root: str) -> DataFrame:
