@@ -143,26 +143,32 @@ def _reduce(left: dict[int, int], capacity: int, settle, take) -> None:
             n = min(left[s], left[rest])
             settle([(s, 1), (rest, 1)], n)
             take(s, n), take(rest, n)
-    while left:
-        sizes = sorted(left)
+    sizes = sorted(left)
+
+    def used_up(*those: int) -> None:
+        for x in {x for x in those if x not in left}:
+            del sizes[bisect.bisect_left(sizes, x)]
+
+    while sizes:
         s, rest = sizes[-1], capacity - sizes[-1]
-        take_one = {**left, s: left[s] - 1}
-        small: list[int] = []
+        small: list[int] = []  # the three smallest items besides one of the largest
         for x in sizes:
-            small += [x] * min(take_one[x], 3 - len(small))
+            small += [x] * min(left[x] - (x == s), 3 - len(small))
             if len(small) == 3:
                 break
         if not small or small[0] > rest:
             n = left[s] if s > rest else 1
             settle([(s, 1)], n)
             take(s, n)
+            used_up(s)
             continue
-        fit = [x for x in sizes if x <= rest and take_one[x] > 0]
-        best = fit[-1]
+        k = bisect.bisect_right(sizes, rest)
+        if sizes[k - 1] == s and left[s] == 1:
+            k -= 1
+        best = sizes[k - 1]
         alone = len(small) < 2 or small[0] + small[1] > rest
         if not alone and (len(small) < 3 or sum(small) > rest):  # at most two more fit: one that is as large as any two dominates
-            pair = max((x + y for i, x in enumerate(fit) for y in [next((y for y in reversed(fit[: i + 1]) if x + y <= rest and (y != x or take_one[x] > 1)), None)] if y is not None), default=0)
-            alone = best >= pair
+            alone = best >= _largest_pair(sizes, k, rest, lambda x: left[x] - (x == s))
         if not alone:
             return
         n = left[s] // 2 if best == s else min(left[s], left[best])
@@ -172,6 +178,21 @@ def _reduce(left: dict[int, int], capacity: int, settle, take) -> None:
         else:
             settle([(s, 1), (best, 1)], n)
             take(s, n), take(best, n)
+        used_up(s, best)
+
+
+def _largest_pair(sizes: list[int], k: int, rest: int, count) -> int:
+    """The most that two of the items of the first ``k`` sizes fill of ``rest``."""
+    low, high, top = 0, k - 1, 0
+    while low <= high:
+        both = sizes[low] + sizes[high]
+        if both > rest:
+            high -= 1
+        else:
+            if low < high or count(sizes[low]) > 1:
+                top = max(top, both)
+            low += 1
+    return top
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -220,7 +241,7 @@ def pack(tokens: DataFrame, doc_id: str, n_tokens: str, packs: DataFrame, pack_n
     A text above the capacity is cut into pieces of the capacity and one rest; any other is one piece. Container numbers run from 0
     within a pack. Texts without tokens (or with a null count) need no room and are spread over the containers. Repeated rows are
     packed each; ties among equal sizes are broken by ``doc_id``. No texts give no rows, as do no packs; packs whose capacity is null
-    or below 1 are ignored, of equal names the smallest capacity holds. ``group_rows`` bounds the rows ranked in one task, and the
+    or below 1 are ignored, of equal names the smallest capacity holds. ``group_rows`` is about how many pieces are ranked in one task, and the
     histogram that comes to the driver has at most as many rows as the capacities add up to.
     """
     spark = tokens.sparkSession
@@ -228,11 +249,11 @@ def pack(tokens: DataFrame, doc_id: str, n_tokens: str, packs: DataFrame, pack_n
     if len(wanted) > 1000 or sum(r.c for r in wanted) > 10_000_000:
         raise ValueError("the packs' histograms would not be small")
     base = cut_lineage(tokens.select(F.col(doc_id).alias("d"), F.coalesce(F.col(n_tokens).cast("long"), F.lit(0)).alias("n")))
-    rows = base.count()
-    salts = max(8, -(-rows // group_rows))
     names = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(r.c).alias("c")) for i, r in enumerate(wanted)]) if wanted else F.array().cast("array<struct<p:int,c:bigint>>")
     each = base.select("d", "n", F.explode(names).alias("q")).select("d", "n", "q.p", "q.c")
     pieces = F.when(F.col("n") > F.col("c"), F.ceil(F.col("n") / F.col("c"))).otherwise(F.lit(1)).cast("int")
+    # Rows that are ranked are pieces: most of those of long texts have one size, the capacity.
+    salts = max(8, -(-(each.agg(F.sum(pieces)).first()[0] or 0) // group_rows))
     items = (
         each.select("d", "n", "p", "c", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("i"))
         .withColumns({"lo": F.col("i") * F.col("c"), "hi": F.least("n", (F.col("i") + 1) * F.col("c")), "salt": F.pmod(F.xxhash64("d", "i"), F.lit(salts)).cast("int")})
