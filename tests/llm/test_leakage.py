@@ -74,3 +74,33 @@ def test_operator(spark):
     assert clean[11] == "intro.  end" and clean[15] == "" and clean[12] is None and len(clean[14]) == 400_000
     assert L.leaked_spans(docs, "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
     assert L.leaked_spans(docs.limit(0), "doc_id", "text", items, "item_id", "passage").count() == 0
+
+
+def test_stretch_and_edits_are_parameters(spark):
+    assert L.longest_run(20, 8) == 5 and L.longest_run(12, 4) == 2 and L.longest_run(3, 100) == 3
+    words = [f"word{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, "a " + " ".join(words[5:17]) + " b"), (2, " ".join(w if i % 5 else "other" for i, w in enumerate(words)))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, passage string")
+    found = lambda **o: sorted((r.doc_id, r.n_words) for r in L.leaked_spans(docs, "doc_id", "text", items, "item_id", "passage", **o).collect())
+    assert found() == [] and found(stretch=12, per_edit=12) == [(1, 12)] and found(stretch=12, per_edit=4) == [(1, 12), (2, 39)]
+
+
+def test_other_parameters_against_brute_force(monkeypatch):
+    monkeypatch.setattr(L, "STRETCH", 12)
+    monkeypatch.setattr(L, "PER_EDIT", 5)
+    rnd, differs, found = random.Random(8), 0, 0
+    for k in range(40):
+        item = [rnd.choice(WORDS) for _ in range(20)]
+        doc = [rnd.choice(WORDS) for _ in range(rnd.randint(0, 9))] + edited(rnd, item[: rnd.randint(8, 20)], rnd.choice([0, 0.1, 0.2])) + [rnd.choice(WORDS) for _ in range(5)]
+        got = bool(L.scan(L.ItemIndex([(1, " ".join(item))], 12, 5), {}, [" ".join(doc)])[0])
+        found += got
+        differs += got != brute(doc, item)
+    assert found > 10 and differs <= 1
+
+
+def test_spans_are_removed_by_either_join(spark):
+    docs = spark.createDataFrame([(1, "abcdef", 1), (1, "abcdef", 2), (2, "xyz", 3), (3, None, 4)], "doc_id long, text string, _doc int")
+    spans = spark.createDataFrame([(1, 1, 3), (1, 2, 4), (1, 1, 3), (3, 0, 1)], "doc_id long, char_from int, char_to int")
+    for few in (0, 10):
+        got = L.without_spans(docs, "doc_id", "text", spans, few)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "aef", 1), (1, "aef", 2), (2, "xyz", 3), (3, None, 4)]
