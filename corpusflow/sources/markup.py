@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,104 +22,151 @@ MARKS = {"em": "*", "i": "*", "strong": "**", "b": "**", "code": "`"}
 UNSUPPORTED = "img table figure figcaption aside sup sub math ruby audio video".split()
 SCENE = "<!-- bt-scene-break -->"
 _ID = r"[A-Za-z_][A-Za-z0-9_.:-]*"
-_LOCAL = re.compile(rf"(?:([A-Za-z0-9_.-]+\.(?:xhtml|html|htm)))?#({_ID})")
+_NAME = re.compile(_ID)
 _EXTERNAL = re.compile(r"https?://[^\s/?#]+\S*", re.I)
+_ESCAPED = str.maketrans({c: "\\" + c for c in "*`[]\\"})
 
 
 class Blocked(ValueError):
     """A document whose structure would be lost."""
 
 
-class _Events(HTMLParser):
-    """The document as a list of events; what they mean is decided afterwards."""
+@dataclass
+class _Node:
+    """An element of the tree: text has no tag. Elements that mean nothing here are left out, their content is their parent's."""
 
-    def __init__(self):
+    tag: str
+    attrs: dict = field(default_factory=dict)
+    children: list = field(default_factory=list)
+    text: str = ""
+    closed: bool = True
+
+
+class _Tree(HTMLParser):
+    """Reads a document into a tree of blocks, marks and text."""
+
+    def __init__(self, skipped: set[str]):
         super().__init__(convert_charrefs=True)
-        self.events: list[tuple[str, str, dict]] = []
+        self.skipped, self.depth = skipped, 0
+        self.known = {*BLOCKS, *HEADINGS, *MARKS, "a"}
+        self.root = _Node("")
+        self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        self.events.append(("open", tag.lower(), dict(attrs)))
+        if tag in self.skipped:
+            self.depth += 1
+        elif not self.depth:
+            node = _Node(tag, dict(attrs))
+            if tag in self.known:
+                node.closed = False
+                self.open[-1].children.append(node)
+                self.open.append(node)
+            elif tag in ("br", "hr") or tag in UNSUPPORTED:
+                self.open[-1].children.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag.lower() not in ("br", "hr"):
+        if tag not in ("br", "hr"):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self.events.append(("close", tag.lower(), {}))
+        if tag in self.skipped:
+            self.depth = max(0, self.depth - 1)
+        elif not self.depth and tag in self.known:
+            at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == tag), None)
+            if _is_mark(tag) and (at is None or any(_is_mark(n.tag) for n in self.open[at + 1 :])):
+                raise Blocked(f"unbalanced <{tag}>")
+            if at is not None:
+                # Blocks may be left open, as HTML allows; marks may not.
+                self.open[at].closed = True
+                del self.open[at:]
 
     def handle_data(self, data):
-        self.events.append(("text", data, {}))
+        if not self.depth:
+            self.open[-1].children.append(_Node("", text=data))
 
 
-def html_blocks(html: str, skip_nav: bool = True, document: str | None = None) -> list[tuple[str, str]]:
-    """Ordered (tag, text) blocks with inline marks; anchors stay where a link of the document leads to them."""
-    parser = _Events()
-    parser.feed(html)
-    parser.close()
-    skipped = {*SKIPPED, *(["nav"] if skip_nav else [])}
-    blocks: list[tuple[str, str]] = []
-    wanted: set[str] = set()
-    pieces: list[str] = []
-    marks: list[tuple[str, str]] = []
-    block, hidden = None, 0
-
-    def finish() -> None:
-        nonlocal block
-        if marks:
+def _is_mark(tag: str) -> bool:
+    return tag == "a" or tag in MARKS
+
+
+def _tidy(raw: str) -> str:
+    """Runs of blanks become one, lines without text vanish."""
+    return "\n".join(re.sub(r"[ \t\r\f\v]+", " ", line) for line in raw.split("\n") if line.strip()).strip()
+
+
+class _Walk:
+    """Blocks in the order of the tree. Text belongs to the innermost block that is open; what follows a block inside another has none."""
+
+    def __init__(self, document: str | None):
+        self.document, self.blocks, self.wanted = document, [], set()
+        self.run, self.owner = [], None
+
+    def end_run(self) -> None:
+        if text := _tidy("".join(self.run)):
+            self.blocks.append((self.owner.tag if self.owner else "text", text))
+        self.run, self.owner = [], None
+
+    def visit(self, node: _Node, inside_mark: bool) -> None:
+        for child in node.children:
+            if not child.tag:
+                self.run.append(child.text.translate(_ESCAPED))
+            elif child.tag == "br":
+                self.run.append("\n")
+            elif child.tag in UNSUPPORTED:
+                raise Blocked(f"element <{child.tag}> has no counterpart in text")
+            elif _is_mark(child.tag):
+                self.mark(child)
+            elif inside_mark:
+                raise Blocked("inline formatting is open at the end of a block")
+            else:
+                self.block(child)
+
+    def mark(self, node: _Node) -> None:
+        if not node.closed:
             raise Blocked("inline formatting is open at the end of a block")
-        text = re.sub(r"\n\s*\n+", "\n", re.sub(r"[ \t\r\f\v]+", " ", "".join(pieces))).strip()
-        if text:
-            blocks.append((block or "text", text))
-        pieces.clear()
-        block = None
-
-    for kind, name, attrs in parser.events:
-        if kind != "text" and name in skipped:
-            hidden = hidden + 1 if kind == "open" else max(0, hidden - 1)
-        elif hidden:
-            continue
-        elif kind == "text":
-            pieces.append(re.sub(r"([*`\[\]\\])", r"\\\1", name))
-        elif kind == "open" and name in UNSUPPORTED:
-            raise Blocked(f"element <{name}> has no counterpart in text")
-        elif kind == "open" and name == "hr":
-            finish()
-            blocks.append(("hr", SCENE))
-        elif kind == "open" and name == "br":
-            pieces.append("\n")
-        elif name == "a" and kind == "open":
-            href = _target(attrs.get("href") or "", document)
+        before, after = MARKS.get(node.tag, ""), MARKS.get(node.tag, "")
+        if node.tag == "a" and (href := _target(node.attrs.get("href") or "", self.document)):
+            before, after = "[", f"]({href})"
             if href.startswith("#"):
-                wanted.add(href[1:])
-            pieces.append("[" if href else "")
-            marks.append(("a", f"]({href})" if href else ""))
-        elif name == "a" or name in MARKS and kind == "close":
-            if not marks or marks[-1][0] != name:
-                raise Blocked(f"unbalanced <{name}>")
-            pieces.append(marks.pop()[1])
-        elif name in MARKS:
-            pieces.append(MARKS[name])
-            marks.append((name, MARKS[name]))
-        elif name in BLOCKS or name in HEADINGS:
-            if kind == "open":
-                finish()
-                if re.fullmatch(_ID, attrs.get("id") or ""):
-                    blocks.append(("anchor", attrs["id"]))
-                block = name
-            elif block == name:
-                finish()
-    finish()
-    return [(t, f"<!-- bt-anchor:{v} -->" if t == "anchor" else v) for t, v in blocks if t != "anchor" or v in wanted]
+                self.wanted.add(href[1:])
+        self.run.append(before)
+        self.visit(node, True)
+        self.run.append(after)
+
+    def block(self, node: _Node) -> None:
+        self.end_run()
+        if node.tag == "hr":
+            self.blocks.append(("hr", SCENE))
+            return
+        if _NAME.fullmatch(node.attrs.get("id") or ""):
+            self.blocks.append(("anchor", node.attrs["id"]))
+        self.owner = node
+        self.visit(node, False)
+        if self.owner is node and node.closed:
+            self.end_run()
+
+
+def html_blocks(html: str, skip_nav: bool = True, document: str | None = None) -> list[tuple[str, str]]:
+    """Ordered (tag, text) blocks with inline marks; anchors stay where a link of the document leads to them."""
+    tree = _Tree({*SKIPPED, *(["nav"] if skip_nav else [])})
+    tree.feed(html)
+    tree.close()
+    walk = _Walk(document)
+    walk.visit(tree.root, False)
+    walk.end_run()
+    return [(t, f"<!-- bt-anchor:{v} -->" if t == "anchor" else v) for t, v in walk.blocks if t != "anchor" or v in walk.wanted]
 
 
 def _target(href: str, document: str | None) -> str:
+    """An external address with its brackets escaped, or the place in the same document."""
     if not href or _EXTERNAL.fullmatch(href):
         return href.replace("(", "%28").replace(")", "%29")
-    local = _LOCAL.fullmatch(href)
-    if not local or not document or local[1] and local[1] != document.rsplit("/", 1)[-1]:
+    page, _, place = href.partition("#")
+    own = (document or "").rsplit("/", 1)[-1]
+    if not document or not _NAME.fullmatch(place) or page and (page != own or not page.endswith((".xhtml", ".html", ".htm"))):
         raise Blocked("a link leads neither out nor into the same document")
-    return "#" + local[2]
+    return "#" + place
 
 
 _BLOCK = T.StructType([T.StructField("status", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())])))])
