@@ -88,12 +88,19 @@ def repeated_phrases(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _successive(spark: SparkSession, root: str) -> DataFrame:
-    """Content of each unit in a revision and in the book's next one that has the unit."""
-    r = table(spark, root, "source_revisions").select("book_slug", "unit_id", "revision_id", F.struct("delivered_at", "created_at", "title", "content").alias("row"))
-    one = r.groupBy("book_slug", "unit_id", "revision_id").agg(F.max("row").alias("row"))
-    line = Window.partitionBy("book_slug", "unit_id").orderBy("revision_id")
-    both = one.select("book_slug", "unit_id", "revision_id", F.col("row.content").alias("after"), F.lag("row.content").over(line).alias("before"))
-    return both.where("before IS NOT NULL AND before <> after")
+    """Content of each unit in a revision and in the book's next one that has the unit. Revisions are compared by their digests; texts
+    are moved only where those differ."""
+    r = table(spark, root, "source_revisions").select("book_slug", "unit_id", "revision_id", "delivered_at", "created_at", "title", "content")
+    line = ["delivered_at", "created_at", "title", "h"]
+    hashed = r.withColumn("h", F.sha2("content", 256))
+    one = hashed.groupBy("book_slug", "unit_id", "revision_id").agg(F.max(F.struct(*line)).alias("row"))
+    order = Window.partitionBy("book_slug", "unit_id").orderBy("revision_id")
+    pairs = one.select("book_slug", "unit_id", "revision_id", F.col("row.h").alias("after_h"), F.lag("row.h").over(order).alias("before_h"), F.lag("revision_id").over(order).alias("before_id"))
+    changed = pairs.where("before_h <> after_h")
+    text = hashed.select(F.col("book_slug").alias("b"), F.col("unit_id").alias("u"), F.col("revision_id").alias("r"), "h", "content").dropDuplicates(["b", "u", "r", "h"])
+    at = lambda side, r, h: (F.col("book_slug") == F.col(f"{side}.b")) & (F.col("unit_id") == F.col(f"{side}.u")) & (F.col(r) == F.col(f"{side}.r")) & (F.col(h) == F.col(f"{side}.h"))
+    both = changed.join(text.alias("new"), at("new", "revision_id", "after_h")).join(text.alias("old"), at("old", "before_id", "before_h"))
+    return both.select("book_slug", "unit_id", "revision_id", F.col("new.content").alias("after"), F.col("old.content").alias("before"))
 
 
 def revision_repetitions(spark: SparkSession, root: str) -> DataFrame:
@@ -103,8 +110,9 @@ def revision_repetitions(spark: SparkSession, root: str) -> DataFrame:
 
 def revision_changes(spark: SparkSession, root: str) -> DataFrame:
     """Which paragraphs a revision of a unit touched, and whether a look at them alone is enough."""
-    c = _successive(spark, root).withColumn("c", quality.change_of("before", "after"))
-    return c.select("book_slug", "unit_id", "revision_id", "c.mode", "c.changed_fraction", "c.change_groups")
+    c = quality.paragraph_changes(_successive(spark, root), ["book_slug", "unit_id", "revision_id"], "before", "after")
+    mode = quality.change_mode(F.col("changed_fraction"), F.col("change_groups"), F.col("n_bytes"))
+    return c.select("book_slug", "unit_id", "revision_id", mode.alias("mode"), "changed_fraction", "change_groups")
 
 
 def edition_matches(spark: SparkSession, root: str) -> DataFrame:
@@ -200,7 +208,18 @@ _SLUG = r"CASE WHEN {0} = '' THEN 'book' ELSE {0} END"
 _SLUG0 = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '[^\p{L}\p{N}_\s\p{Z}-]', '', 'g'), '[\s\p{Z}_]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g')"
 _REV = "SELECT book_slug, revision_id, unit_id, title, content FROM source_revisions QUALIFY row_number() OVER (PARTITION BY book_slug, revision_id, unit_id ORDER BY delivered_at DESC, created_at DESC) = 1"
 
+_SUCCESSIVE = f"SELECT * FROM (SELECT book_slug, unit_id, revision_id, content AS after, lag(content) OVER (PARTITION BY book_slug, unit_id ORDER BY revision_id) AS before FROM ({_REV})) WHERE before <> after"
+
 ORACLE = {
+    "revision_repetitions": f"""WITH s AS (SELECT book_slug, unit_id, revision_id, {_WORDS.format('before')} AS b, {_WORDS.format('after')} AS a FROM ({_SUCCESSIVE})),
+n AS (SELECT *, unnest(range(2, 13)) AS n FROM s),
+p AS (SELECT *, unnest(range(1, len(a) - n + 2)) AS i FROM n WHERE len(a) >= n),
+g AS (SELECT DISTINCT book_slug, unit_id, revision_id, n, a[i:i + n - 1] AS p, b, a FROM p),
+c AS (SELECT *, CASE WHEN n < 5 THEN len(list_filter(range(1, len(b) - 2 * n + 2), lambda k: b[k:k + n - 1] = p AND b[k + n:k + 2 * n - 1] = p)) ELSE len(list_filter(range(1, len(b) - n + 2), lambda k: b[k:k + n - 1] = p)) END AS previous,
+ CASE WHEN n < 5 THEN len(list_filter(range(1, len(a) - 2 * n + 2), lambda k: a[k:k + n - 1] = p AND a[k + n:k + 2 * n - 1] = p)) ELSE len(list_filter(range(1, len(a) - n + 2), lambda k: a[k:k + n - 1] = p)) END AS now FROM g),
+k AS (SELECT * FROM c WHERE now > previous AND (n < 5 OR now > 1))
+SELECT book_slug, unit_id, revision_id, array_to_string(p, ' ') AS phrase, CAST(previous AS INTEGER) AS previous, CAST(now AS INTEGER) AS now, n < 5 AS adjacent FROM k
+WHERE NOT EXISTS (SELECT 1 FROM k q WHERE q.book_slug = k.book_slug AND q.unit_id = k.unit_id AND q.revision_id = k.revision_id AND q.n > k.n AND contains(' ' || array_to_string(q.p, ' ') || ' ', ' ' || array_to_string(k.p, ' ') || ' '))""",
     "document_fingerprints": r"SELECT doc_id, sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS n_chars, CASE WHEN text IS NULL THEN -1 ELSE len(regexp_extract_all(nfc_normalize(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) END AS n_tokens FROM documents",
     "duplicate_documents": "SELECT sha256(text) AS sha256, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "document_words": f"SELECT doc_id, len({_WORDS.format('text')}) AS n_words, len(list_distinct({_WORDS.format('text')})) AS n_distinct FROM documents WHERE text IS NOT NULL",
