@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import fcntl
 import hashlib
 import os
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
 
@@ -50,18 +53,28 @@ class Store:
         return hashlib.sha256(data).hexdigest()
 
     def replace(self, path: str, data: bytes, version: str) -> str:
-        """Write a file whose version must be ``version``; one writer for each file is assumed between check and rename."""
-        now = self.read(path)
-        if now is None or now[1] != version:
-            raise Conflict(f"{path} is not at {version[:12]}")
-        os.replace(self._temporary(self._place(path), data), self._place(path))
+        """Write a file whose version must be ``version``."""
+        with self._locked(path):
+            now = self.read(path)
+            if now is None or now[1] != version:
+                raise Conflict(f"{path} is not at {version[:12]}")
+            os.replace(self._temporary(self._place(path), data), self._place(path))
         return hashlib.sha256(data).hexdigest()
 
     def delete(self, path: str, version: str) -> None:
-        now = self.read(path)
-        if now is None or now[1] != version:
-            raise Conflict(f"{path} is not at {version[:12]}")
-        self._place(path).unlink()
+        with self._locked(path):
+            now = self.read(path)
+            if now is None or now[1] != version:
+                raise Conflict(f"{path} is not at {version[:12]}")
+            self._place(path).unlink()
+
+    @contextlib.contextmanager
+    def _locked(self, path: str) -> Iterator[None]:
+        """One writer at a time between check and write. The lock is the operating system's, so it ends with its process."""
+        name = hashlib.sha256(self._place(path).as_posix().encode()).hexdigest()[:32]
+        with open(self.root / f".tmp-lock-{name}", "w") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            yield
 
     @staticmethod
     def _temporary(place: Path, data: bytes) -> str:

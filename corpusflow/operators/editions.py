@@ -11,18 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions.text import fold_case, squeeze_space
+from corpusflow.session import cut_lineage
 
 
 def _unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")
 
 
-def match_editions(old: DataFrame, new: DataFrame, book: str, unit: str, content_hash: str, title: str) -> DataFrame:
+def match_editions(old: DataFrame, new: DataFrame, book: str, unit: str, content_hash: str, title: str, position: str | None = None) -> DataFrame:
     """``book, old_unit, new_unit, classification``: unchanged by a content hash, changed by a title, each unique on both sides of a
-    book; new and deleted otherwise. Null hashes and titles match nothing."""
-    a = old.select(F.col(book).alias("b"), F.col(unit).alias("old_unit"), F.col(content_hash).alias("h"), squeeze_space(fold_case(F.col(title))).alias("t"))
-    b = new.select(F.col(book).alias("b"), F.col(unit).alias("new_unit"), F.col(content_hash).alias("h"), squeeze_space(fold_case(F.col(title))).alias("t"))
-    same = _unique(a.where("h IS NOT NULL"), ["b", "h"]).join(_unique(b.where("h IS NOT NULL"), ["b", "h"]), ["b", "h"]).select("b", "old_unit", "new_unit", F.lit("unchanged").alias("classification"))
+    book among what is left; new and deleted otherwise. Null hashes and titles match nothing.
+
+    With ``position``, hashes that occur more than once in a book are told apart by their order first.
+    """
+    side = lambda df, name: df.select(F.col(book).alias("b"), F.col(unit).alias(name), *([F.col(position).alias("p")] if position else []), F.col(content_hash).alias("h"), squeeze_space(fold_case(F.col(title))).alias("t"))
+    a, b = side(old, "old_unit"), side(new, "new_unit")
+    same = None
+    if position:
+        again = [df.where("h IS NOT NULL").groupBy("b", "h").count().where("count > 1").select("b") for df in (a, b)]
+        books = again[0].unionByName(again[1]).distinct()
+        blocks = match_in_order(*[df.where("h IS NOT NULL").join(books, "b", "left_semi").withColumnRenamed(name, "u") for df, name in ((a, "old_unit"), (b, "new_unit"))], "b", "u", "p", "h")
+        same = cut_lineage(blocks.select("b", "old_unit", "new_unit", F.lit("unchanged").alias("classification")))
+        a2, b2 = a.join(same, ["b", "old_unit"], "left_anti"), b.join(same, ["b", "new_unit"], "left_anti")
+    else:
+        a2, b2 = a, b
+    by_hash = _unique(a2.where("h IS NOT NULL"), ["b", "h"]).join(_unique(b2.where("h IS NOT NULL"), ["b", "h"]), ["b", "h"]).select("b", "old_unit", "new_unit", F.lit("unchanged").alias("classification"))
+    same = by_hash if same is None else same.unionByName(by_hash)
     rest_a, rest_b = a.join(same, ["b", "old_unit"], "left_anti"), b.join(same, ["b", "new_unit"], "left_anti")
     moved = _unique(rest_a.where("t IS NOT NULL"), ["b", "t"]).join(_unique(rest_b.where("t IS NOT NULL"), ["b", "t"]), ["b", "t"]).select("b", "old_unit", "new_unit", F.lit("changed").alias("classification"))
     none = F.lit(None).cast("string")
@@ -32,13 +46,16 @@ def match_editions(old: DataFrame, new: DataFrame, book: str, unit: str, content
 
 
 def seal(df: DataFrame, book: str, unit: Sequence[str], content: str) -> DataFrame:
-    """``book, n_units, n_chars, seal``: one digest over the digests of a book's units, whatever their order in the table.
+    """``book, n_units, n_chars, seal``: one SHA-256 over the digests of a book's units, whatever their order in the table.
 
-    Every unit adds the first 60 bits of its own digest to a sum, so a book of any size is combined on the map side.
+    The digests are sorted in 4096 parts, by their first three digits, and the parts' digests once more, so no task sees all units of a
+    large book. A unit's digest is that of its names and of the digest of its content, nulls told from texts.
     """
-    one = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in unit], F.sha2(F.col(content), 256)), 256)
-    part = F.conv(F.substring(one, 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.groupBy(book).agg(F.count("*").alias("n_units"), F.sum(F.length(content)).alias("n_chars"), F.sum(part).cast("string").alias("seal"))
+    one = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(f"u{i}") for i, c in enumerate(unit)], F.sha2(content, 256).alias("c")), {"ignoreNullFields": "false"}), 256)
+    rows = df.select(F.col(book).alias("b"), one.alias("d"), F.length(content).alias("n"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    parts = rows.groupBy("b", F.substring("d", 1, 3).alias("x")).agg(F.count("*").alias("k"), F.sum("n").alias("n"), joined("d").alias("d"))
+    return parts.groupBy(F.col("b").alias(book)).agg(F.sum("k").alias("n_units"), F.sum("n").alias("n_chars"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "d"))), lambda p: p["d"]), ""), 256).alias("seal"))
 
 
 def hash_state(stored: Column, content: Column) -> Column:
@@ -60,7 +77,7 @@ def match_in_order(old: DataFrame, new: DataFrame, book: str, unit: str, positio
     """``book, old_unit, new_unit``: units in the matching blocks of two editions, as difflib finds them in their order.
 
     Used where contents repeat inside a book, so that only their order tells them apart. A book's hashes are one task's work: a unit
-    is 64 characters there, whatever its length.
+    is 64 bits there, whatever its length.
     """
     schema = f"{book} string, old_unit string, new_unit string"
 
@@ -70,7 +87,7 @@ def match_in_order(old: DataFrame, new: DataFrame, book: str, unit: str, positio
         rows = [(key[0], a["u"][m.a + k], b["u"][m.b + k]) for m in found for k in range(m.size)]
         return pd.DataFrame(rows, columns=[book, "old_unit", "new_unit"])
 
-    side = lambda df: df.select(F.col(book).cast("string").alias("g"), F.col(unit).alias("u"), F.col(position).alias("p"), F.col(content_hash).alias("h")).groupBy("g")
+    side = lambda df: df.select(F.col(book).cast("string").alias("g"), F.col(unit).alias("u"), F.col(position).alias("p"), F.xxhash64(content_hash).alias("h")).groupBy("g")
     return side(old).cogroup(side(new)).applyInPandas(blocks, schema)
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusflow.functions.text import fold_case
-from corpusflow.operators.planning import greedy_within
 
 
 def upsert_terms(current: DataFrame, rows: DataFrame, term: str, value: str, order: Sequence[str]) -> DataFrame:
@@ -32,21 +33,54 @@ def superseded(entries: DataFrame, entry: str, replaces: str) -> DataFrame:
 
 def context_packs(candidates: DataFrame, unit: Sequence[str], priority: str, entry: str, cost: str, budget: int) -> DataFrame:
     """``unit, entries, used, n_candidates``: for each unit its candidates by priority and id, as many as fit the budget; what does not
-    fit is passed over. A unit has few candidates; its list is built from ids and costs only."""
-    listed = candidates.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct(F.col(priority).alias("p"), F.col(entry).alias("e"), F.col(cost).cast("int").alias("c")))).alias("all"))
-    kept = greedy_within(F.col("all"), budget, lambda x: x["c"])
-    return listed.select(*unit, F.transform(kept, lambda x: x["e"]).alias("entries"), F.aggregate(kept, F.lit(0), lambda a, x: a + x["c"]).alias("used"), F.size("all").alias("n_candidates"))
-
-
-def mentions(texts: DataFrame, keys: Sequence[str], columns: Sequence[str], entries: DataFrame, entry: str, term: str, limit: int = 5000) -> DataFrame:
-    """``keys, entry``: entries whose term stands in one of the texts, case aside. More than ``limit`` entries are refused."""
-    rows = entries.where(F.length(F.trim(term)) > 2).select(F.col(entry).alias("e"), F.col(term).alias("t")).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} entries")
-    if not rows:
-        return texts.select(*keys, F.lit(None).cast(entries.schema[entry].dataType).alias(entry)).limit(0)
-    listed = F.array(*[F.struct(F.lit(r.e).alias("e"), F.lit(r.t.casefold()).alias("t")) for r in rows])
-    folded: list[Column] = [fold_case(F.col(c)) for c in columns]
-    found = texts.select(*keys, *[f.alias(f"_f{i}") for i, f in enumerate(folded)])
-    hit = lambda x: F.coalesce(*[F.when(F.contains(F.col(f"_f{i}"), x["t"]), True) for i in range(len(folded))], F.lit(False))
-    return found.select(*keys, F.explode(F.array_distinct(F.transform(F.filter(listed, hit), lambda x: x["e"]))).alias(entry))
+    fit is passed over. A null cost is none. The candidates of a unit are read in order by one task, which holds those that fit."""
+    k = len(unit)
+    rows = candidates.select(*unit, F.col(priority).alias("_p"), F.col(entry).alias("_e"), F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("_c"))
+    schema = T.StructType([*rows.schema.fields[:k], T.StructField("entries", T.ArrayType(rows.schema["_e"].dataType)), T.StructField("used", T.LongType()), T.StructField("n_candidates", T.LongType())])
+
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept, used, n = None, [], 0, 0
+        for frame in parts:
+            out = []
+            for r in frame.itertuples(index=False):
+                key = tuple(r[:k])
+                if key != last:
+                    if last is not None:
+                        out.append((*last, kept, used, n))
+                    last, kept, used, n = key, [], 0, 0
+                n += 1
+                if used + r[-1] <= budget:
+                    kept.append(r[-2])
+                    used += int(r[-1])
+            yield pd.DataFrame(out, columns=schema.names)
+        if last is not None:
+            yield pd.DataFrame([(*last, kept, used, n)], columns=schema.names)
+
+    return rows.repartition(*[F.col(u) for u in unit]).sortWithinPartitions(*unit, "_p", "_e").mapInPandas(fill, schema)
+
+
+def terms_in(texts: DataFrame, keys: Sequence[str], text: str, terms: DataFrame, term: str, few: int = 5000) -> DataFrame:
+    """``keys, term`` of every term of at least three characters that stands in ``text``, also inside words; both folded already.
+
+    Up to ``few`` terms travel as one array and are searched in one pass over the texts. More of them meet the texts by their first three
+    characters, and only such pairs are tested.
+    """
+    wanted = terms.where(F.length(term) >= 3).select(F.col(term).alias("_t")).distinct()
+    listed = wanted.limit(few + 1).collect()
+    k = F.struct(*keys).alias("_k")
+    if len(listed) <= few:
+        array = F.array(*[F.lit(r[0]) for r in listed]).cast("array<string>")
+        found = texts.select(k, F.explode(F.filter(array, lambda t: F.contains(F.col(text), t))).alias("_t"))
+    else:
+        rows = texts.select(k, F.col(text).alias("_s")).where(F.length(text) >= 3)
+        grams = rows.select("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_s") - 2), lambda i: F.substring("_s", i, F.lit(3))))).alias("_g"))
+        near = grams.join(wanted, F.col("_g") == F.substring("_t", 1, 3)).select(F.col("_k").alias("_k2"), "_t")
+        found = near.join(rows, F.col("_k2").eqNullSafe(F.col("_k"))).where(F.contains("_s", "_t")).select("_k", "_t").distinct()
+    return found.select(*[F.col("_k").getField(c).alias(c) for c in keys], F.col("_t").alias(term))
+
+
+def mentions(texts: DataFrame, keys: Sequence[str], columns: Sequence[str], entries: DataFrame, entry: str, term: str, few: int = 5000) -> DataFrame:
+    """``keys, entry``: entries whose term, of at least three characters, stands in one of the texts, case aside."""
+    named = entries.select(F.col(entry).alias("_e"), fold_case(F.col(term)).alias("_term")).where(F.length(F.trim("_term")) > 2).distinct()
+    sides = texts.select(*keys, F.explode(F.array(*[fold_case(F.col(c)) for c in columns])).alias("_text")).where("_text IS NOT NULL")
+    return terms_in(sides, keys, "_text", named, "_term", few).join(named, "_term").select(*keys, F.col("_e").alias(entry)).distinct()

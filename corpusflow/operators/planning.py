@@ -101,6 +101,40 @@ def contiguous_groups(sizes: Column, count: Column) -> Column:
     return F.aggregate(sizes, start, step, lambda a: a["out"])
 
 
+def contiguous_runs(df: DataFrame, group: Sequence[str], order: Sequence[str], size: str, count: int) -> DataFrame:
+    """Adds ``run_no``: the rows of each group, in order, in ``count`` runs (or as many as it has rows) of about equal weight, the target
+    renewed for what remains; as ``contiguous_groups`` does with a list.
+
+    A run depends on the ones before, so a group is read in order by one task, row by row; what is held of it are a few numbers.
+    """
+    keys = [*group, *order]
+    wanted = [*dict.fromkeys([*keys, size])]
+    weight = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(1)).cast("double")
+    totals = df.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.sum(weight).alias("_left"), F.count("*").alias("_rows"))
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+
+    def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, run, filled, left, todo, runs = None, 1, 0.0, 0.0, 0, 1
+        for frame in parts:
+            out = []
+            for r in frame[[*group, size, "_left", "_rows"]].itertuples(index=False):
+                key, w = tuple(r[:-3]), float(max(r[-3] or 0, 1))
+                if key != last:
+                    last, run, filled, left, todo = key, 1, 0.0, float(r[-2]), int(r[-1])
+                    runs = min(count, todo)
+                groups = runs - run + 1
+                if filled and (todo <= groups - 1 or filled >= left / groups):
+                    run, left, filled = run + 1, left - filled, 0.0
+                filled, todo = filled + w, todo - 1
+                out.append(run)
+            yield frame.drop(columns=["_left", "_rows"]).assign(run_no=out)
+
+    laid = df.select(*wanted).join(totals, same).select(*wanted, "_left", "_rows").repartition(*[F.col(g) for g in group]).sortWithinPartitions(*keys)
+    return laid.mapInPandas(number, T.StructType([*df.select(*wanted).schema.fields, T.StructField("run_no", T.IntegerType())]))
+
+
 def greedy_within(items: Column, budget: int, size) -> Column:
     """The items of an ordered array that fit a budget, one after another; what does not fit is passed over."""
     start = F.struct(F.slice(items, 1, 0).alias("kept"), F.lit(0).alias("used"))

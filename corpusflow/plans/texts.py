@@ -13,9 +13,21 @@ from corpusflow.plans.tables import PAIRS_SQL, chapters, pairs, segments
 from corpusflow.session import table
 from corpusflow.sources import markup
 
-#: A small glossary for the queries that need one.
-GLOSSARY = [("iron key", "железный ключ"), ("copper lantern", "медный фонарь"), ("honey cake", "медовый пирог"), ("star chart", "звёздную карту"), ("old piano", "старое пианино"), ("toll collector", "сборщик пошлин"), ("chess board", "шахматную доску"), ("Mizu", "Mizu")]
-_GLOSSARY_SQL = ", ".join(f"('{a}', '{b}')" for a, b in GLOSSARY)
+#: A glossary as it is kept, in a Markdown table.
+GLOSSARY = r"""| Original | Translation | Type | Notes |
+|---|---|---|---|
+| iron key | железный ключ | term | |
+| copper lantern | медный фонарь | term | of the harbour |
+| honey cake | медовый пирог | term | |
+| star chart | звёздную карту | term | |
+| old piano | старое пианино | term | |
+| toll collector | сборщик пошлин | role | |
+| chess board | шахматную доску | term | |
+| iron key | iron \| key | note | two names |
+| Mizu | Mizu | name | |
+"""
+_GLOSSARY_SQL = r"""(SELECT trim(replace(c[2], '\|', '|')) AS original, trim(replace(c[3], '\|', '|')) AS translation FROM (SELECT string_split(replace(line, '\|', chr(1)), '|') AS c FROM (SELECT unnest(string_split('{}', chr(10))) AS line))
+WHERE len(c) >= 4 AND trim(c[2]) NOT IN ('', 'Original') AND NOT regexp_matches(c[2], '^[-:\s]+$'))""".replace("'\\|', '|'", "chr(1), '|'").format(GLOSSARY.replace("'", "''"))
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
@@ -64,7 +76,7 @@ def coverage_alerts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def glossary_mismatches(spark: SparkSession, root: str) -> DataFrame:
-    glossary = spark.createDataFrame(GLOSSARY, "original string, translation string")
+    glossary = spark.createDataFrame([(GLOSSARY,)], "t string").select(F.explode(quality.glossary_rows(F.col("t"))).alias("r")).select("r.*")
     return quality.glossary_mismatches(pairs(spark, root), ["translation_key"], "source", "target", glossary)
 
 
@@ -116,18 +128,32 @@ def revision_changes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def edition_matches(spark: SparkSession, root: str) -> DataFrame:
-    """Units of each book's first revision matched with those of its last, by content and by title."""
-    r = table(spark, root, "source_revisions").select("book_slug", "revision_id", "unit_id", F.struct("delivered_at", "created_at", "title", "content").alias("row"))
-    one = r.groupBy("book_slug", "revision_id", "unit_id").agg(F.max("row").alias("row")).select("book_slug", "revision_id", "unit_id", F.col("row.title").alias("title"), F.sha2("row.content", 256).alias("h"))
+    """Units of each book's first revision matched with those of its last: in order, by content and by title."""
+    r = table(spark, root, "source_revisions").select("book_slug", "revision_id", "unit_id", F.struct("delivered_at", "created_at", "title", F.sha2("content", 256).alias("h"), "chapter_no").alias("row"))
+    one = r.groupBy("book_slug", "revision_id", "unit_id").agg(F.max("row").alias("row")).select("book_slug", "revision_id", "unit_id", F.col("row.title").alias("title"), F.col("row.h").alias("h"), F.col("row.chapter_no").alias("chapter_no"))
     ends = one.groupBy("book_slug").agg(F.min("revision_id").alias("lo"), F.max("revision_id").alias("hi"))
     placed = one.join(ends, "book_slug")
-    m = editions.match_editions(placed.where("revision_id = lo"), placed.where("revision_id = hi"), "book_slug", "unit_id", "h", "title")
-    return m.groupBy("book_slug").agg(*[F.count_if(F.col("classification") == k).alias(f"n_{k}") for k in ("unchanged", "changed", "new", "deleted")])
+    return editions.match_editions(placed.where("revision_id = lo"), placed.where("revision_id = hi"), "book_slug", "unit_id", "h", "title", "chapter_no")
+
+
+def edition_counts(spark: SparkSession, root: str) -> DataFrame:
+    """How many units of each book are unchanged, changed, new and deleted between its first and its last revision."""
+    return edition_matches(spark, root).groupBy("book_slug").agg(*[F.count_if(F.col("classification") == k).alias(f"n_{k}") for k in ("unchanged", "changed", "new", "deleted")])
 
 
 def book_seals(spark: SparkSession, root: str) -> DataFrame:
+    """One digest over the units of every book."""
     c = chapters(spark, root, "book_slug", "unit_id", "content").where("content IS NOT NULL")
-    return editions.seal(c, "book_slug", ["unit_id"], "content").select("book_slug", "n_units", "n_chars")
+    return editions.seal(c, "book_slug", ["unit_id"], "content")
+
+
+def seal_differences(spark: SparkSession, root: str) -> DataFrame:
+    """The units of each book's first revision against its last: those missing, unknown before, or different by digest."""
+    r = table(spark, root, "source_revisions").select("book_slug", "revision_id", "unit_id", F.struct("delivered_at", "created_at", "title", F.sha2("content", 256).alias("h")).alias("row"))
+    one = r.groupBy("book_slug", "revision_id", "unit_id").agg(F.max("row").alias("row")).select("book_slug", "revision_id", "unit_id", F.col("row.h").alias("h"))
+    ends = one.groupBy("book_slug").agg(F.min("revision_id").alias("lo"), F.max("revision_id").alias("hi"))
+    placed = one.join(ends, "book_slug")
+    return editions.verify_seal(placed.where("revision_id = lo"), placed.where("revision_id = hi"), "book_slug", "unit_id", "h")
 
 
 def hash_audit(spark: SparkSession, root: str) -> DataFrame:
@@ -193,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_fingerprints, duplicate_documents, document_words, title_slugs, chapter_structure, number_differences, structure_differences, coverage_alerts, glossary_mismatches,
-        marker_sequences, echoed_phrases, repeated_phrases, revision_repetitions, revision_changes, edition_matches, book_seals, hash_audit, structure_spans, markdown_sections,
+        marker_sequences, echoed_phrases, repeated_phrases, revision_repetitions, revision_changes, edition_matches, edition_counts, book_seals, seal_differences, hash_audit, structure_spans, markdown_sections,
         marked_blocks, review_chunks, span_batches, next_spans, incomplete_answers, utc_times,
     )
 }
@@ -208,6 +234,18 @@ _SLUG = r"CASE WHEN {0} = '' THEN 'book' ELSE {0} END"
 _SLUG0 = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '[^\p{L}\p{N}_\s\p{Z}-]', '', 'g'), '[\s\p{Z}_]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g')"
 _REV = "SELECT book_slug, revision_id, unit_id, title, content FROM source_revisions QUALIFY row_number() OVER (PARTITION BY book_slug, revision_id, unit_id ORDER BY delivered_at DESC, created_at DESC) = 1"
 
+_LINK = r"(!?)\[([^\]\n]*)\]\((<[^>\n]+>|[^)\s]+)([ \t]+[^)\n]*)?\)"
+_LETTERED = r"[\p{L}\p{N}_]*(?:\p{L}|\p{Nl}|\p{No}|_)[\p{L}\p{N}_]*"  # words that are more than digits
+_MATCHES = f"""WITH one AS ({_REV}), e AS (SELECT book_slug, min(revision_id) AS lo, max(revision_id) AS hi FROM one GROUP BY 1),
+k AS (SELECT o.*, sha256(content) AS h, trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS t, revision_id = lo AS is_old, revision_id = hi AS is_new FROM one o JOIN e USING (book_slug)),
+a AS (SELECT *, count(*) OVER (PARTITION BY book_slug, h) AS nh FROM k WHERE is_old), b AS (SELECT *, count(*) OVER (PARTITION BY book_slug, h) AS nh FROM k WHERE is_new),
+s AS (SELECT a.book_slug, a.unit_id AS o, b.unit_id AS n FROM a JOIN b ON a.book_slug = b.book_slug AND a.h = b.h AND a.nh = 1 AND b.nh = 1),
+a2 AS (SELECT *, count(*) OVER (PARTITION BY book_slug, t) AS nt FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.book_slug = a.book_slug AND s.o = a.unit_id)),
+b2 AS (SELECT *, count(*) OVER (PARTITION BY book_slug, t) AS nt FROM b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.book_slug = b.book_slug AND s.n = b.unit_id)),
+m AS (SELECT a2.book_slug, a2.unit_id AS o, b2.unit_id AS n FROM a2 JOIN b2 ON a2.book_slug = b2.book_slug AND a2.t = b2.t AND a2.nt = 1 AND b2.nt = 1),
+x AS (SELECT book_slug, o AS old_unit, n AS new_unit, 'unchanged' AS classification FROM s UNION ALL SELECT book_slug, o, n, 'changed' FROM m
+ UNION ALL SELECT book_slug, unit_id, NULL, 'deleted' FROM a2 WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.book_slug = a2.book_slug AND m.o = a2.unit_id)
+ UNION ALL SELECT book_slug, NULL, unit_id, 'new' FROM b2 WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.book_slug = b2.book_slug AND m.n = b2.unit_id))"""
 _SUCCESSIVE = f"SELECT * FROM (SELECT book_slug, unit_id, revision_id, content AS after, lag(content) OVER (PARTITION BY book_slug, unit_id ORDER BY revision_id) AS before FROM ({_REV})) WHERE before <> after"
 
 ORACLE = {
@@ -230,24 +268,22 @@ WHERE NOT EXISTS (SELECT 1 FROM k q WHERE q.book_slug = k.book_slug AND q.unit_i
   length(source) >= 1200 AND length(target) * 100 < length(source) * 95 AND {_LINES.format('target')} * 100 < {_LINES.format('source')} * 95 AS by_lines FROM ({PAIRS_SQL})""",
     "structure_differences": f"SELECT * FROM (SELECT translation_key, {', '.join(f'{_N.format(side, pattern)} AS {side}_{name}' for name, pattern in (('headings', _HEAD), ('breaks', _BREAK), ('markers', _MARK)) for side in ('source', 'target'))} FROM ({PAIRS_SQL})) WHERE source_headings <> target_headings OR source_breaks <> target_breaks OR source_markers <> target_markers",
     "glossary_mismatches": f"""SELECT translation_key, original, translation, CASE WHEN lower(original) = lower(translation) THEN 'glossary_decision_review' ELSE 'glossary_candidate' END AS kind
-FROM ({PAIRS_SQL}) p, (VALUES {_GLOSSARY_SQL}) g(original, translation) WHERE contains(lower(source), lower(original)) AND NOT contains(lower(target), lower(translation))""",
+FROM ({PAIRS_SQL}) p, {_GLOSSARY_SQL} g WHERE contains(lower(source), lower(original)) AND NOT contains(lower(target), lower(translation))""",
     "echoed_phrases": f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, w, unnest([2, 3, 4]) AS k FROM w), i AS (SELECT doc_id, w, k, unnest(range(1, len(w) - 2 * k + 2)) AS i FROM s)
 SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM i WHERE w[i:i + k - 1] = w[i + k:i + 2 * k - 1] GROUP BY 1, 2""",
     "repeated_phrases": f"""WITH w AS (SELECT chapter_id, {_WORDS.format('content')} AS w FROM {_CH.format('chapter_id, content')}), i AS (SELECT chapter_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)
 SELECT chapter_id, array_to_string(w[i:i + 4], ' ') AS phrase, count(*) AS n FROM i GROUP BY 1, 2 HAVING count(*) > 1""",
-    "book_seals": f"SELECT book_slug, count(*) AS n_units, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM {_CH.format('chapter_id, book_slug, content')} WHERE content IS NOT NULL GROUP BY 1",
+    "book_seals": f"""WITH d AS (SELECT book_slug, length(content) AS n, sha256('{{"u0":"' || unit_id || '","c":"' || sha256(content) || '"}}') AS d FROM {_CH.format('chapter_id, book_slug, unit_id, content')} WHERE content IS NOT NULL),
+p AS (SELECT book_slug, left(d, 3) AS x, count(*) AS k, sum(n) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM d GROUP BY 1, 2)
+SELECT book_slug, CAST(sum(k) AS BIGINT) AS n_units, CAST(sum(n) AS BIGINT) AS n_chars, sha256(string_agg(d, '' ORDER BY x)) AS seal FROM p GROUP BY 1""",
     "hash_audit": f"SELECT source_format, CASE WHEN sha256 IS NULL THEN 'missing' WHEN sha256 = sha256(content) THEN 'same' WHEN lower(sha256) = sha256(content) THEN 'other_case' WHEN NOT regexp_matches(sha256, '^[0-9a-fA-F]{{64}}$') THEN 'malformed' ELSE 'different' END AS state, count(*) AS n FROM {_CH.format('chapter_id, source_format, sha256, content')} GROUP BY 1, 2",
-    "edition_matches": f"""WITH one AS ({_REV}), e AS (SELECT book_slug, min(revision_id) AS lo, max(revision_id) AS hi FROM one GROUP BY 1),
-k AS (SELECT o.*, sha256(content) AS h, trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS t, revision_id = lo AS is_old, revision_id = hi AS is_new FROM one o JOIN e USING (book_slug)),
-a AS (SELECT *, count(*) OVER (PARTITION BY book_slug, h) AS nh FROM k WHERE is_old), b AS (SELECT *, count(*) OVER (PARTITION BY book_slug, h) AS nh FROM k WHERE is_new),
-s AS (SELECT a.book_slug, a.unit_id AS o, b.unit_id AS n FROM a JOIN b ON a.book_slug = b.book_slug AND a.h = b.h AND a.nh = 1 AND b.nh = 1),
-a2 AS (SELECT *, count(*) OVER (PARTITION BY book_slug, t) AS nt FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.book_slug = a.book_slug AND s.o = a.unit_id)),
-b2 AS (SELECT *, count(*) OVER (PARTITION BY book_slug, t) AS nt FROM b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.book_slug = b.book_slug AND s.n = b.unit_id)),
-m AS (SELECT a2.book_slug, a2.unit_id AS o, b2.unit_id AS n FROM a2 JOIN b2 ON a2.book_slug = b2.book_slug AND a2.t = b2.t AND a2.nt = 1 AND b2.nt = 1)
-SELECT book_slug, (SELECT count(*) FROM s WHERE s.book_slug = e.book_slug) AS n_unchanged, (SELECT count(*) FROM m WHERE m.book_slug = e.book_slug) AS n_changed,
- (SELECT count(*) FROM b2 WHERE b2.book_slug = e.book_slug) - (SELECT count(*) FROM m WHERE m.book_slug = e.book_slug) AS n_new,
- (SELECT count(*) FROM a2 WHERE a2.book_slug = e.book_slug) - (SELECT count(*) FROM m WHERE m.book_slug = e.book_slug) AS n_deleted FROM e""",
+    "edition_matches": f"{_MATCHES} SELECT * FROM x",
+    "edition_counts": f"{_MATCHES} SELECT book_slug, count(*) FILTER (classification = 'unchanged') AS n_unchanged, count(*) FILTER (classification = 'changed') AS n_changed, count(*) FILTER (classification = 'new') AS n_new, count(*) FILTER (classification = 'deleted') AS n_deleted FROM x GROUP BY 1",
+    "seal_differences": f"""WITH one AS ({_REV}), e AS (SELECT book_slug, min(revision_id) AS lo, max(revision_id) AS hi FROM one GROUP BY 1),
+a AS (SELECT o.* FROM one o JOIN e ON o.book_slug = e.book_slug AND revision_id = lo), b AS (SELECT o.* FROM one o JOIN e ON o.book_slug = e.book_slug AND revision_id = hi)
+SELECT coalesce(a.book_slug, b.book_slug) AS book_slug, coalesce(a.unit_id, b.unit_id) AS unit_id, CASE WHEN b.unit_id IS NULL THEN 'missing' WHEN a.unit_id IS NULL THEN 'unknown' ELSE 'different' END AS problem
+FROM a FULL JOIN b ON a.book_slug = b.book_slug AND a.unit_id = b.unit_id WHERE a.unit_id IS NULL OR b.unit_id IS NULL OR a.content IS DISTINCT FROM b.content""",
     "marked_blocks": "SELECT DISTINCT document_key, len(blocks) AS n_blocks, len(blocks) AS n_read FROM source_documents WHERE len(blocks) > 0",
     "span_batches": """WITH RECURSIVE s AS (SELECT book_slug, unit_id, length(source) AS z, row_number() OVER (PARTITION BY book_slug, unit_id ORDER BY id, segment_key) AS i FROM (SELECT DISTINCT segment_key, book_slug, unit_id, id, source FROM structural_segments WHERE source IS NOT NULL)),
 r AS (SELECT book_slug, unit_id, i, z, 1 AS batch_no, 1 AS k, z AS total FROM s WHERE i = 1
@@ -256,5 +292,23 @@ r AS (SELECT book_slug, unit_id, i, z, 1 AS batch_no, 1 AS k, z AS total FROM s
 SELECT book_slug, unit_id, batch_no, count(*) AS n_spans, CAST(sum(z) AS BIGINT) AS n_chars FROM r GROUP BY 1, 2, 3""",
     "next_spans": """SELECT segment_key, book_slug, unit_id, id FROM (SELECT *, row_number() OVER w AS n, sum(length(source)) OVER w AS total FROM (SELECT DISTINCT segment_key, book_slug, unit_id, id, source FROM structural_segments WHERE source IS NOT NULL)
 WINDOW w AS (PARTITION BY book_slug, unit_id ORDER BY id, segment_key ROWS UNBOUNDED PRECEDING)) WHERE n = 1 OR (n <= 6 AND total <= 1500)""",
+    "number_differences": rf"""WITH p AS ({PAIRS_SQL}), n AS (SELECT translation_key, unnest(regexp_extract_all(regexp_replace(source, '{_LETTERED}', 'w', 'g'), '\p{{Nd}}+(?:[.,]\p{{Nd}}+)*')) AS value, 1 AS d FROM p
+ UNION ALL SELECT translation_key, unnest(regexp_extract_all(regexp_replace(target, '{_LETTERED}', 'w', 'g'), '\p{{Nd}}+(?:[.,]\p{{Nd}}+)*')), -1 FROM p), s AS (SELECT translation_key, value, sum(d) AS d FROM n GROUP BY 1, 2)
+SELECT translation_key, value, CASE WHEN d > 0 THEN 'number_missing' ELSE 'number_added' END AS kind, CAST(abs(d) AS INTEGER) AS n FROM s WHERE d <> 0""",
+    "marker_sequences": f"SELECT * FROM (SELECT translation_key, regexp_extract_all(source, '{_MARK}') = regexp_extract_all(target, '{_MARK}') AS markers, regexp_extract_all(source, '{_LINK}') = regexp_extract_all(target, '{_LINK}') AS links FROM ({PAIRS_SQL})) WHERE NOT (markers AND links)",
+    "structure_spans": rf"""SELECT chapter_id, CAST(len(list_filter(regexp_split_to_array(content, '{_LINK}|{_MARK}'), lambda x: regexp_matches(x, '[^\s\p{{Z}}]'))) AS INTEGER) AS n_text,
+ CAST(len(list_filter(regexp_extract_all(content, '{_LINK}|{_MARK}'), lambda x: NOT starts_with(x, '<!--'))) AS INTEGER) AS n_links, CAST(len(list_filter(regexp_extract_all(content, '{_LINK}|{_MARK}'), lambda x: starts_with(x, '<!--'))) AS INTEGER) AS n_markers, true AS exact
+FROM {_CH.format('chapter_id, content')} WHERE content IS NOT NULL""",
+    "incomplete_answers": rf"""WITH s AS (SELECT DISTINCT ON (book_slug, unit_id, segment_id) book_slug, unit_id, id AS segment_id, source FROM structural_segments),
+r AS (SELECT DISTINCT response_id, book_slug, unit_id, segment_id, translation FROM translator_responses),
+j AS (SELECT response_id, length(source) AS n, length(translation) AS m, len(regexp_split_to_array(source, '\n[ \t]*\n')) AS p, len(regexp_split_to_array(translation, '\n[ \t]*\n')) AS q FROM r JOIN s USING (book_slug, unit_id, segment_id))
+SELECT response_id FROM j WHERE n >= 120 AND (m * 100 < n * 55 OR (p >= 4 AND q * 100 < p * 60))""",
+    "markdown_sections": rf"""WITH c AS (SELECT chapter_id, coalesce(title, 'Unit') AS title, regexp_split_to_array(content, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM {_CH.format('chapter_id, title, content')} WHERE content IS NOT NULL),
+h AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '^#\s+\S')) AS a, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '^##\s+\S')) AS b FROM c),
+s AS (SELECT chapter_id, title, l, CASE WHEN len(a) >= 2 THEN a WHEN len(b) >= 2 THEN b ELSE [] END AS s FROM h),
+e AS (SELECT chapter_id, title, l, s, unnest(CASE WHEN len(s) = 0 THEN [0] ELSE range(0, len(s) + 1) END) AS k FROM s),
+x AS (SELECT chapter_id, k, CASE WHEN len(s) = 0 THEN title WHEN k = 0 THEN title || ' — front matter' ELSE {_STRIP.format("regexp_replace(l[s[k]], '^#{1,2}[ ]+', '')")} END AS title,
+ {_STRIP.format("array_to_string(CASE WHEN len(s) = 0 THEN l WHEN k = 0 THEN l[1:s[1] - 1] WHEN k = len(s) THEN l[s[k]:] ELSE l[s[k]:s[k + 1] - 1] END, chr(10))")} AS t, len(s) AS n FROM e)
+SELECT chapter_id, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY k) - 1 AS INTEGER) AS section_no, title, CAST(length(t) + 1 AS INTEGER) AS n_chars FROM x WHERE n = 0 OR t <> ''""",
     "utc_times": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events",
 }

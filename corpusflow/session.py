@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -31,17 +33,19 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or one set on its context. Where neither is set, a temporary
+    one of this machine serves a local session; on a cluster that is an error, as every node would have its own."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        held_dir = conf or os.path.join(tempfile.gettempdir(), f"corpusflow-{os.getuid()}")
-        spark.sparkContext.setCheckpointDir(held_dir)
+    if spark.sparkContext.getCheckpointDir() is None:
+        if conf is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(conf or os.path.join(tempfile.gettempdir(), f"corpusflow-{os.getuid()}"))
     return conf or spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that it is computed once and survives the loss of an executor."""
+    """Materialise ``df`` in the shared folder, so that it is computed once and survives the loss of an executor. Spark removes it when it is
+    no longer referred to, where spark.cleaner.referenceTracking.cleanCheckpoints is on."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corpusflow.sources.markup import as_markdown, blocks_of, markdown_sections, text_sections
 
@@ -119,8 +120,9 @@ def extract_units(files: DataFrame) -> DataFrame:
     texts = files.where("format IN ('markdown', 'txt')").select("path", "format", decoded("content").alias("t"), stem.alias("name")).where("t IS NOT NULL")
     sections = F.when(F.col("format") == "markdown", markdown_sections(F.col("t"), F.col("name"))).otherwise(text_sections(F.col("t"), F.col("name")))
     plain = texts.select("path", "format", F.lit(0).alias("pos"), F.posexplode(sections).alias("i", "s"))
-    # Units are numbered by their place: documents of a file, then sections of a document.
-    units = read.unionByName(plain).select("path", "format", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"), (F.col("pos") * 10_000 + F.col("i") + 1).alias("place"), F.col("s.title").alias("title"), F.col("s.content").alias("content"))
+    # Units are numbered by their place: documents of a file, then sections of a document. A file is one task's work anyway.
+    place = F.row_number().over(Window.partitionBy("path").orderBy("pos", "i"))
+    units = read.unionByName(plain).select("path", "format", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"), place.alias("place"), F.col("s.title").alias("title"), F.col("s.content").alias("content"))
     nothing = [F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("content")]
     failed = books.where("e.status <> 'ok'").select("path", "format", "e.status", "e.reason", *nothing)
     blocked = marked.where("b.status <> 'ok'").select("path", "format", "b.status", "b.reason", *nothing)

@@ -28,12 +28,17 @@ STATE = "owner string, until timestamp"
 OUTCOME = "unit string, at timestamp, session string, action string, outcome string"
 
 
-def exclusive_leases(requests: DataFrame, lease_seconds: int = 3600) -> DataFrame:
+def exclusive_leases(requests: DataFrame, lease_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
     """Requests ``unit, at, session, action`` (acquire, renew or release) in order of time, each with its outcome: granted, renewed,
-    released, conflict (another session holds the unit), or missing (nothing to renew or release). A lease that has run out is free.
+    released, conflict (another session holds the unit), or missing (nothing to renew or release). A lease that has run out is free, and
+    its state is gone once the watermark, ``late`` behind the latest request, has passed its end. The requests for a unit in one trigger
+    are sorted in one task.
     """
 
     def serve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         owner, until = state.get if state.exists else (None, None)
         rows = []
         batch = pd.concat(list(frames)).sort_values(["at", "session", "action"], kind="stable")
@@ -50,10 +55,14 @@ def exclusive_leases(requests: DataFrame, lease_seconds: int = 3600) -> DataFram
             else:
                 outcome = "missing"
             rows.append((key[0], r.at, r.session, r.action, outcome))
-        state.update((owner, until)) if owner is not None else state.remove()
+        if owner is None:
+            state.remove()
+        else:
+            state.update((owner, until))
+            state.setTimeoutTimestamp(max(int(until.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["unit", "at", "session", "action", "outcome"])
 
-    return requests.groupBy("unit").applyInPandasWithState(serve, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout)
+    return requests.withWatermark("at", late).groupBy("unit").applyInPandasWithState(serve, OUTCOME, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
