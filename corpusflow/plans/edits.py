@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
 from corpusflow.operators import edits, editions, planning
-from corpusflow.plans.tables import chapters, findings, segments
+from corpusflow.plans.tables import PAIRS_SQL, chapters, findings, pairs, segments
 from corpusflow.session import table
 from corpusflow.sinks import books
 from corpusflow.sources.markup import marked_blocks, numbered_blocks
@@ -81,9 +81,9 @@ def selected_units(spark: SparkSession, root: str) -> DataFrame:
 
 
 def span_values(spark: SparkSession, root: str) -> DataFrame:
-    """Spans by their place in the unit: one text for each, or how many different ones there are."""
+    """Spans by their place in the unit: the digest of the text, null where they differ, and how many different ones there are."""
     s = segments(spark, root).where("source IS NOT NULL")
-    return edits.merged_parts(s.withColumn("h", F.sha2("source", 256)), ["book_slug", "unit_id", "id"], "h").select("book_slug", "unit_id", "id", "n_values")
+    return edits.merged_parts(s.withColumn("h", F.sha2("source", 256)), ["book_slug", "unit_id", "id"], "h")
 
 
 def book_archives(spark: SparkSession, root: str) -> DataFrame:
@@ -93,10 +93,12 @@ def book_archives(spark: SparkSession, root: str) -> DataFrame:
 
 
 def paired_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """Source documents of four blocks or more and their twins in capitals, cut into two before the same blocks."""
-    d = table(spark, root, "source_documents").dropDuplicates(["document_key"]).where("size(blocks) >= 4").withColumn("s", numbered_blocks(F.transform("blocks", lambda b: F.coalesce(b, F.lit("")))))
-    cuts = d.select("document_key", planning.paired_chunks(F.col("s"), F.concat(F.col("s"), F.lit("\n")), F.lit(2)).alias("c"))
-    return cuts.where("c IS NOT NULL").select("document_key", F.get("c", F.lit(0))["source_to"].alias("source_cut"), F.get("c", F.lit(0))["target_to"].alias("target_cut"), F.size("c").alias("n"))
+    """Units whose text and translation have as many paragraphs, cut into two before the same ones; those that hold block markers already
+    are left alone."""
+    p = pairs(spark, root).where(~F.col("source").rlike(r"<!--\s*bt-block:") & ~F.col("target").rlike(r"<!--\s*bt-block:")).withColumns({"a": X.paragraphs(F.col("source")), "b": X.paragraphs(F.col("target"))}).where("size(a) = size(b) AND size(a) >= 2")
+    cuts = p.select("translation_key", planning.paired_chunks(numbered_blocks(F.col("a")), numbered_blocks(F.col("b")), F.lit(2)).alias("c"))
+    first = F.get("c", F.lit(0))
+    return cuts.where("c IS NOT NULL").select("translation_key", first["source_to"].alias("source_cut"), first["target_to"].alias("target_cut"), F.size("c").alias("n"))
 
 
 def title_matches(spark: SparkSession, root: str) -> DataFrame:
@@ -111,6 +113,7 @@ QUERIES = {f.__name__: f for f in (patched_chapters, fully_patched_chapters, quo
 _F = "(SELECT DISTINCT ON (finding_key) finding_key, book_slug, unit_id, source_anchor FROM findings)"
 _C = "(SELECT DISTINCT ON (chapter_id) * FROM chapters)"
 _Q = f"SELECT f.finding_key, c.chapter_id, c.content, f.source_anchor.quote AS q, f.source_anchor.occurrence AS n FROM {_F} f JOIN {_C} c USING (book_slug, unit_id) WHERE f.source_anchor.quote <> ''"
+_LINK = r"(!?)\[([^\]\n]*)\]\((<[^>\n]+>|[^)\s]+)([ \t]+[^)\n]*)?\)"
 _AT = "CASE WHEN (length(content) - length(replace(content, q, ''))) // length(q) > n THEN list_sum(list_transform(string_split(content, q)[1:n + 1], lambda x: length(x))) + n * length(q) END"
 ORACLE = {
     "patched_chapters": f"""SELECT chapter_id, sha256(left(content, CAST(at_ AS BIGINT)) || '[…]' || substr(content, CAST(at_ + length(q) + 1 AS BIGINT))) AS sha256
@@ -122,7 +125,25 @@ c AS (SELECT DISTINCT chapter_id, book_slug, trim(regexp_replace(lower(title), '
 a AS (SELECT c.chapter_id, count(DISTINCT v) AS n_matches, min(v) AS v, 1 AS tier FROM c JOIN r ON r.book_slug = c.book_slug AND r.t = c.t GROUP BY 1),
 b AS (SELECT c.chapter_id, count(DISTINCT v) AS n_matches, min(v) AS v, 2 AS tier FROM c JOIN r ON r.t = c.t WHERE c.chapter_id NOT IN (SELECT chapter_id FROM a) GROUP BY 1)
 SELECT chapter_id, CASE WHEN n_matches = 1 THEN v END AS revised, CAST(tier AS INTEGER) AS tier, n_matches FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
-    "span_values": "SELECT book_slug, unit_id, id, count(DISTINCT source) AS n_values FROM structural_segments WHERE source IS NOT NULL GROUP BY 1, 2, 3",
+    "span_values": "SELECT book_slug, unit_id, id, CASE WHEN count(DISTINCT source) = 1 THEN sha256(min(source)) END AS h, count(DISTINCT source) AS n_values FROM structural_segments WHERE source IS NOT NULL GROUP BY 1, 2, 3",
+    "paired_chunks": rf"""WITH p AS (SELECT translation_key, regexp_split_to_array(source, '\n[ \t]*\n') AS a, regexp_split_to_array(target, '\n[ \t]*\n') AS b FROM ({PAIRS_SQL}) WHERE NOT regexp_matches(source, '<!--\s*bt-block:') AND NOT regexp_matches(target, '<!--\s*bt-block:')),
+q AS (SELECT *, list_transform(a, lambda x: length(x) + 27) AS na, list_transform(b, lambda x: length(x) + 27) AS nb FROM p WHERE len(a) = len(b) AND len(a) >= 2),
+k AS (SELECT translation_key, list_sum(na) + list_sum(nb) - 4 AS total, na, nb, unnest(range(1, len(a))) AS k FROM q),
+c AS (SELECT translation_key, total, k, list_sum(na[1:k]) AS x, list_sum(nb[1:k]) AS y FROM k)
+SELECT translation_key, CAST(x AS INTEGER) AS source_cut, CAST(y AS INTEGER) AS target_cut, 2 AS n FROM c QUALIFY row_number() OVER (PARTITION BY translation_key ORDER BY abs(x + y - total / 2.0), k) = 1""",
+    "link_masks": rf"SELECT chapter_id, CAST(len(regexp_extract_all(content, '{_LINK}')) AS INTEGER) AS n_links, true AS exact FROM {_C} WHERE content IS NOT NULL",
+    "plain_chapters": rf"""WITH a AS (SELECT chapter_id, regexp_replace(regexp_replace(replace(regexp_replace(content, '(?m)^[ \t]*#{{1,6}}[ \t]+', '', 'g'), '<!-- bt-scene-break -->', '  '), '(?m)^[ \t]*-[ \t]+', '', 'g'), '{_LINK}', '\2', 'g') AS t FROM {_C}),
+b AS (SELECT chapter_id, regexp_replace(t, '(?m)^<!-- bt-(?:anchor|block):[A-Za-z0-9_.:-]* -->\s*\n?', '', 'g') AS t FROM a)
+SELECT chapter_id, CAST(length(translate(regexp_replace(t, '\\([*`\[\]\\])', chr(57344), 'g'), '*`', '')) AS INTEGER) AS n_chars FROM b""",
+    "fully_patched_chapters": f"""WITH RECURSIVE q AS ({_Q}), n AS (SELECT chapter_id, count(*) AS n_findings FROM q GROUP BY 1),
+p AS (SELECT DISTINCT chapter_id, content, CAST({_AT} AS BIGINT) AS lo, CAST({_AT} + length(q) AS BIGINT) AS hi FROM q WHERE {_AT} IS NOT NULL),
+m AS (SELECT chapter_id, count(*) AS n_placed FROM q WHERE {_AT} IS NOT NULL GROUP BY 1),
+f AS (SELECT *, CASE WHEN lo < max(hi) OVER (PARTITION BY chapter_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM p),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY chapter_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM f),
+s AS (SELECT chapter_id, content, k, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY 1, 2, 3),
+t AS (SELECT chapter_id, content, k, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY chapter_id ORDER BY k) AS before, max(k) OVER (PARTITION BY chapter_id) AS last FROM s),
+u AS (SELECT chapter_id, string_agg(substr(content, before + 1, lo - before) || '[…]' || CASE WHEN k = last THEN substr(content, hi + 1) ELSE '' END, '' ORDER BY k) AS x FROM t GROUP BY 1)
+SELECT u.chapter_id, CAST(n_findings AS INTEGER) AS n_findings, CAST(n_placed AS INTEGER) AS n_placed, sha256(x) AS sha256 FROM u JOIN n USING (chapter_id) JOIN m USING (chapter_id)""",
     "book_archives": f"SELECT book_slug, CAST(count(*) AS INTEGER) AS n_units, CAST(count(*) AS INTEGER) AS n_read FROM {_C} WHERE status = 'reviewed' AND content IS NOT NULL GROUP BY 1",
     "block_audit": r"SELECT DISTINCT ON (document_key) document_key, len(regexp_extract_all(nfc_normalize(array_to_string(list_transform(blocks, lambda b: coalesce(b, '')), ' ')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n_expected, len(regexp_extract_all(nfc_normalize(array_to_string(list_transform(blocks, lambda b: coalesce(b, '')), ' ')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n_actual, CAST(NULL AS BIGINT) AS mismatch FROM source_documents WHERE len(blocks) > 0",
 }

@@ -46,6 +46,12 @@ def stalled_units(spark: SparkSession, root: str) -> DataFrame:
     return records.stalled(s, ["book_slug", "unit_id"], ["at", "record_id"], "score", "record_id", "rejected", 2)
 
 
+def stalled_books(spark: SparkSession, root: str) -> DataFrame:
+    """Books whose last two review records both hold open findings and do not get better."""
+    s = _scored(spark, root).withColumn("rejected", F.col("n_open") > 0)
+    return records.stalled(s, ["book_slug"], ["at", "record_id"], "score", "record_id", "rejected", 2)
+
+
 def finding_triage(spark: SparkSession, root: str) -> DataFrame:
     """Findings by what they ask for, for each book."""
     grave = F.col("severity").isin("major", "critical") | F.col("category").isin(*REQUIRED)
@@ -116,11 +122,8 @@ def fair_queue(spark: SparkSession, root: str) -> DataFrame:
 
 def session_plan(spark: SparkSession, root: str) -> DataFrame:
     """The units of each book in three runs of about equal length."""
-    c = chapters(spark, root, "book_slug", "chapter_no", "content").select("book_slug", "chapter_no", "chapter_id", F.coalesce(F.length("content"), F.lit(0)).alias("n"))
-    books = c.groupBy("book_slug").agg(F.array_sort(F.collect_list(F.struct("chapter_no", "chapter_id", "n"))).alias("units"))
-    groups = planning.contiguous_groups(F.transform("units", lambda u: u["n"]), F.least(F.lit(3), F.size("units")))
-    each = books.select("book_slug", F.explode(F.arrays_zip("units", groups.alias("g"))).alias("x"))
-    return each.select("book_slug", F.col("x.units.chapter_id").alias("chapter_id"), F.col("x.units.n").alias("n_chars"), F.col("x.g").alias("session_no"))
+    c = chapters(spark, root, "book_slug", "chapter_no", "content").select("book_slug", "chapter_no", "chapter_id", F.coalesce(F.length("content"), F.lit(0)).alias("n_chars"))
+    return planning.contiguous_runs(c, ["book_slug"], ["chapter_no", "chapter_id"], "n_chars", 3).select("book_slug", "chapter_id", "n_chars", F.col("run_no").alias("session_no"))
 
 
 def context_packs(spark: SparkSession, root: str) -> DataFrame:
@@ -128,7 +131,7 @@ def context_packs(spark: SparkSession, root: str) -> DataFrame:
     priority = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "major", 1).otherwise(2)
     f = findings(spark, root).where("detail IS NOT NULL").select("book_slug", "unit_id", priority.alias("p"), "finding_key", F.length("detail").alias("cost"))
     packs = memory.context_packs(f, ["book_slug", "unit_id"], "p", "finding_key", "cost", 120)
-    return packs.select("book_slug", "unit_id", F.size("entries").alias("n_entries"), "used", "n_candidates")
+    return packs.select("book_slug", "unit_id", F.array_join("entries", ",").alias("entries"), "used", "n_candidates")
 
 
 def term_mentions(spark: SparkSession, root: str) -> DataFrame:
@@ -178,6 +181,11 @@ def route_conflicts(spark: SparkSession, root: str) -> DataFrame:
     return validation.conflicting(responses(spark, root), ["book_slug", "unit_id", "segment_id"], "target_language")
 
 
+def outcome_conflicts(spark: SparkSession, root: str) -> DataFrame:
+    """Spans whose answers differ in outcome."""
+    return validation.conflicting(responses(spark, root), ["book_slug", "unit_id", "segment_id"], "outcome")
+
+
 def event_counts(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return leases.windowed_counts(e.withColumn("value", F.floor("value")), "ts", "event_type", "value").select(F.unix_seconds("start").alias("start_s"), "event_type", "n", "total")
@@ -199,8 +207,8 @@ def streamed_event_counts(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        record_scores, latest_records, record_history, stalled_units, finding_triage, anchor_places, window_digests, review_states, route_measures, attempt_medians, latest_answers, retry_times, fair_queue,
-        session_plan, context_packs, term_mentions, superseded_findings, broken_rules, repeated_rows, route_conflicts, event_counts, lease_spans, streamed_event_counts,
+        record_scores, latest_records, record_history, stalled_units, stalled_books, finding_triage, anchor_places, window_digests, review_states, route_measures, attempt_medians, latest_answers, retry_times, fair_queue,
+        session_plan, context_packs, term_mentions, superseded_findings, broken_rules, repeated_rows, route_conflicts, outcome_conflicts, event_counts, lease_spans, streamed_event_counts,
     )
 }
 
@@ -220,6 +228,28 @@ ORACLE = {
 FROM ({_SCORED}) WINDOW w AS (PARTITION BY book_slug, unit_id ORDER BY at_, record_id), d AS (PARTITION BY book_slug, unit_id, score, n_open ORDER BY at_, record_id)""",
     "stalled_units": f"""SELECT book_slug, unit_id, min(score) FILTER (k = 2) AS first_score, min(score) FILTER (k = 1) AS last_score FROM (SELECT *, row_number() OVER (PARTITION BY book_slug, unit_id ORDER BY at_ DESC, record_id DESC) AS k FROM ({_SCORED})) WHERE k <= 2
 GROUP BY 1, 2 HAVING count(*) = 2 AND bool_and(n_open > 0) AND min(score) FILTER (k = 1) >= min(score) FILTER (k = 2)""",
+    "stalled_books": f"""SELECT book_slug, min(score) FILTER (k = 2) AS first_score, min(score) FILTER (k = 1) AS last_score FROM (SELECT *, row_number() OVER (PARTITION BY book_slug ORDER BY at_ DESC, record_id DESC) AS k FROM ({_SCORED})) WHERE k <= 2
+GROUP BY 1 HAVING count(*) = 2 AND bool_and(n_open > 0) AND min(score) FILTER (k = 1) >= min(score) FILTER (k = 2)""",
+    "outcome_conflicts": f"SELECT book_slug, unit_id, segment_id, count(DISTINCT coalesce(outcome, '?')) AS n_values FROM {_R} GROUP BY 1, 2, 3 HAVING count(DISTINCT coalesce(outcome, '?')) > 1",
+    "session_plan": f"""WITH RECURSIVE u AS (SELECT book_slug, chapter_id, coalesce(length(content), 0) AS n, CAST(greatest(coalesce(length(content), 0), 1) AS DOUBLE) AS w, row_number() OVER (PARTITION BY book_slug ORDER BY chapter_no, chapter_id) AS i, count(*) OVER (PARTITION BY book_slug) AS m, sum(greatest(coalesce(length(content), 0), 1)) OVER (PARTITION BY book_slug) AS total FROM {_C}),
+r AS (SELECT book_slug, chapter_id, n, i, m, 1 AS g, w AS filled, CAST(total AS DOUBLE) AS rest FROM u WHERE i = 1
+ UNION ALL SELECT u.book_slug, u.chapter_id, u.n, u.i, u.m, CASE WHEN f.fresh THEN r.g + 1 ELSE r.g END, CASE WHEN f.fresh THEN u.w ELSE r.filled + u.w END, CASE WHEN f.fresh THEN r.rest - r.filled ELSE r.rest END
+ FROM r JOIN u ON u.book_slug = r.book_slug AND u.i = r.i + 1, LATERAL (SELECT (u.m - u.i + 1 <= least(3, u.m) - r.g) OR (r.filled >= r.rest / (least(3, u.m) - r.g + 1)) AS fresh) f)
+SELECT book_slug, chapter_id, CAST(n AS INTEGER) AS n_chars, g AS session_no FROM r""",
+    "context_packs": f"""WITH RECURSIVE f AS (SELECT book_slug, unit_id, finding_key, length(detail) AS c, row_number() OVER (PARTITION BY book_slug, unit_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END, finding_key) AS i FROM {_F} WHERE detail IS NOT NULL),
+r AS (SELECT book_slug, unit_id, i, CASE WHEN c <= 120 THEN c ELSE 0 END AS used, CASE WHEN c <= 120 THEN [finding_key] ELSE [] END AS kept FROM f WHERE i = 1
+ UNION ALL SELECT f.book_slug, f.unit_id, f.i, CASE WHEN r.used + f.c <= 120 THEN r.used + f.c ELSE r.used END, CASE WHEN r.used + f.c <= 120 THEN list_append(r.kept, f.finding_key) ELSE r.kept END FROM r JOIN f ON f.book_slug = r.book_slug AND f.unit_id = r.unit_id AND f.i = r.i + 1)
+SELECT book_slug, unit_id, array_to_string(kept, ',') AS entries, used, i AS n_candidates FROM r QUALIFY row_number() OVER (PARTITION BY book_slug, unit_id ORDER BY i DESC) = 1""",
+    "superseded_findings": f"""WITH f AS (SELECT finding_key, record_id || '/' || id AS e, resolves.record_id || '/' || resolves.finding_id AS r FROM {_F}) SELECT coalesce(e NOT IN (SELECT r FROM f WHERE r IS NOT NULL), true) AS active, count(*) AS n FROM f GROUP BY 1""",
+    "broken_rules": f"""WITH v AS (SELECT 'finding' AS record_kind, unnest(list_filter([CASE WHEN NOT coalesce(regexp_full_match(record_id, '[0-9a-f]{{32}}'), false) THEN 'record_id' END, CASE WHEN NOT coalesce(category IN ({', '.join(repr(c) for c in CATEGORIES)}), false) THEN 'category' END,
+ CASE WHEN NOT coalesce(severity IN ('minor', 'major', 'critical'), false) THEN 'severity' END, CASE WHEN NOT coalesce(length(detail) BETWEEN 1 AND 1000, false) THEN 'detail' END, CASE WHEN NOT coalesce(length(source_anchor.quote) BETWEEN 1 AND 300, false) THEN 'quote' END,
+ CASE WHEN NOT coalesce(source_anchor.occurrence BETWEEN 0 AND 9999, false) THEN 'occurrence' END, CASE WHEN translation_anchor IS NULL THEN 'translation_anchor' END, CASE WHEN NOT coalesce(received_at >= reviewed_at, false) THEN 'order' END], lambda x: x IS NOT NULL)) AS rule FROM {_F}
+ UNION ALL SELECT 'chapter', unnest(list_filter([CASE WHEN NOT coalesce(regexp_full_match(unit_id, 'chapter-\\d{{6}}'), false) THEN 'unit_id' END, CASE WHEN NOT coalesce(length(title) BETWEEN 1 AND 1000, false) THEN 'title' END, CASE WHEN NOT coalesce(status IN ('pending', 'extracted', 'translated', 'reviewed'), false) THEN 'status' END,
+ CASE WHEN NOT coalesce(regexp_full_match(sha256, '[0-9a-f]{{64}}'), false) THEN 'sha256' END, CASE WHEN NOT coalesce(chapter_no BETWEEN 1 AND 999999, false) THEN 'chapter_no' END, CASE WHEN NOT coalesce(received_at >= imported_at, false) THEN 'order' END], lambda x: x IS NOT NULL)) FROM {_C}
+ UNION ALL SELECT 'response', unnest(list_filter([CASE WHEN NOT coalesce(regexp_full_match(segment_id, 's\\d{{5}}'), false) THEN 'segment_id' END, CASE WHEN NOT coalesce(route = lower(trim(route)), false) THEN 'route' END, CASE WHEN NOT coalesce(outcome IN ('accepted', 'rejected'), false) THEN 'outcome' END,
+ CASE WHEN prompt_tokens IS NULL OR completion_tokens IS NULL THEN 'tokens' END, CASE WHEN NOT coalesce(attempt >= 1, false) THEN 'attempt' END], lambda x: x IS NOT NULL)) FROM {_R})
+SELECT record_kind, rule, count(*) AS n FROM v GROUP BY 1, 2""",
+    "streamed_event_counts": f"SELECT * FROM ({_EVENTS}) WHERE start_s + 3600 <= (SELECT floor(epoch(max(ts))) FROM events) - 600",
     "finding_triage": f"""SELECT book_slug, CASE WHEN severity IN ('major', 'critical') OR category IN ({', '.join(repr(c) for c in REQUIRED)}) THEN 'required' WHEN severity = 'minor' AND category IN ('style', 'register') THEN 'adjudicate' ELSE 'review_required' END AS triage, count(*) AS n FROM {_F} GROUP BY 1, 2""",
     "anchor_places": f"""SELECT finding_key, CAST({_PLACES} AS INTEGER) AS n_places, CASE WHEN {_PLACES} > n THEN CAST(list_sum(list_transform(string_split(content, q)[1:n + 1], lambda x: length(x))) + n * length(q) AS INTEGER) END AS place,
  CASE WHEN {_PLACES} <= n THEN 'absent' WHEN n = 0 AND {_PLACES} > 1 THEN 'ambiguous' ELSE 'found' END AS state FROM ({_ANCHOR})""",
