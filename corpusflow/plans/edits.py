@@ -10,6 +10,7 @@ from corpusflow.operators import edits, editions, planning
 from corpusflow.plans.tables import PAIRS_SQL, chapters, findings, pairs, segments
 from corpusflow.session import table
 from corpusflow.sinks import books
+from corpusflow.sources import files
 from corpusflow.sources.markup import marked_blocks, numbered_blocks
 
 
@@ -87,9 +88,32 @@ def span_values(spark: SparkSession, root: str) -> DataFrame:
 
 
 def book_archives(spark: SparkSession, root: str) -> DataFrame:
-    """An EPUB of each book's reviewed chapters, made and read again."""
+    """An EPUB of each book's reviewed chapters, made, read again and checked."""
+    made = books.check_epubs(_archives(spark, root)).withColumnRenamed("book", "book_slug")
+    return made.select("book_slug", "n_units", "n_read", F.array_join("faults", "; ").alias("faults"))
+
+
+def _archives(spark: SparkSession, root: str) -> DataFrame:
     c = chapters(spark, root, "book_slug", "chapter_no", "title", "content", "status").where("status = 'reviewed' AND content IS NOT NULL")
-    return books.check_epubs(books.epubs(c, "book_slug", "chapter_no", "title", "content")).withColumnRenamed("book", "book_slug")
+    return books.epubs(c, "book_slug", "chapter_no", "title", "content")
+
+
+def archive_spines(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of those archives in reading order: whether any holds an image, and how many."""
+    s = files.spine(_archives(spark, root), "book", "epub")
+    return s.groupBy(F.col("path").alias("book_slug")).agg(F.count("*").alias("n_documents"), F.max("pos").alias("last"), F.bool_or("has_image").alias("has_image"), F.countDistinct("name").alias("n_names"))
+
+
+def archive_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    """The digests of the documents of those archives."""
+    f = files.fingerprints(files.spine(_archives(spark, root), "book", "epub"))
+    return f.select(F.col("path").alias("book_slug"), "n_documents", F.size("digests").alias("n_digests"), F.col("first").isNotNull().alias("has_first"), F.sha2(F.array_join("digests", ""), 256).alias("sha256"))
+
+
+def rendered_chapters(spark: SparkSession, root: str) -> DataFrame:
+    """Chapters as XHTML: how many could be written, and why the others could not."""
+    r = chapters(spark, root, "title", "content").where("content IS NOT NULL").select("chapter_id", books.rendered_xhtml("title", "content").alias("r"))
+    return r.select("chapter_id", "r.status", F.regexp_replace("r.reason", "^.* (is|leads) ", "").alias("reason"))
 
 
 def paired_chunks(spark: SparkSession, root: str) -> DataFrame:
@@ -108,7 +132,7 @@ def title_matches(spark: SparkSession, root: str) -> DataFrame:
     return editions.tiered_match(c, r, "chapter_id", "revised", [["book_slug", "t"], ["t"]])
 
 
-QUERIES = {f.__name__: f for f in (patched_chapters, fully_patched_chapters, quote_excerpts, quote_suggestions, findings_in_chunks, link_masks, plain_chapters, block_audit, selected_units, span_values, book_archives, paired_chunks, title_matches)}
+QUERIES = {f.__name__: f for f in (patched_chapters, fully_patched_chapters, quote_excerpts, quote_suggestions, findings_in_chunks, link_masks, plain_chapters, block_audit, selected_units, span_values, book_archives, archive_spines, archive_fingerprints, rendered_chapters, paired_chunks, title_matches)}
 
 _F = "(SELECT DISTINCT ON (finding_key) finding_key, book_slug, unit_id, source_anchor FROM findings)"
 _C = "(SELECT DISTINCT ON (chapter_id) * FROM chapters)"
@@ -144,6 +168,7 @@ s AS (SELECT chapter_id, content, k, min(lo) AS lo, max(hi) AS hi FROM g GROUP B
 t AS (SELECT chapter_id, content, k, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY chapter_id ORDER BY k) AS before, max(k) OVER (PARTITION BY chapter_id) AS last FROM s),
 u AS (SELECT chapter_id, string_agg(substr(content, before + 1, lo - before) || '[…]' || CASE WHEN k = last THEN substr(content, hi + 1) ELSE '' END, '' ORDER BY k) AS x FROM t GROUP BY 1)
 SELECT u.chapter_id, CAST(n_findings AS INTEGER) AS n_findings, CAST(n_placed AS INTEGER) AS n_placed, sha256(x) AS sha256 FROM u JOIN n USING (chapter_id) JOIN m USING (chapter_id)""",
-    "book_archives": f"SELECT book_slug, CAST(count(*) AS INTEGER) AS n_units, CAST(count(*) AS INTEGER) AS n_read FROM {_C} WHERE status = 'reviewed' AND content IS NOT NULL GROUP BY 1",
+    "book_archives": f"SELECT book_slug, CAST(count(*) AS INTEGER) AS n_units, CAST(count(*) AS INTEGER) AS n_read, '' AS faults FROM {_C} WHERE status = 'reviewed' AND content IS NOT NULL GROUP BY 1",
+    "archive_spines": f"SELECT book_slug, count(*) AS n_documents, CAST(count(*) - 1 AS INTEGER) AS last, false AS has_image, count(*) AS n_names FROM {_C} WHERE status = 'reviewed' AND content IS NOT NULL GROUP BY 1",
     "block_audit": r"SELECT DISTINCT ON (document_key) document_key, len(regexp_extract_all(nfc_normalize(array_to_string(list_transform(blocks, lambda b: coalesce(b, '')), ' ')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n_expected, len(regexp_extract_all(nfc_normalize(array_to_string(list_transform(blocks, lambda b: coalesce(b, '')), ' ')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n_actual, CAST(NULL AS BIGINT) AS mismatch FROM source_documents WHERE len(blocks) > 0",
 }

@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,33 +46,97 @@ def inline_xhtml(text: str) -> str:
     return re.sub(r"\\([*`\[\]\\])", r"\1", out)
 
 
-def markdown_xhtml(title: str, markdown: str, language: str = "en") -> str:
-    """Headings, paragraphs, list items, scene breaks and inline marks as an XHTML document."""
-    body, items = [], []
-
-    def flush() -> None:
-        if items:
-            body.append("<ul>" + "".join(f"<li>{inline_xhtml(i)}</li>" for i in items) + "</ul>")
-            items.clear()
-
-    for block in re.split(r"\n[ \t]*\n", markdown.strip()):
-        block = re.sub(r"<!--\s*bt-(?:anchor|block|inline|media):[^>]*-->\s*", "", block).strip()
-        heading = re.match(r"(#{1,6})\s+(.*)", block, re.S)
-        if block.startswith("- "):
-            items += [x[2:] if x.startswith("- ") else x for x in block.split("\n")]
+#: What a line of Markdown begins or is, in the order in which it is asked.
+_LINES = (
+    ("fence", re.compile(r"\s*```")),
+    ("blank", re.compile(r"\s*$")),
+    ("rule", re.compile(r"\s*(?:\* ?\* ?\*|- ?- ?-|_{3,}|<!-- bt-scene-break -->)\s*$")),
+    ("anchor", re.compile(r"\s*<!-- bt-anchor:([A-Za-z_][A-Za-z0-9_.:-]*) -->\s*$")),
+    ("marker", re.compile(r"\s*<!--\s*bt-(?:anchor|block|inline|media):[^>]*-->\s*$")),
+    ("heading", re.compile(r"(#{1,6})\s+(.*\S)\s*$")),
+    ("ul", re.compile(r"[-*] (.*)$")),
+    ("ol", re.compile(r"\d{1,9}[.)] (.*)$")),
+    ("p", re.compile(r"(.*)$")),
+)
+_ANY_LINK = re.compile(r"(?<!\\)(?<!!)\[[^\]\n]*\]\(([^)\s]*)[^)]*\)")
+
+
+def _blocks(markdown: str) -> Iterator[tuple[str, list[re.Match]]]:
+    """Runs of lines of one kind: a heading or rule is a run of its own, a paragraph goes on until anything else begins."""
+    kind, run, fenced = "", [], False
+    for line in markdown.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        now, m = next((k, m) for k, p in _LINES if (m := p.match(line)))
+        if fenced:
+            fenced = now != "fence"
+            if fenced:
+                run.append(re.match(r"(.*)", line))
+                continue
+            yield "code", run
+            kind, run = "", []
             continue
-        flush()
-        if re.fullmatch(r"\* ?\* ?\*|- ?- ?-|_{3,}|<!-- bt-scene-break -->", block):
+        if now != kind or now in ("heading", "rule", "anchor", "marker"):
+            if run:
+                yield kind, run
+            kind, run = now, []
+        if now == "fence":
+            fenced, run = True, []
+        elif now != "blank":
+            run.append(m)
+    if fenced:
+        yield "open_code", run
+    elif run:
+        yield kind, run
+
+
+def markdown_xhtml(title: str, markdown: str, language: str = "en", strict: bool = False) -> str:
+    """Headings, paragraphs, lists, fenced code, anchors, scene breaks and inline marks as an XHTML document.
+
+    ``strict`` refuses (ValueError) what would be lost or lead nowhere: a fence that is not closed, a link that is neither http(s) nor in
+    the document, and a place that is not there or is there twice.
+    """
+    body = []
+    for kind, run in _blocks(markdown):
+        if kind == "rule":
             body.append("<hr/>")
-        elif heading:
-            n = len(heading[1])
-            body.append(f"<h{n}>{inline_xhtml(heading[2].strip())}</h{n}>")
-        elif block:
-            body.append("<p>" + inline_xhtml(block).replace("\n", "<br/>") + "</p>")
-    flush()
+        elif kind == "anchor":
+            body.append(f'<span id="{run[0][1]}"></span>')
+        elif kind == "heading":
+            body.append(f"<h{len(run[0][1])}>{inline_xhtml(run[0][2].strip())}</h{len(run[0][1])}>")
+        elif kind in ("ul", "ol"):
+            body.append(f"<{kind}>" + "".join(f"<li>{inline_xhtml(m[1].strip())}</li>" for m in run) + f"</{kind}>")
+        elif kind in ("code", "open_code"):
+            if strict and kind == "open_code":
+                raise ValueError("a fence is not closed")
+            body.append("<pre><code>" + html.escape("\n".join(m[1] for m in run)) + "</code></pre>")
+        elif kind == "p":
+            body.append("<p>" + inline_xhtml("\n".join(m[1] for m in run)).replace("\n", "<br/>") + "</p>")
+    if strict:
+        places = re.findall(r'<span id="([^"]*)"></span>', "".join(body))
+        for target in _ANY_LINK.findall(markdown):
+            if target.startswith("#"):
+                if places.count(target[1:]) != 1:
+                    raise ValueError(f"{target} is not one place of the document")
+            elif not re.match(r"https?://[^\s/?#]", target):
+                raise ValueError(f"{target} leads nowhere")
     return f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="{html.escape(language)}"><head><title>{html.escape(title)}</title></head><body>{"".join(body)}</body></html>'
 
 
+_RENDERED = T.StructType([T.StructField(n, T.StringType()) for n in ("status", "reason", "xhtml")])
+
+
+@F.pandas_udf(_RENDERED)
+def rendered_xhtml(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """``status`` (ok or blocked), ``reason`` and ``xhtml`` of a title and its Markdown, strictly; null for null."""
+    for titles, texts in batches:
+        rows = []
+        for title, text in zip(titles, texts):
+            try:
+                rows.append((None, None, None) if text is None else ("ok", None, markdown_xhtml(title or "", text, strict=True)))
+            except ValueError as e:
+                rows.append(("blocked", str(e), None))
+        yield pd.DataFrame(rows, columns=_RENDERED.names)
+
+
 def epub_bytes(identifier: str, title: str, language: str, units: list[tuple[str, str]]) -> bytes:
     """An EPUB of (title, Markdown) units; the same units always give the same bytes."""
     out = io.BytesIO()
@@ -111,11 +176,54 @@ def epubs(units: DataFrame, book: str, number: str, title: str, content: str, la
     return rows.groupBy("book").applyInPandas(make, _EPUB)
 
 
+def archive_faults(data: bytes, expected: int) -> list[str]:
+    """What is wrong with an archive that ``epub_bytes`` could have made; nothing if it is whole."""
+    try:
+        z = zipfile.ZipFile(io.BytesIO(data))
+    except (zipfile.BadZipFile, OSError):
+        return ["no archive"]
+    with z:
+        out, infos = [], z.infolist()
+        names = [x.filename for x in infos]
+        if not names or names[0] != "mimetype" or infos[0].compress_type != zipfile.ZIP_STORED or z.read("mimetype") != b"application/epub+zip":
+            out.append("mimetype")
+        if len(set(names)) != len(names):
+            out.append("repeated entry")
+        found = read_epub(data)
+        if found["status"] != "ok":
+            return [*out, found["reason"]]
+        if not found["title"] or not found["language"]:
+            out.append("title or language")
+        if len(found["documents"]) != expected:
+            out.append(f"{len(found['documents'])} units instead of {expected}")
+        for _, name, _, text in found["documents"]:
+            if not "".join(_parsed(text, f"{name} is no XHTML", out)).strip():
+                out.append(f"{name} is empty")
+        contents = next((n for n in names if n.endswith("nav.xhtml")), None)
+        if contents is None:
+            return [*out, "no contents"]
+        links = re.findall(r'<li><a href="([^"]+)">', z.read(contents).decode("utf-8", "replace"))
+        if links != [place.rsplit("/", 1)[-1] for _, _, place, _ in found["documents"]]:
+            out.append("contents")
+        return out
+
+
+def _parsed(text: str | None, fault: str, out: list[str]) -> list[str]:
+    try:
+        body = next(n for n in ElementTree.fromstring((text or "").encode()).iter() if n.tag.endswith("body"))
+        return list(body.itertext())
+    except (ElementTree.ParseError, StopIteration):
+        out.append(fault)
+        return ["-"]
+
+
 def check_epubs(archives: DataFrame) -> DataFrame:
-    """``book, n_units, n_read``: archives read again, with the documents found in them."""
-    @F.pandas_udf(T.IntegerType())
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda b: len(read_epub(bytes(b))["documents"] or []))
+    """``book, n_units, n_read, faults``: archives read again, with the documents found in them and what is wrong."""
+
+    @F.pandas_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("faults", T.ArrayType(T.StringType()))]))
+    def check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for data, counts in batches:
+            yield pd.DataFrame([(len(read_epub(bytes(b))["documents"] or []), archive_faults(bytes(b), int(n))) for b, n in zip(data, counts)], columns=["n", "faults"])
 
-    return archives.select("book", "n_units", count("epub").alias("n_read"))
+    seen = archives.select("book", "n_units", check("epub", "n_units").alias("c"))
+    return seen.select("book", "n_units", F.col("c.n").alias("n_read"), F.col("c.faults").alias("faults"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corpusflow.functions.text import identity_form
 from corpusflow.sources.markup import as_markdown, blocks_of, markdown_sections, text_sections
 
 #: Formats by suffix: fixed values.
@@ -22,6 +23,27 @@ SUFFIXES = {"epub": "epub", "html": "html", "htm": "html", "xhtml": "xhtml", "tx
 CHARSETS = ("utf-8-sig", "utf-16", "cp1251", "cp1252")
 
 
+@F.pandas_udf(T.StringType())
+def probed_format(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The format of a file by its suffix and its bytes: "epub" only where the bytes are an archive with a container; null for others."""
+    for names, data in batches:
+        out = []
+        for name, b in zip(names, data):
+            found = SUFFIXES.get((name or "").rsplit(".", 1)[-1].lower())
+            if found == "epub":
+                found = "epub" if b is not None and _has_container(bytes(b)) else None
+            out.append(found)
+        yield pd.Series(out, dtype=object)
+
+
+def _has_container(data: bytes) -> bool:
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return "META-INF/container.xml" in z.namelist()
+    except (zipfile.BadZipFile, OSError):
+        return False
+
+
 def format_of(path: Column) -> Column:
     """The format that a path's suffix names; null for any other."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
@@ -69,7 +91,10 @@ def read_epub(data: bytes) -> dict:
             package = ElementTree.fromstring(z.read(root))
             for field, name in (("title", "title"), ("author", "creator"), ("language", "language")):
                 out[field] = next((n.text.strip() for n in package.iter() if local(n) == name and n.text and n.text.strip()), None)
-            items = {n.get("id"): n for n in package.iter() if local(n) == "item" and n.get("id") and n.get("href")}
+            listed = [n for n in package.iter() if local(n) == "item" and n.get("id") and n.get("href")]
+            items = {n.get("id"): n for n in listed}
+            if len(items) != len(listed):
+                return out | {"reason": "two files are listed under one name"}
             documents = []
             for ref in (n.get("idref") for n in package.iter() if local(n) == "itemref"):
                 if ref not in items:
@@ -130,6 +155,25 @@ def extract_units(files: DataFrame) -> DataFrame:
     return units.unionByName(failed).unionByName(blocked).unionByName(unknown)
 
 
+def spine(books: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``path, pos, name, n_blocks, n_filled, first_tag, has_image, sha256, n_chars``: the documents of each EPUB in reading order, with
+    their blocks and the digest of their text in its form for comparison. Null block counts where a document cannot be taken apart."""
+    e = books.select(F.col(path).alias("path"), epub(content).alias("e")).where("e.status = 'ok'").select("path", F.explode("e.documents").alias("d"))
+    b = e.select("path", "d.pos", F.col("d.path").alias("name"), "d.html", blocks_of(F.col("d.html"), True, F.col("d.path")).alias("b"))
+    text = identity_form(F.array_join(F.transform("b.blocks", lambda x: x["text"]), " "))
+    own = b.withColumn("t", F.coalesce(text, identity_form(F.regexp_replace(F.regexp_replace("html", r"(?s)<head.*?</head>", ""), "<[^>]*>", " "))))
+    return own.select("path", "pos", "name", F.size("b.blocks").alias("n_blocks"), F.size(F.filter("b.blocks", lambda x: ~x["tag"].isin("hr", "anchor"))).alias("n_filled"), F.get("b.blocks", F.lit(0))["tag"].alias("first_tag"), F.col("html").rlike(r"(?i)<img[\s/>]").alias("has_image"), F.sha2("t", 256).alias("sha256"), F.length("t").alias("n_chars"))
+
+
+def fingerprints(documents: DataFrame, most: int = 300, least_first: int = 500) -> DataFrame:
+    """``path, n_documents, digests, first``: the digests of a book's documents in order, null above ``most`` of them, and that of its first
+    one where it has ``least_first`` characters."""
+    one = documents.groupBy("path").agg(F.count("*").alias("n_documents"), F.min_by(F.when(F.col("n_chars") >= least_first, F.col("sha256")), "pos").alias("first"))
+    few = one.where(F.col("n_documents") <= most).select("path")
+    listed = documents.join(few, "path", "left_semi").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sha256"))), lambda x: x["sha256"]).alias("digests"))
+    return one.join(listed, "path", "left").select("path", "n_documents", "digests", "first")
+
+
 def strip_name(path: Column) -> Column:
     """A file's name without folder and suffix, hyphens and underscores as spaces."""
     name = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", ""), "[-_]", " "))

@@ -105,3 +105,50 @@ def test_books(spark, tmp_path):
     assert text.index("# T 1") < text.index("# T 2") and not (tmp_path / "md" / "book=c").exists()
     books.write_units(df, f"{tmp_path}/units", "book")
     assert spark.read.parquet(f"{tmp_path}/units").count() == 3
+
+
+def test_markdown_blocks():
+    text = "# A\nplain *x*\nmore\n1. one\n2) two\n* a\n- b\n```py\n<x> *no*\n\n```\n<!-- bt-anchor:n1 -->\n[up](#n1) [out](https://a.b)\n***\n"
+    body = books.markdown_xhtml("T", text, strict=True).split("<body>")[1]
+    assert body.startswith('<h1>A</h1><p>plain <em>x</em><br/>more</p><ol><li>one</li><li>two</li></ol><ul><li>a</li><li>b</li></ul><pre><code>&lt;x&gt; *no*\n</code></pre><span id="n1"></span><p><a href="#n1">up</a> <a href="https://a.b">out</a></p><hr/>')
+    for bad in ("```\nx", "[a](javascript:x)", "[a](#nowhere)", "<!-- bt-anchor:n -->\n<!-- bt-anchor:n -->\n[a](#n)"):
+        assert "<body>" in books.markdown_xhtml("T", bad)
+        try:
+            books.markdown_xhtml("T", bad, strict=True)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_archives_are_checked(spark):
+    import io
+    import zipfile
+
+    good = books.epub_bytes("i", "t", "en", [("a", "text"), ("b", "more")])
+    assert books.archive_faults(good, 2) == [] and books.archive_faults(good, 3) == ["2 units instead of 3"] and books.archive_faults(b"x", 1) == ["no archive"]
+
+    def changed(name, by):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(good)) as a, zipfile.ZipFile(out, "w") as b:
+            for x in a.namelist():
+                if x != name or by is not None:
+                    b.writestr(x, by if x == name else a.read(x))
+        return out.getvalue()
+
+    assert books.archive_faults(changed("OEBPS/unit-000001.xhtml", b"<html><body> </body></html>"), 2) == ["unit-000001 is empty"]
+    assert books.archive_faults(changed("OEBPS/unit-000001.xhtml", b"<html>"), 2) == ["unit-000001 is no XHTML"]
+    assert books.archive_faults(changed("OEBPS/unit-000002.xhtml", None), 2) == ["OEBPS/unit-000002.xhtml is missing"]
+    assert books.archive_faults(changed("mimetype", b"x"), 2) == ["mimetype"] and books.archive_faults(changed("OEBPS/nav.xhtml", b"<ol/>"), 2) == ["contents"]
+
+
+def test_spine_and_fingerprints(spark):
+    from corpusflow.sources import files
+
+    data = books.epub_bytes("i", "t", "en", [("a", "# One\n\ntext " + "word " * 200), ("b", "More"), ("c", "more")])
+    df = spark.createDataFrame([("x", data), ("y", b"no"), ("z", None)], "path string, content binary")
+    rows = files.spine(df).orderBy("pos").collect()
+    assert [(r.pos, r.n_blocks, r.first_tag, r.has_image) for r in rows] == [(0, 2, "h1", False), (1, 1, "p", False), (2, 1, "p", False)] and rows[1].sha256 == rows[2].sha256 != rows[0].sha256
+    one = files.fingerprints(files.spine(df)).first()
+    assert (one.n_documents, one.digests, one.first) == (3, [r.sha256 for r in rows], rows[0].sha256) and files.fingerprints(files.spine(df), most=2).first().digests is None
+    names = spark.createDataFrame([("a.epub", data), ("a.epub", b"no"), ("b.MD", b""), ("c.pdf", b""), (None, None)], "p string, c binary")
+    assert [r.f for r in names.select(files.probed_format("p", "c").alias("f")).collect()] == ["epub", None, "markdown", None, None]
