@@ -113,6 +113,16 @@ def digest(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+def canonical(**fields: Column) -> Column:
+    """The fields as one JSON object, keys sorted, nulls kept, without spaces, and a line feed."""
+    return F.concat(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), F.lit("\n"))
+
+
+def unit_or_number(unit: Column, number: Column) -> Column:
+    """The name that a unit has, else the one its number gives."""
+    return F.coalesce(unit, unit_id(number))
+
+
 def parse_utc(c: Column) -> Column:
     """ISO-8601 time with a zone as a timestamp; null for anything else."""
     shaped = c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})$")

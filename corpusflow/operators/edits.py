@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator, Sequence
@@ -89,6 +90,18 @@ def unmask(text: str, links: Sequence[str]) -> str | None:
     return None if "⟦" in out or "⟧" in out else out
 
 
+def mask_like(source: str, translation: str) -> str:
+    """A translation with the tokens of its source's links around its own labels, where both have as many links; else as it is."""
+    n = len(mask(source)[1])
+    return mask(translation)[0] if n and len(mask(translation)[1]) == n else translation
+
+
+@F.pandas_udf(T.StringType())
+def masked_like(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for sources, texts in batches:
+        yield pd.Series([None if s is None or t is None else mask_like(s, t) for s, t in zip(sources, texts)], dtype=object)
+
+
 @F.pandas_udf(_MASK)
 def masked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
@@ -183,3 +196,68 @@ def in_ranges(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str
 def merged_parts(parts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``keys, value, n_values``: one value for each key; null, and how many there are, where the parts disagree."""
     return parts.groupBy(*keys).agg(F.countDistinct(value).alias("n_values"), F.min(value).alias("_v")).select(*keys, F.when(F.col("n_values") == 1, F.col("_v")).alias(value), "n_values")
+
+
+def global_occurrence(text: Column, quote: Column, low: Column, high: Column) -> Column:
+    """Which occurrence in the whole text a quote is that stands once in its block ``[low, high)``, from 0; null where it does not stand
+    there exactly once, or stands at no place of the count without overlaps from the beginning."""
+    block = F.substring(text, low + 1, high - low)
+    at = low + F.length(F.call_function("substring_index", block, quote, F.lit(1)))
+    n = X.occurrences(F.substring(text, F.lit(1), at), quote)
+    return F.when((X.occurrences(block, quote) == 1) & (X.nth_offset(text, quote, n) == at), n)
+
+
+@F.pandas_udf(T.StringType())
+def unified_diff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The difference of two texts in the unified form, with three lines around each change; empty for equal texts, null for null."""
+    for old, new in batches:
+        yield pd.Series([None if a is None or b is None else "\n".join(difflib.unified_diff(a.split("\n"), b.split("\n"), "before", "after", lineterm="")) for a, b in zip(old, new)], dtype=object)
+
+
+_PIECE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
+_BREAKS = re.compile(r"(?P<paragraph>\s*\n[ \t]*\n\s*)|(?P<sentence>(?<=[.!?…])\s+)|(?P<word>\s+)")
+
+
+def bounded_spans(text: str, limit: int) -> list[tuple[str, str]]:
+    """A text in spans of at most ``limit`` characters and the white space between them, which together are the text.
+
+    From where a span begins, it ends at the last end of a paragraph within the limit; without one at the last end of a sentence in the
+    second half of it; else at the last white space. ValueError where a word is longer than a span.
+    """
+    lead, tail = len(text) - len(text.lstrip()), len(text.rstrip())
+    places = {k: [] for k in ("paragraph", "sentence", "word")}
+    for m in _BREAKS.finditer(text, lead, max(lead, tail)):
+        for k in ("word", "sentence", "paragraph"):  # a stronger break is every weaker one as well
+            places[k].append(m.span())
+            if k == m.lastgroup:
+                break
+    out, at = [("literal", text[:lead])], lead
+    while tail - at > limit:
+        for k, least in (("paragraph", 1), ("sentence", limit // 2), ("word", 1)):
+            n = bisect.bisect_right(places[k], at + limit, key=lambda p: p[0])
+            if n and places[k][n - 1][0] >= at + least:
+                start, end = places[k][n - 1]
+                break
+        else:
+            raise ValueError("a word is longer than a span")
+        out += [("text", text[at:start]), ("literal", text[start:end])]
+        at = end
+    out += [("text", text[at:tail]), ("literal", text[max(at, tail) :])]
+    return [x for x in out if x[1]]
+
+
+def spans_within(text: Column, limit: int = 1600) -> Column:
+    """``bounded_spans`` of every text; null for null and where a word is longer than a span."""
+
+    @F.pandas_udf(_PIECE)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(t: str | None) -> list[tuple[str, str]] | None:
+            try:
+                return None if t is None else bounded_spans(t, limit)
+            except ValueError:
+                return None
+
+        for s in batches:
+            yield pd.Series([one(t) for t in s], dtype=object)
+
+    return cut(text)

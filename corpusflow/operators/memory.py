@@ -16,7 +16,7 @@ from corpusflow.functions.text import fold_case
 def upsert_terms(current: DataFrame, rows: DataFrame, term: str, value: str, order: Sequence[str]) -> DataFrame:
     """``term, value, state``: terms of both sides, case aside; what is there stays (kept), a new term is inserted once (its first row
     by ``order``), and a row that gives another value than the one that holds is a conflict."""
-    held = current.select(fold_case(F.col(term)).alias("k"), F.col(term).alias("t"), F.col(value).alias("v")).dropDuplicates(["k"])
+    held = current.groupBy(fold_case(F.col(term)).alias("k")).agg(F.min(F.struct(F.col(term).alias("t"), F.col(value).alias("v"))).alias("r")).select("k", "r.*")
     first = rows.select(fold_case(F.col(term)).alias("k"), F.col(term).alias("t2"), F.col(value).alias("v2"), F.row_number().over(Window.partitionBy(fold_case(F.col(term))).orderBy(*order)).alias("n"))
     both = held.join(first, "k", "full_outer")
     winner = F.coalesce(F.col("v"), F.first("v2").over(Window.partitionBy("k").orderBy(F.col("n").asc_nulls_last())))
@@ -84,3 +84,32 @@ def mentions(texts: DataFrame, keys: Sequence[str], columns: Sequence[str], entr
     named = entries.select(F.col(entry).alias("_e"), fold_case(F.col(term)).alias("_term")).where(F.length(F.trim("_term")) > 2).distinct()
     sides = texts.select(*keys, F.explode(F.array(*[fold_case(F.col(c)) for c in columns])).alias("_text")).where("_text IS NOT NULL")
     return terms_in(sides, keys, "_text", named, "_term", few).join(named, "_term").select(*keys, F.col("_e").alias(entry)).distinct()
+
+
+def append_missing(current: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows that ``current`` has not, by ``keys`` (null is a value), each once: the first by ``order``."""
+    rest = [c for c in rows.columns if c not in keys]
+    k = F.struct(*keys)
+    first = rows.groupBy(k.alias("_k")).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    new = first.join(current.select(k.alias("_h")).distinct(), F.col("_k").eqNullSafe(F.col("_h")), "left_anti")
+    return new.select(*[F.col("_k").getField(c).alias(c) for c in keys], *[F.col("_r").getField(c).alias(c) for c in rest])
+
+
+def union_once(first: DataFrame, second: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of both, each key once: that of ``first`` if it has one, else the foremost by ``order``."""
+    both = first.withColumn("_side", F.lit(0)).unionByName(second.withColumn("_side", F.lit(1)))
+    rest = [c for c in first.columns if c not in keys]
+    one = both.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("_side", *order)).alias("_r"))
+    return one.select(*keys, *[F.col("_r").getField(c).alias(c) for c in rest])
+
+
+def grounded(proposals: DataFrame, texts: DataFrame, unit: Sequence[str], original: str, rendering: str, source: str, target: str) -> DataFrame:
+    """``proposals`` with ``state``: grounded where the original stands in its unit's source and the rendering in its target, case aside;
+    else source_missing or target_missing; no_unit where the unit has no texts. A null original or rendering stands nowhere."""
+    held = texts.select(*[F.col(u).alias(f"_{u}") for u in unit], fold_case(F.col(source)).alias("_s"), fold_case(F.col(target)).alias("_t"))
+    on = F.lit(True)
+    for u in unit:
+        on = on & (F.col(u) == F.col(f"_{u}"))
+    inside = lambda text, part: F.coalesce(F.contains(text, fold_case(F.col(part))), F.lit(False))
+    state = F.when(F.col("_s").isNull() & F.col("_t").isNull(), "no_unit").when(~inside("_s", original), "source_missing").when(~inside("_t", rendering), "target_missing").otherwise("grounded")
+    return proposals.join(held, on, "left").withColumn("state", state).drop("_s", "_t", *[f"_{u}" for u in unit])

@@ -60,3 +60,31 @@ def resolve_units(units: DataFrame, records: DataFrame, on: Sequence[str], ident
     some = records.select(*on).distinct().withColumn("_some", F.lit(True))
     seen = units.join(exact, [*on, *identity], "left").join(some, [*on], "left")
     return seen.withColumn("state", F.when(F.col("_pass"), "pass").when(~F.col("_pass"), "corrections_required").when(F.col("_some"), "stale").otherwise("missing")).drop("_pass", "_some")
+
+
+def classified(df: DataFrame, unit: Sequence[str], order: Sequence[str], record: str, identity: Sequence[str], current: DataFrame) -> DataFrame:
+    """Adds ``classification``: current for the last record of a unit whose ``identity`` is the one in ``current`` (a row for each unit),
+    superseded for earlier ones of that identity, stale for those of another or of no unit; and ``duplicate_of``, the first record of the
+    unit with the same identity."""
+    seen = df.join(current.select(*[F.col(u).alias(f"_{u}") for u in unit], *[F.col(i).alias(f"_now_{i}") for i in identity], F.lit(True).alias("_known")), _all_equal([(F.col(u), F.col(f"_{u}")) for u in unit]), "left")
+    same = F.coalesce(F.col("_known"), F.lit(False)) & _all_equal([(F.col(i), F.col(f"_now_{i}")) for i in identity])
+    line = Window.partitionBy(*unit, *identity)
+    last = F.row_number().over(line.orderBy(*[F.desc(c) for c in order])) == 1
+    first = F.first(record).over(line.orderBy(*order))
+    out = seen.withColumns({"classification": F.when(~same, "stale").when(last, "current").otherwise("superseded"), "duplicate_of": F.when(first != F.col(record), first)})
+    return out.drop("_known", *[f"_{u}" for u in unit], *[f"_now_{i}" for i in identity])
+
+
+def _all_equal(pairs: list[tuple[Column, Column]]) -> Column:
+    out = F.lit(True)
+    for a, b in pairs:
+        out = out & a.eqNullSafe(b)
+    return out
+
+
+def reusable(old: DataFrame, new: DataFrame, unit: Sequence[str], part: str, hashes: Sequence[str], findings: DataFrame) -> DataFrame:
+    """``new`` with ``reuse``: whether the part of that name in ``old`` had equal ``hashes`` and no open finding (rows of ``findings`` by
+    unit and part)."""
+    keys = [*unit, part]
+    same = old.select(*keys, *hashes).distinct().join(findings.select(*keys).distinct(), keys, "left_anti").withColumn("_same", F.lit(True))
+    return new.join(same, [*keys, *hashes], "left").withColumn("reuse", F.col("_same").isNotNull()).drop("_same")
