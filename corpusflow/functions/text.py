@@ -118,6 +118,12 @@ def canonical(**fields: Column) -> Column:
     return F.concat(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), F.lit("\n"))
 
 
+def drifted(before: Column, after: Column) -> Column:
+    """The keys of two maps under which they differ, sorted."""
+    keys = F.array_union(F.map_keys(before), F.map_keys(after))
+    return F.array_sort(F.filter(keys, lambda k: ~F.try_element_at(before, k).eqNullSafe(F.try_element_at(after, k))))
+
+
 def unit_or_number(unit: Column, number: Column) -> Column:
     """The name that a unit has, else the one its number gives."""
     return F.coalesce(unit, unit_id(number))

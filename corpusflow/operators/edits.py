@@ -167,6 +167,15 @@ def parsed_batch(answer: Column, expected: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), F.map_from_entries(F.transform(rows, lambda r: F.struct(r["id"], r["translation"]))))
 
 
+def parsed_verdicts(answer: Column, expected: Column) -> Column:
+    """Verdicts by finding out of a JSON object ``{"decisions": [{"finding_id", "verdict", "risk"}]}``; null unless every expected finding has
+    one, each once, and an approval has the risk "none" and a rejection another."""
+    rows = F.from_json(answer, "decisions array<struct<finding_id string, verdict string, risk string>>")["decisions"]
+    same = F.array_sort(F.transform(rows, lambda r: r["finding_id"])) == F.array_sort(expected)
+    sound = F.forall(rows, lambda r: r["verdict"].isin("approve", "reject") & ((r["verdict"] == "approve") == (r["risk"] == "none")))
+    return F.when(F.coalesce(same & sound, F.lit(False)), F.map_from_entries(F.transform(rows, lambda r: F.struct(r["finding_id"], r["verdict"]))))
+
+
 def plain_prose(markdown: Column) -> Column:
     """Markdown without its marks: headings, list items, links, anchors and emphasis; escaped marks stay as characters."""
     t = F.regexp_replace(markdown, r"(?m)^[ \t]*#{1,6}[ \t]+", "")

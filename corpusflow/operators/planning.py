@@ -57,6 +57,45 @@ def prefix_within(df: DataFrame, group: Sequence[str], order: Sequence[str], siz
     return seen.where((F.col("_n") == 1) | ((F.col("_n") <= most_rows) & (F.col("_total") <= most_size))).drop("_n", "_total")
 
 
+def prefix_disjoint(df: DataFrame, group: Sequence[str], order: Sequence[str], low: str, high: str, most: int) -> DataFrame:
+    """The first rows of each group, at most ``most``, up to the first whose range ``[low, high)`` is null, empty or meets one before; if
+    that is the group's first row, it alone. A group is read in order by one task, which holds ``most`` ranges."""
+    k = len(group)
+
+    def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held, done = None, [], False
+        for frame in parts:
+            keep = []
+            for r in frame[[*group, low, high]].itertuples(index=False):
+                key, a, b = tuple(r[:k]), r[k], r[k + 1]
+                if key != last:
+                    last, held, done = key, [], False
+                fits = not (pd.isna(a) or pd.isna(b)) and a < b and not any(a < y and x < b for x, y in held)
+                taken = not done and (fits or not held) and len(held) < most
+                done = done or not fits or not taken
+                if taken:
+                    held.append((a, b))
+                keep.append(taken)
+            yield frame[keep]
+
+    laid = df.repartition(*[F.col(g) for g in group]).sortWithinPartitions(*group, *order)
+    return laid.mapInPandas(choose, df.schema)
+
+
+def cover_faults(parts: DataFrame, keys: Sequence[str], start: str, end: str, total: str) -> DataFrame:
+    """``keys, fault, at``: where parts ``[start, end)`` do not cover their whole of ``total`` characters once: a gap, an overlap, an empty
+    part, or a beginning or end that is missing."""
+    line = Window.partitionBy(*keys).orderBy(start, end)
+    seen = parts.select(*keys, F.col(start).alias("_a"), F.col(end).alias("_b"), F.col(total).alias("_n"), F.lag(end).over(line).alias("_before"), F.lead(start).over(line).alias("_next"))
+    fault = lambda ok, name, at: F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(name).alias("fault"), at.cast("long").alias("at")))
+    first, last = F.col("_before").isNull(), F.col("_next").isNull()
+    found = F.array(
+        fault(F.col("_a") < F.col("_b"), "empty", F.col("_a")), fault(~first | (F.col("_a") == 0), "beginning", F.col("_a")), fault(~last | (F.col("_b") == F.col("_n")), "end", F.col("_b")),
+        fault(first | (F.col("_a") <= F.col("_before")), "gap", F.col("_before")), fault(first | (F.col("_a") >= F.col("_before")), "overlap", F.col("_a")),
+    )
+    return seen.select(*keys, F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select(*keys, "f.fault", "f.at")
+
+
 def batches_within(df: DataFrame, group: Sequence[str], order: Sequence[str], size: str, most_rows: int, most_size: int) -> DataFrame:
     """Adds ``batch_no``: consecutive rows of a group, each batch as long as ``most_rows`` and ``most_size`` allow.
 

@@ -10,7 +10,7 @@ from corpusflow.operators import edits, editions, planning
 from corpusflow.plans.tables import PAIRS_SQL, chapters, findings, pairs, segments
 from corpusflow.session import table
 from corpusflow.sinks import books
-from corpusflow.sources import files
+from corpusflow.sources import files, layout
 from corpusflow.sources.markup import marked_blocks, numbered_blocks
 
 
@@ -110,6 +110,16 @@ def archive_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     return f.select(F.col("path").alias("book_slug"), "n_documents", F.size("digests").alias("n_digests"), F.col("first").isNotNull().alias("has_first"), F.sha2(F.array_join("digests", ""), 256).alias("sha256"))
 
 
+def layout_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """Those archives with every block's text in capitals: how many documents and blocks they have, and what would not let itself be
+    exchanged, or was lost."""
+    archives = _archives(spark, root)
+    docs = layout.layout(archives, "book", "epub")
+    texts = docs.where("kind = 'text'").select("book", "path", F.transform("blocks", lambda b: F.upper(b)).alias("blocks"))
+    counts = docs.groupBy("book").agg(F.count("pos").alias("n_documents"), F.sum(F.size("blocks")).alias("n_blocks"))
+    return layout.rebuild(archives, texts, "book", "epub").join(counts, "book").select(F.col("book").alias("book_slug"), "n_documents", "n_blocks", F.regexp_replace(F.coalesce("fault", F.lit("")), "^.*: ", "").alias("fault"))
+
+
 def rendered_chapters(spark: SparkSession, root: str) -> DataFrame:
     """Chapters as XHTML: how many could be written, and why the others could not."""
     r = chapters(spark, root, "title", "content").where("content IS NOT NULL").select("chapter_id", books.rendered_xhtml("title", "content").alias("r"))
@@ -132,7 +142,7 @@ def title_matches(spark: SparkSession, root: str) -> DataFrame:
     return editions.tiered_match(c, r, "chapter_id", "revised", [["book_slug", "t"], ["t"]])
 
 
-QUERIES = {f.__name__: f for f in (patched_chapters, fully_patched_chapters, quote_excerpts, quote_suggestions, findings_in_chunks, link_masks, plain_chapters, block_audit, selected_units, span_values, book_archives, archive_spines, archive_fingerprints, rendered_chapters, paired_chunks, title_matches)}
+QUERIES = {f.__name__: f for f in (patched_chapters, fully_patched_chapters, quote_excerpts, quote_suggestions, findings_in_chunks, link_masks, plain_chapters, block_audit, selected_units, span_values, book_archives, archive_spines, archive_fingerprints, layout_round_trip, rendered_chapters, paired_chunks, title_matches)}
 
 _F = "(SELECT DISTINCT ON (finding_key) finding_key, book_slug, unit_id, source_anchor FROM findings)"
 _C = "(SELECT DISTINCT ON (chapter_id) * FROM chapters)"

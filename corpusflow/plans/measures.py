@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusflow.functions import text as X
-from corpusflow.operators import editions, edits, memory, quality, records
+from corpusflow.operators import editions, edits, memory, planning, quality, records
 from corpusflow.plans import texts
 from corpusflow.plans.reviews import _scored
-from corpusflow.plans.tables import PAIRS_SQL, chapters, findings, pairs, responses
+from corpusflow.plans.tables import PAIRS_SQL, chapters, findings, pairs, responses, segments
 from corpusflow.session import table
 
 
@@ -46,6 +47,46 @@ def preflight_warnings(spark: SparkSession, root: str) -> DataFrame:
     return quality.preflight(pairs(spark, root), ["translation_key"], "source", "target", glossary)
 
 
+def block_advisories(spark: SparkSession, root: str) -> DataFrame:
+    """Paragraphs of units with as many in both languages whose terms are words of their own and lack their rendering."""
+    glossary = spark.createDataFrame([(texts.GLOSSARY,)], "t string").select(F.explode(quality.glossary_rows(F.col("t"))).alias("r")).select("r.*")
+    p = pairs(spark, root).withColumns({"a": X.paragraphs(F.col("source")), "b": X.paragraphs(F.col("target"))}).where("size(a) = size(b)")
+    each = p.select("translation_key", F.posexplode(F.arrays_zip("a", "b")).alias("block_no", "x")).select("translation_key", "block_no", F.col("x.a").alias("source"), F.col("x.b").alias("target"))
+    return quality.block_advisories(each, ["translation_key"], "block_no", "source", "target", glossary)
+
+
+def disjoint_findings(spark: SparkSession, root: str) -> DataFrame:
+    """The findings of every unit that may be corrected at once: the first eight whose quotes stand once and do not overlap."""
+    f = findings(spark, root).select("finding_key", "book_slug", "unit_id", F.col("source_anchor.quote").alias("q"))
+    c = chapters(spark, root, "book_slug", "unit_id", "content").drop("chapter_id")
+    once = F.when(X.occurrences(F.col("content"), F.col("q")) == 1, F.instr("content", F.col("q")) - 1)
+    at = f.join(c, ["book_slug", "unit_id"]).select("finding_key", "book_slug", "unit_id", once.alias("lo"), (once + F.length("q")).alias("hi"))
+    return planning.prefix_disjoint(at, ["book_slug", "unit_id"], ["finding_key"], "lo", "hi", 8).select("finding_key", "book_slug", "unit_id")
+
+
+def segment_cover(spark: SparkSession, root: str) -> DataFrame:
+    """Spans laid one after another by their length, one with a null part of unknown length: where they do not cover their unit."""
+    s = segments(spark, root).withColumn("n", F.length(F.concat("text_before", "source", "text_after")))
+    line = Window.partitionBy("book_slug", "unit_id").orderBy("id", "segment_key")
+    laid = s.withColumn("hi", F.sum(F.coalesce("n", F.lit(1))).over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumns({"lo": F.col("hi") - F.coalesce("n", F.lit(0)), "total": F.sum(F.coalesce("n", F.lit(1))).over(Window.partitionBy("book_slug", "unit_id"))})
+    return planning.cover_faults(laid, ["book_slug", "unit_id"], "lo", "hi", "total").groupBy("book_slug", "fault").agg(F.count("*").alias("n"))
+
+
+def source_paths(spark: SparkSession, root: str) -> DataFrame:
+    """Every path that a chapter or a source document names, once, and how many do."""
+    c = chapters(spark, root, "source_path").select(F.col("source_path").alias("path"))
+    d = table(spark, root, "source_documents").dropDuplicates(["document_key"]).select("path")
+    return c.unionByName(d).where("path IS NOT NULL").groupBy("path").agg(F.count("*").alias("n"))
+
+
+def drifted_titles(spark: SparkSession, root: str) -> DataFrame:
+    """Fields in which the chapters differ from the last revision of their unit."""
+    r = table(spark, root, "source_revisions").groupBy("book_slug", "unit_id").agg(F.max_by(F.struct("title", "chapter_no"), F.struct("revision_id", "delivered_at", "created_at", "title")).alias("r"))
+    as_map = lambda t, n: F.create_map(F.lit("title"), F.coalesce(t, F.lit("")), F.lit("chapter_no"), n.cast("string"))
+    c = chapters(spark, root, "book_slug", "unit_id", "title", "chapter_no").join(r, ["book_slug", "unit_id"])
+    return c.select("chapter_id", F.array_join(X.drifted(as_map(F.col("title"), F.col("chapter_no")), as_map(F.col("r.title"), F.col("r.chapter_no"))), ",").alias("fields")).where("fields <> ''")
+
+
 def record_classes(spark: SparkSession, root: str) -> DataFrame:
     """Review records by whether their category is the one of their book's latest record: current, superseded or stale."""
     f = findings(spark, root).where("record_id IS NOT NULL").groupBy("book_slug", "record_id").agg(F.max("reviewed_at").alias("at"), F.min("category").alias("category"))
@@ -143,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         role_measures, unit_queues, review_counts, combined_reports, preflight_warnings, record_classes, history_digests, finding_snapshots, style_additions, first_remarks, grounded_quotes, term_updates, block_addresses, event_digests, unit_names,
-        bounded_spans, reusable_windows, glossary_contexts,
+        bounded_spans, reusable_windows, glossary_contexts, block_advisories, disjoint_findings, segment_cover, source_paths, drifted_titles,
     )
 }
 
@@ -172,6 +213,21 @@ SELECT record_id, CASE WHEN category IS DISTINCT FROM now_ THEN 'stale' WHEN row
     "grounded_quotes": f"""SELECT finding_key, CASE WHEN p.source IS NULL AND p.target IS NULL THEN 'no_unit' WHEN NOT coalesce(contains(replace(lower(p.source), 'ß', 'ss'), replace(lower(f.source_anchor.quote), 'ß', 'ss')), false) THEN 'source_missing'
  WHEN NOT coalesce(contains(replace(lower(p.target), 'ß', 'ss'), replace(lower(f.translation_anchor.quote), 'ß', 'ss')), false) THEN 'target_missing' ELSE 'grounded' END AS state
 FROM {_F} f LEFT JOIN ({PAIRS_SQL}) p ON p.book_slug = f.book_slug AND p.unit_id = f.unit_id WHERE f.source_anchor IS NOT NULL AND f.translation_anchor IS NOT NULL""",
+    "block_advisories": rf"""WITH p AS (SELECT translation_key, regexp_split_to_array(source, '\n[ \t]*\n') AS a, regexp_split_to_array(target, '\n[ \t]*\n') AS b FROM ({PAIRS_SQL})), e AS (SELECT translation_key, unnest(range(0, len(a))) AS block_no, a, b FROM p WHERE len(a) = len(b))
+SELECT DISTINCT translation_key, CAST(block_no AS INTEGER) AS block_no, original, translation FROM e, {texts._GLOSSARY_SQL} g
+WHERE regexp_matches(a[block_no + 1], '(?i)(^|[^\p{{L}}\p{{N}}_])' || original || '([^\p{{L}}\p{{N}}_]|$)') AND NOT contains(lower(b[block_no + 1]), lower(translation))""",
+    "disjoint_findings": f"""WITH a AS (SELECT finding_key, f.book_slug, f.unit_id, f.source_anchor.quote AS q, content FROM {_F} f JOIN {_C} c ON c.book_slug = f.book_slug AND c.unit_id = f.unit_id),
+p AS (SELECT *, CASE WHEN length(q) > 0 AND len(string_split(content, q)) = 2 THEN instr(content, q) - 1 END AS lo, row_number() OVER (PARTITION BY book_slug, unit_id ORDER BY finding_key) AS i FROM a),
+b AS (SELECT book_slug, unit_id, min(i) AS bad FROM p WHERE lo IS NULL OR EXISTS (SELECT 1 FROM p o WHERE o.book_slug = p.book_slug AND o.unit_id = p.unit_id AND o.i < p.i AND p.lo < o.lo + length(o.q) AND o.lo < p.lo + length(p.q)) GROUP BY 1, 2)
+SELECT finding_key, p.book_slug, p.unit_id FROM p LEFT JOIN b ON b.book_slug = p.book_slug AND b.unit_id = p.unit_id WHERE i = 1 OR (i <= 8 AND (bad IS NULL OR i < bad))""",
+    "segment_cover": """WITH s AS (SELECT DISTINCT ON (segment_key) * FROM structural_segments), n AS (SELECT *, length(text_before || source || text_after) AS n FROM s),
+l AS (SELECT *, sum(coalesce(n, 1)) OVER (PARTITION BY book_slug, unit_id ORDER BY id, segment_key ROWS UNBOUNDED PRECEDING) AS hi FROM n), m AS (SELECT *, hi - coalesce(n, 0) AS lo FROM l),
+w AS (SELECT *, lag(hi) OVER (PARTITION BY book_slug, unit_id ORDER BY lo, hi) AS before, sum(coalesce(n, 1)) OVER (PARTITION BY book_slug, unit_id) AS total, lead(lo) OVER (PARTITION BY book_slug, unit_id ORDER BY lo, hi) AS next_ FROM m),
+f AS (SELECT book_slug, unnest([CASE WHEN lo >= hi THEN 'empty' END, CASE WHEN before IS NULL AND lo <> 0 THEN 'beginning' END, CASE WHEN next_ IS NULL AND hi <> total THEN 'end' END, CASE WHEN lo > before THEN 'gap' END, CASE WHEN lo < before THEN 'overlap' END]) AS fault FROM w)
+SELECT book_slug, fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY 1, 2""",
+    "source_paths": f"SELECT path, count(*) AS n FROM (SELECT source_path AS path FROM {_C} UNION ALL SELECT path FROM (SELECT DISTINCT ON (document_key) * FROM source_documents)) WHERE path IS NOT NULL GROUP BY 1",
+    "drifted_titles": f"""WITH r AS (SELECT book_slug, unit_id, title, chapter_no FROM source_revisions QUALIFY row_number() OVER (PARTITION BY book_slug, unit_id ORDER BY revision_id DESC, delivered_at DESC, created_at DESC, title DESC NULLS LAST) = 1)
+SELECT * FROM (SELECT chapter_id, array_to_string(list_filter([CASE WHEN c.chapter_no <> r.chapter_no THEN 'chapter_no' END, CASE WHEN coalesce(c.title, '') <> coalesce(r.title, '') THEN 'title' END], lambda x: x IS NOT NULL), ',') AS fields FROM {_C} c JOIN r ON r.book_slug = c.book_slug AND r.unit_id = c.unit_id) WHERE fields <> ''""",
     "event_digests": """SELECT event_id, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}' || chr(10)) AS sha256 FROM events""",
     "unit_names": f"SELECT chapter_id, coalesce(CASE WHEN status <> 'pending' THEN unit_id END, printf('chapter-%06d', chapter_no)) AS name FROM {_C}",
     "block_addresses": f"""WITH j AS (SELECT finding_key, f.source_anchor.quote AS q, content, string_split(content, chr(10) || chr(10)) AS p FROM {_F} f JOIN {_C} c ON c.book_slug = f.book_slug AND c.unit_id = f.unit_id WHERE f.source_anchor.quote <> '' AND contains(content, f.source_anchor.quote)),

@@ -74,3 +74,25 @@ def test_preflight_and_json(spark):
     assert got == [(1, "glossary_candidate", "Warden -> Хранитель"), (1, "glossary_decision_review", "Cade -> Cade"), (1, "number_missing", "2024: 1"), (1, "structure", "scene_break: source=1, translation=0")]
     one = spark.createDataFrame([(1, "é", None)], "b int, a string, c string")
     assert one.select(X.canonical(b=F.col("b"), a=F.col("a"), c=F.col("c")).alias("j")).first().j == '{"a":"é","b":1,"c":null}\n'
+
+
+def test_disjoint_prefix(spark):
+    rows = [("u", 1, 0, 5), ("u", 2, 5, 9), ("u", 3, 8, 12), ("u", 4, 20, 21), ("v", 1, None, None), ("v", 2, 0, 1), ("w", 1, 0, 1), ("w", 2, 1, 2), ("w", 3, 2, 3)]
+    df = spark.createDataFrame(rows, "u string, i int, a int, b int")
+    from corpusflow.operators import planning
+
+    assert sorted((r.u, r.i) for r in planning.prefix_disjoint(df, ["u"], ["i"], "a", "b", 2).collect()) == [("u", 1), ("u", 2), ("v", 1), ("w", 1), ("w", 2)]
+    parts = spark.createDataFrame([("a", 0, 5, 9), ("a", 5, 9, 9), ("b", 1, 4, 9), ("b", 3, 6, 9), ("b", 7, 7, 9)], "k string, lo int, hi int, n int")
+    assert sorted(tuple(r) for r in planning.cover_faults(parts, ["k"], "lo", "hi", "n").collect()) == [("b", "beginning", 1), ("b", "empty", 7), ("b", "end", 7), ("b", "gap", 6), ("b", "overlap", 3)]
+
+
+def test_verdicts_drift_and_advisories(spark):
+    v = lambda *ds: '{"decisions": [' + ",".join(f'{{"finding_id": "{i}", "verdict": "{x}", "risk": "{r}"}}' for i, x, r in ds) + "]}"
+    rows = [(v(("b", "reject", "meaning"), ("a", "approve", "none")),), (v(("a", "approve", "none")),), (v(("a", "approve", "meaning"), ("b", "reject", "x")),), (v(("a", "approve", "none"), ("a", "reject", "x")),), ("no",), (None,)]
+    got = [r.m for r in spark.createDataFrame(rows, "t string").select(edits.parsed_verdicts(F.col("t"), F.array(F.lit("a"), F.lit("b"))).alias("m")).collect()]
+    assert got == [{"a": "approve", "b": "reject"}, None, None, None, None, None]
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": None, "a": "1"})], "x map<string,string>, y map<string,string>")
+    assert df.select(X.drifted(F.col("x"), F.col("y")).alias("d")).first().d == ["b"]
+    g = spark.createDataFrame([("art", "арт"), ("a.b", "xyz")], "original string, translation string")
+    b = spark.createDataFrame([(1, 0, "The ART of it", "ничего"), (1, 1, "a party", "ничего"), (1, 2, "a.b", "none"), (1, 3, "axb", "none"), (2, 0, None, "x")], "k int, n int, s string, t string")
+    assert sorted(tuple(r) for r in quality.block_advisories(b, ["k"], "n", "s", "t", g).collect()) == [(1, 0, "art", "арт"), (1, 2, "a.b", "xyz")]
