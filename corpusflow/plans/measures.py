@@ -30,6 +30,38 @@ def unit_queues(spark: SparkSession, root: str) -> DataFrame:
     return c.groupBy("book_slug", queue.alias("queue")).agg(F.count("*").alias("n"))
 
 
+def _book_states(spark: SparkSession, root: str) -> DataFrame:
+    """Units with the state of their last review of the text that they have now: one reviewed before it was imported is of another."""
+    c = chapters(spark, root, "book_slug", "unit_id", "status", "imported_at").drop("chapter_id").withColumn("fresh", F.lit(True))
+    r = _scored(spark, root).join(c.select("book_slug", "unit_id", "imported_at"), ["book_slug", "unit_id"]).withColumn("fresh", F.col("at") >= F.col("imported_at"))
+    seen = records.resolve_units(c, r, ["book_slug", "unit_id"], ["fresh"], ["at", "record_id"], F.col("n_open") == 0)
+    return seen.withColumn("state", F.when(F.col("status").isin("pending", "extracted"), "untranslated").otherwise(F.col("state")))
+
+
+def book_status(spark: SparkSession, root: str) -> DataFrame:
+    """For each book: its units by status, by the state of their review, and the share that passed."""
+    seen = _book_states(spark, root)
+    of = lambda c, names: [F.count_if(F.col(c) == n).alias(f"n_{n}") for n in names]
+    status, state = ("pending", "extracted", "translated", "reviewed"), ("pass", "corrections_required", "stale", "missing", "untranslated")
+    return seen.groupBy("book_slug").agg(F.count("*").alias("n_units"), *of("status", status), *of("state", state), F.round(F.count_if(F.col("state") == "pass") * 100 / F.count("*"), 2).alias("coverage"))
+
+
+def book_reports(spark: SparkSession, root: str) -> DataFrame:
+    """The status of every book as a report in Markdown."""
+    n = lambda c: F.col(f"n_{c}").cast("string")
+    rows = [F.concat(F.lit(f"- {c}: "), n(c)) for c in ("pending", "extracted", "translated", "reviewed")]
+    gates = [F.concat(F.when(F.col(f"n_{c}") == 0, "- [x] no unit is ").otherwise("- [ ] no unit is "), F.lit(c)) for c in ("untranslated", "missing", "stale", "corrections_required")]
+    lines = [F.concat(F.lit("# "), F.col("book_slug")), F.lit("## Units"), *rows, F.lit("## Gates"), *gates]
+    return book_status(spark, root).select("book_slug", F.concat_ws("\n", *lines).alias("report"))
+
+
+def link_targets(spark: SparkSession, root: str) -> DataFrame:
+    """Where the links of the chapters lead: outside, with the address in one form, or not; and whether a chapter is nothing but links out."""
+    c = chapters(spark, root, "content").where("content IS NOT NULL")
+    each = c.select("chapter_id", X.external_links_only(F.col("content")).alias("links_only"), F.explode(F.regexp_extract_all("content", F.lit(X.LINK), F.lit(3))).alias("t"))
+    return each.groupBy("links_only", F.coalesce(X.external_href(F.col("t")), F.lit("inside")).alias("href")).agg(F.count("*").alias("n"), F.countDistinct("chapter_id").alias("n_chapters"))
+
+
 def review_counts(spark: SparkSession, root: str) -> DataFrame:
     """Review records of every book that found nothing open, and that did, counted once for each unit and record."""
     return _scored(spark, root).groupBy("book_slug").agg(F.count_if(F.col("n_open") == 0).alias("n_pass"), F.count_if(F.col("n_open") > 0).alias("n_corrections"), F.countDistinct("unit_id").alias("n_units"))
@@ -183,7 +215,7 @@ def glossary_contexts(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        role_measures, unit_queues, review_counts, combined_reports, preflight_warnings, record_classes, history_digests, finding_snapshots, style_additions, first_remarks, grounded_quotes, term_updates, block_addresses, event_digests, unit_names,
+        role_measures, unit_queues, book_status, book_reports, link_targets, review_counts, combined_reports, preflight_warnings, record_classes, history_digests, finding_snapshots, style_additions, first_remarks, grounded_quotes, term_updates, block_addresses, event_digests, unit_names,
         bounded_spans, reusable_windows, glossary_contexts, block_advisories, disjoint_findings, segment_cover, source_paths, drifted_titles,
     )
 }
@@ -193,7 +225,21 @@ _F = "(SELECT DISTINCT ON (finding_key) * FROM findings)"
 _R = "(SELECT DISTINCT ON (response_id) * FROM translator_responses)"
 _RECORDS = f"(SELECT book_slug, unit_id, record_id, max(reviewed_at) AS at_, count(*) FILTER (NOT coalesce(resolved, false)) AS n_open FROM {_F} WHERE record_id IS NOT NULL GROUP BY 1, 2, 3)"
 _SEALED = """SELECT book_slug, CAST(sum(k) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY x)) AS seal FROM (SELECT book_slug, left(d, 3) AS x, count(*) AS k, sha256(string_agg(d, '' ORDER BY d)) AS d FROM d GROUP BY 1, 2) GROUP BY 1"""
+_STATUS = f"""WITH r AS (SELECT r.book_slug, r.unit_id, r.record_id, at_, n_open, at_ >= imported_at AS fresh FROM {_RECORDS} r JOIN {_C} c ON c.book_slug = r.book_slug AND c.unit_id = r.unit_id),
+l AS (SELECT * FROM r WHERE fresh QUALIFY row_number() OVER (PARTITION BY book_slug, unit_id ORDER BY at_ DESC, record_id DESC) = 1),
+s AS (SELECT c.book_slug, c.status, CASE WHEN c.status IN ('pending', 'extracted') THEN 'untranslated' WHEN l.n_open = 0 THEN 'pass' WHEN l.n_open > 0 THEN 'corrections_required' WHEN EXISTS (SELECT 1 FROM r WHERE r.book_slug = c.book_slug AND r.unit_id = c.unit_id) THEN 'stale' ELSE 'missing' END AS state
+ FROM {_C} c LEFT JOIN l ON l.book_slug = c.book_slug AND l.unit_id = c.unit_id),
+b AS (SELECT book_slug, count(*) AS n_units, {', '.join(f"count(*) FILTER (status = '{x}') AS n_{x}" for x in ('pending', 'extracted', 'translated', 'reviewed'))}, {', '.join(f"count(*) FILTER (state = '{x}') AS n_{x}" for x in ('pass', 'corrections_required', 'stale', 'missing', 'untranslated'))},
+ round(count(*) FILTER (state = 'pass') * 100.0 / count(*), 2) AS coverage FROM s GROUP BY 1)"""
 ORACLE = {
+    "book_status": f"{_STATUS} SELECT * FROM b",
+    "book_reports": f"""{_STATUS} SELECT book_slug, concat_ws(chr(10), '# ' || book_slug, '## Units', {', '.join(f"'- {x}: ' || n_{x}" for x in ('pending', 'extracted', 'translated', 'reviewed'))}, '## Gates',
+ {', '.join(f"CASE WHEN n_{x} = 0 THEN '- [x]' ELSE '- [ ]' END || ' no unit is {x}'" for x in ('untranslated', 'missing', 'stale', 'corrections_required'))}) AS report FROM b""",
+    "link_targets": rf"""WITH c AS (SELECT chapter_id, content, regexp_replace(content, '{texts._MARK}', '', 'g') AS bare FROM {_C} WHERE content IS NOT NULL),
+e AS (SELECT chapter_id, unnest(regexp_extract_all(content, '{texts._LINK}', 3)) AS t, len(regexp_extract_all(bare, '{texts._LINK}')) > 0 AND len(list_filter(regexp_extract_all(bare, '{texts._LINK}'), lambda x: starts_with(x, '!'))) = 0
+ AND len(list_filter(regexp_extract_all(bare, '{texts._LINK}', 3), lambda x: NOT regexp_matches(x, '^(?i)<?https?:'))) = 0 AND NOT regexp_matches(regexp_replace(bare, '{texts._LINK}', '', 'g'), '[^\s\p{{Z}}]') AS links_only FROM c)
+SELECT links_only, CASE WHEN regexp_full_match(t, '(?i)www\.[^\s/?#]+\.[^\s]+') THEN replace(replace('https://' || t, '(', '%28'), ')', '%29') WHEN regexp_full_match(t, '(?i)https?://[^\s/?#]+\.?[^\s]*') THEN replace(replace(t, '(', '%28'), ')', '%29') ELSE 'inside' END AS href,
+ count(*) AS n, count(DISTINCT chapter_id) AS n_chapters FROM e GROUP BY 1, 2""",
     "role_measures": f"""SELECT role_name, count(*) AS n_calls, count(*) FILTER (length(translation) > 0) AS n_answers, count(*) FILTER (outcome = 'rejected') AS n_rejected, count(*) FILTER (outcome = 'accepted') AS n_accepted, CAST(sum(duration_ms) AS BIGINT) AS duration_ms,
  CAST(sum(octet_length(encode(translation))) AS BIGINT) AS n_bytes, CAST(sum(coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) AS BIGINT) AS n_tokens FROM {_R} GROUP BY 1""",
     "unit_queues": f"""WITH l AS (SELECT * FROM {_RECORDS} QUALIFY row_number() OVER (PARTITION BY book_slug, unit_id ORDER BY at_ DESC, record_id DESC) = 1)
