@@ -196,6 +196,24 @@ def lease_spans(spark: SparkSession, root: str) -> DataFrame:
     return e.select("user_id", F.unix_seconds("claimed_at").alias("claimed_s"), "n_renewals")
 
 
+def active_leases(spark: SparkSession, root: str) -> DataFrame:
+    """The leases that had not run out at the time of the last event, the earliest to end first in order of their holders."""
+    e = table(spark, root, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    return leases.lease_spans(e, "ts", "user_id", "6 hours").join(F.broadcast(now)).where("expires_at > now").select("user_id", F.unix_seconds("claimed_at").alias("claimed_s"), F.unix_seconds("expires_at").alias("expires_s"))
+
+
+def lease_outcomes(spark: SparkSession, root: str) -> DataFrame:
+    """Events as requests for exclusive leases of their user, by a stream over the file: the kind of event is the session, a click or view
+    asks for the lease, a purchase renews it, any other gives it back."""
+    stream = spark.readStream.schema(table(spark, root, "events").schema).option("pathGlobFilter", "events.parquet").parquet(root)
+    action = F.when(F.col("event_type").isin("click", "view"), "acquire").when(F.col("event_type") == "purchase", "renew").otherwise("release")
+    session = F.when(F.col("event_type").isin("click", "purchase", "error"), "a").otherwise("b")
+    requests = stream.select(F.col("user_id").cast("string").alias("unit"), F.col("ts").cast("timestamp").alias("at"), session.alias("session"), action.alias("action"))
+    done = leases.replay(spark, leases.exclusive_leases(requests, 48 * 3600), "lease-outcomes")
+    return done.groupBy("session", "action", "outcome").agg(F.count("*").alias("n"))
+
+
 def streamed_event_counts(spark: SparkSession, root: str) -> DataFrame:
     """The hourly counts once more, by a stream over the same file, closed windows only."""
     schema = table(spark, root, "events").schema
@@ -208,7 +226,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         record_scores, latest_records, record_history, stalled_units, stalled_books, finding_triage, anchor_places, window_digests, review_states, route_measures, attempt_medians, latest_answers, retry_times, fair_queue,
-        session_plan, context_packs, term_mentions, superseded_findings, broken_rules, repeated_rows, route_conflicts, outcome_conflicts, event_counts, lease_spans, streamed_event_counts,
+        session_plan, context_packs, term_mentions, superseded_findings, broken_rules, repeated_rows, route_conflicts, outcome_conflicts, event_counts, lease_spans, active_leases, lease_outcomes, streamed_event_counts,
     )
 }
 
@@ -267,6 +285,15 @@ SELECT *, median_rate / (SELECT median_rate FROM m WHERE attempt = 1) AS speedup
     "repeated_rows": " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM (SELECT {k} FROM {t} GROUP BY 1 HAVING count(*) > 1)) AS n_keys" for t, k in (("chapters", "chapter_id"), ("structural_segments", "segment_key"), ("findings", "finding_key"), ("translator_responses", "response_id"), ("translations", "translation_key"))),
     "route_conflicts": f"SELECT book_slug, unit_id, segment_id, count(DISTINCT target_language) AS n_values FROM {_R} GROUP BY 1, 2, 3 HAVING count(DISTINCT target_language) > 1",
     "event_counts": _EVENTS,
+    "active_leases": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), l AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS z FROM s GROUP BY user_id, k)
+SELECT user_id, CAST(floor(epoch(a)) AS BIGINT) AS claimed_s, CAST(floor(epoch(z)) AS BIGINT) AS expires_s FROM l WHERE z > (SELECT max(ts) FROM events)""",
+    "lease_outcomes": """WITH RECURSIVE e AS (SELECT user_id, ts, session, action, row_number() OVER (PARTITION BY user_id ORDER BY ts, session, action) AS i FROM (SELECT user_id, ts, CASE WHEN event_type IN ('click', 'purchase', 'error') THEN 'a' ELSE 'b' END AS session,
+ CASE WHEN event_type IN ('click', 'view') THEN 'acquire' WHEN event_type = 'purchase' THEN 'renew' ELSE 'release' END AS action FROM events)),
+r AS (SELECT user_id, i, session, action, CASE WHEN action = 'acquire' THEN 'granted' ELSE 'missing' END AS outcome, CASE WHEN action = 'acquire' THEN session END AS owner, CASE WHEN action = 'acquire' THEN ts + INTERVAL 48 HOUR END AS until FROM e WHERE i = 1
+ UNION ALL SELECT e.user_id, e.i, e.session, e.action, o.outcome, CASE WHEN o.outcome IN ('granted', 'renewed') THEN e.session WHEN o.outcome <> 'released' THEN r.owner END, CASE WHEN o.outcome IN ('granted', 'renewed') THEN e.ts + INTERVAL 48 HOUR ELSE r.until END
+ FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1, LATERAL (SELECT coalesce(r.owner IS NOT NULL AND r.until > e.ts, false) AS live) v, LATERAL (SELECT CASE WHEN v.live AND r.owner <> e.session THEN 'conflict' WHEN e.action = 'acquire' OR (e.action = 'renew' AND v.live) THEN CASE WHEN v.live THEN 'renewed' ELSE 'granted' END WHEN e.action = 'release' AND v.live THEN 'released' ELSE 'missing' END AS outcome) o)
+SELECT session, action, outcome, count(*) AS n FROM r GROUP BY 1, 2, 3""",
     "lease_spans": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS claimed_s, count(*) - 1 AS n_renewals FROM s GROUP BY user_id, k""",
 }
