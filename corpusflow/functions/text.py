@@ -15,10 +15,15 @@ SPACE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
 
 
 @F.pandas_udf(T.StringType())
-def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Canonical composition. ASCII values, and those already composed, pass untouched."""
+def _composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
+        yield s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+
+
+def nfc(c: Column) -> Column:
+    """Canonical composition. ASCII values never leave the JVM."""
+    plain = F.octet_length(c) == F.length(c)
+    return F.when(plain, c).otherwise(_composed(F.when(~plain, c)))
 
 
 def squeeze_space(c: Column) -> Column:
