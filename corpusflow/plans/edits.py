@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
 from corpusflow.operators import edits, editions, planning
-from corpusflow.plans.tables import PAIRS_SQL, chapters, findings, pairs, segments
+from corpusflow.plans.tables import PAIRS_SQL, chapters, findings, pairs, per_quote, segments
 from corpusflow.session import table
 from corpusflow.sinks import books
 from corpusflow.sources import files, layout
@@ -37,8 +37,12 @@ def fully_patched_chapters(spark: SparkSession, root: str) -> DataFrame:
 
 def quote_excerpts(spark: SparkSession, root: str) -> DataFrame:
     """Every quote that stands in its unit, with forty characters on both sides."""
-    at = X.nth_offset(F.col("content"), F.col("q"), F.col("n"))
-    return _quoted(spark, root).where(at.isNotNull()).select("finding_key", edits.excerpt(F.col("content"), at, F.length("q"), 40).alias("excerpt"))
+
+    def around(content: Column, q: Column, n: Column) -> dict[str, Column]:
+        at = X.nth_offset(content, q, n)
+        return {"excerpt": F.when(at.isNotNull(), edits.excerpt(content, at, F.length(q), 40))}
+
+    return per_quote(spark, root, around).where("excerpt IS NOT NULL").select("finding_key", "excerpt")
 
 
 def quote_suggestions(spark: SparkSession, root: str) -> DataFrame:
@@ -49,7 +53,7 @@ def quote_suggestions(spark: SparkSession, root: str) -> DataFrame:
 
 def findings_in_chunks(spark: SparkSession, root: str) -> DataFrame:
     """Findings by the piece of their unit that holds the quote, pieces of about 1500 characters cut at paragraph ends."""
-    points = _quoted(spark, root).select("finding_key", "chapter_id", X.nth_offset(F.col("content"), F.col("q"), F.col("n")).alias("at")).where("at IS NOT NULL")
+    points = per_quote(spark, root, lambda content, q, n: {"at": X.nth_offset(content, q, n)}).select("finding_key", "chapter_id", "at").where("at IS NOT NULL")
     c = chapters(spark, root, "content").where("length(content) > 1500")
     cuts = c.select("chapter_id", planning.paragraph_cuts(F.col("content"), F.ceil(F.length("content") / 1500).cast("int"), 100).alias("c")).where("c IS NOT NULL")
     ranges = cuts.select("chapter_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(i.alias("chunk"), F.get("c", i - 1).alias("lo"), F.get("c", i).alias("hi")))).alias("r")).select("chapter_id", "r.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,7 +10,7 @@ from corpusflow.functions import text as X
 from corpusflow.operators import editions, edits, memory, planning, quality, records
 from corpusflow.plans import texts
 from corpusflow.plans.reviews import _scored
-from corpusflow.plans.tables import PAIRS_SQL, chapters, findings, pairs, responses, segments
+from corpusflow.plans.tables import PAIRS_SQL, chapters, findings, pairs, per_quote, responses, segments
 from corpusflow.session import table
 
 
@@ -88,12 +88,14 @@ def block_advisories(spark: SparkSession, root: str) -> DataFrame:
 
 
 def disjoint_findings(spark: SparkSession, root: str) -> DataFrame:
-    """The findings of every unit that may be corrected at once: the first eight whose quotes stand once and do not overlap."""
-    f = findings(spark, root).select("finding_key", "book_slug", "unit_id", F.col("source_anchor.quote").alias("q"))
-    c = chapters(spark, root, "book_slug", "unit_id", "content").drop("chapter_id")
-    once = F.when(X.occurrences(F.col("content"), F.col("q")) == 1, F.instr("content", F.col("q")) - 1)
-    at = f.join(c, ["book_slug", "unit_id"]).select("finding_key", "book_slug", "unit_id", once.alias("lo"), (once + F.length("q")).alias("hi"))
-    return planning.prefix_disjoint(at, ["book_slug", "unit_id"], ["finding_key"], "lo", "hi", 8).select("finding_key", "book_slug", "unit_id")
+    """The findings of every unit that may be corrected at once: the first eight whose quotes stand once and do not overlap. Those without
+    a quote end the list as well."""
+    once = lambda content, q, n: {"lo": F.when(X.occurrences(content, q) == 1, F.instr(content, q) - 1), "hi": F.when(X.occurrences(content, q) == 1, F.instr(content, q) - 1 + F.length(q))}
+    quoted = per_quote(spark, root, once).select("finding_key", "book_slug", "unit_id", "lo", "hi")
+    units = chapters(spark, root, "book_slug", "unit_id").drop("chapter_id").distinct()
+    none = F.lit(None).cast("int")
+    bare = findings(spark, root).where("source_anchor.quote IS NULL OR source_anchor.quote = ''").join(units, ["book_slug", "unit_id"], "left_semi").select("finding_key", "book_slug", "unit_id", none.alias("lo"), none.alias("hi"))
+    return planning.prefix_disjoint(quoted.unionByName(bare), ["book_slug", "unit_id"], ["finding_key"], "lo", "hi", 8).select("finding_key", "book_slug", "unit_id")
 
 
 def segment_cover(spark: SparkSession, root: str) -> DataFrame:
@@ -165,12 +167,14 @@ def term_updates(spark: SparkSession, root: str) -> DataFrame:
 
 def block_addresses(spark: SparkSession, root: str) -> DataFrame:
     """Quotes by the paragraph that holds them once, and which occurrence in the whole text they are."""
-    f = findings(spark, root).select("finding_key", "book_slug", "unit_id", F.col("source_anchor.quote").alias("q")).where("q <> ''")
-    j = f.join(chapters(spark, root, "book_slug", "unit_id", "content").drop("chapter_id"), ["book_slug", "unit_id"]).where(F.contains("content", "q"))
-    parts = F.split("content", "\n\n")
-    starts = F.transform(parts, lambda p, i: F.struct((i + 1).alias("block"), F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 2).alias("lo"), F.length(p).alias("n")))
-    each = j.select("finding_key", "content", "q", F.explode(F.filter(starts, lambda b: F.contains(F.substring("content", b["lo"] + 1, b["n"]), F.col("q")))).alias("b"))
-    return each.select("finding_key", "b.block", edits.global_occurrence(F.col("content"), F.col("q"), F.col("b.lo"), F.col("b.lo") + F.col("b.n")).alias("occurrence"))
+
+    def places(content: Column, q: Column, n: Column) -> dict[str, Column]:
+        parts = F.split(content, "\n\n")
+        starts = F.transform(parts, lambda p, i: F.struct((i + 1).alias("block"), F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 2).alias("lo"), F.length(p).alias("n")))
+        held = F.filter(starts, lambda b: F.contains(F.substring(content, b["lo"] + 1, b["n"]), q))
+        return {"b": F.transform(held, lambda b: F.struct(b["block"].alias("block"), edits.global_occurrence(content, q, b["lo"], b["lo"] + b["n"]).alias("occurrence")))}
+
+    return per_quote(spark, root, places).select("finding_key", F.explode("b").alias("b")).select("finding_key", "b.*")
 
 
 def event_digests(spark: SparkSession, root: str) -> DataFrame:

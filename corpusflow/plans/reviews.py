@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
 from corpusflow.operators import memory, planning, records, validation
-from corpusflow.plans.tables import chapters, findings, pairs, responses
+from corpusflow.plans.tables import chapters, findings, pairs, per_quote, responses
 from corpusflow.session import table
 from corpusflow.streaming import leases
 
@@ -61,21 +61,24 @@ def finding_triage(spark: SparkSession, root: str) -> DataFrame:
 
 def anchor_places(spark: SparkSession, root: str) -> DataFrame:
     """Where the quote of every finding stands in the content of its unit: place, and whether it is there, absent or ambiguous."""
-    f = findings(spark, root).select("finding_key", "book_slug", "unit_id", F.col("source_anchor.quote").alias("q"), F.col("source_anchor.occurrence").alias("n")).where("q <> ''")
-    c = chapters(spark, root, "book_slug", "unit_id", "content").drop("chapter_id")
-    j = f.join(c, ["book_slug", "unit_id"])
-    count = X.occurrences(F.col("content"), F.col("q"))
-    state = F.when(count <= F.col("n"), "absent").when((F.col("n") == 0) & (count > 1), "ambiguous").otherwise("found")
-    return j.select("finding_key", count.alias("n_places"), X.nth_offset(F.col("content"), F.col("q"), F.col("n")).alias("place"), state.alias("state"))
+
+    def place(content: Column, q: Column, n: Column) -> dict[str, Column]:
+        count = X.occurrences(content, q)
+        state = F.when(count <= n, "absent").when((n == 0) & (count > 1), "ambiguous").otherwise("found")
+        return {"n_places": count, "place": X.nth_offset(content, q, n), "state": state}
+
+    return per_quote(spark, root, place).select("finding_key", "n_places", "place", "state")
 
 
 def window_digests(spark: SparkSession, root: str) -> DataFrame:
     """SHA-256 of the hundred characters on both sides of every quote that stands once in its unit."""
-    f = findings(spark, root).select("finding_key", "book_slug", "unit_id", F.col("source_anchor.quote").alias("q")).where("q <> ''")
-    j = f.join(chapters(spark, root, "book_slug", "unit_id", "content").drop("chapter_id"), ["book_slug", "unit_id"])
-    at = X.nth_offset(F.col("content"), F.col("q"), F.lit(0))
-    lo = F.greatest(F.lit(0), at - 100)
-    return j.where(X.occurrences(F.col("content"), F.col("q")) == 1).select("finding_key", F.sha2(F.substring("content", lo + 1, at + F.length("q") + 100 - lo), 256).alias("sha256"))
+
+    def digest(content: Column, q: Column, n: Column) -> dict[str, Column]:
+        at = X.nth_offset(content, q, F.lit(0))
+        lo = F.greatest(F.lit(0), at - 100)
+        return {"sha256": F.when(X.occurrences(content, q) == 1, F.sha2(F.substring(content, lo + 1, at + F.length(q) + 100 - lo), 256))}
+
+    return per_quote(spark, root, digest).where("sha256 IS NOT NULL").select("finding_key", "sha256")
 
 
 def review_states(spark: SparkSession, root: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.session import table
@@ -23,6 +25,23 @@ def findings(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "findings").dropDuplicates(["finding_key"])
 
 
+def per_quote(spark: SparkSession, root: str, what: Callable[[Column, Column, Column], dict[str, Column]], block: int = 200) -> DataFrame:
+    """``finding_key, book_slug, unit_id, chapter_id`` and the columns that ``what`` makes of the content of a finding's unit, its quote
+    and its occurrence; findings with a quote, in units with a chapter.
+
+    The quotes of a unit meet its text together, ``block`` at a time, so a text travels once for so many of them, and a unit with any
+    number of findings is spread over as many tasks.
+    """
+    f = findings(spark, root).where("source_anchor.quote <> ''").select("book_slug", "unit_id", F.struct("finding_key", F.col("source_anchor.quote").alias("q"), F.col("source_anchor.occurrence").alias("n")).alias("x"))
+    # Units with more than one block are few, whatever the number of findings.
+    many = f.groupBy("book_slug", "unit_id").agg(F.count("*").alias("k")).where(F.col("k") > block)
+    blocked = f.join(many, ["book_slug", "unit_id"], "left").withColumn("s", F.pmod(F.xxhash64("x.finding_key"), F.ceil(F.coalesce("k", F.lit(1)) / block)))
+    lists = blocked.groupBy("book_slug", "unit_id", "s").agg(F.collect_list("x").alias("xs"))
+    met = lists.join(chapters(spark, root, "book_slug", "unit_id", "content"), ["book_slug", "unit_id"])
+    made = lambda x: F.struct(x["finding_key"].alias("finding_key"), *[c.alias(n) for n, c in what(F.col("content"), x["q"], x["n"]).items()])
+    return met.select("book_slug", "unit_id", "chapter_id", F.explode(F.transform("xs", made)).alias("y")).select("book_slug", "unit_id", "chapter_id", "y.*")
+
+
 def responses(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "translator_responses").dropDuplicates(["response_id"])
 
