@@ -60,6 +60,38 @@ def findings_in_chunks(spark: SparkSession, root: str) -> DataFrame:
     return edits.in_ranges(points, ranges, ["chapter_id"], "at", "lo", "hi").select("finding_key", "chapter_id", "chunk")
 
 
+def masked_translations(spark: SparkSession, root: str) -> DataFrame:
+    """Translations with the tokens of their source's links, where both have as many: how many tokens there are."""
+    p = pairs(spark, root).select("translation_key", edits.masked_like("source", "target").alias("m"))
+    return p.select("translation_key", F.size(F.regexp_extract_all("m", F.lit("⟦\\d+!?⟧"), F.lit(0))).alias("n_tokens"))
+
+
+def unit_verdicts(spark: SparkSession, root: str) -> DataFrame:
+    """The findings of each unit as verdicts, approved where resolved, without risk where minor: how many can be read."""
+    f = findings(spark, root).where("id IS NOT NULL")
+    one = F.struct(F.col("id").alias("finding_id"), F.when(F.coalesce("resolved", F.lit(False)), "approve").otherwise("reject").alias("verdict"), F.when(F.col("severity") == "minor", "none").otherwise("meaning").alias("risk"))
+    units = f.groupBy("book_slug", "unit_id").agg(F.to_json(F.struct(F.collect_list(one).alias("decisions"))).alias("answer"), F.collect_set("id").alias("ids"))
+    read = F.size(F.map_keys(edits.parsed_verdicts(F.col("answer"), F.col("ids"))))
+    return units.select("book_slug", "unit_id", F.coalesce(F.when(read >= 0, read), F.lit(0)).alias("n_read"))
+
+
+def path_formats(spark: SparkSession, root: str) -> DataFrame:
+    """Chapters by the format that their path's suffix names, and the one they are said to have."""
+    c = chapters(spark, root, "source_path", "source_format")
+    return c.groupBy(files.format_of(F.col("source_path")).alias("by_path"), "source_format").agg(F.count("*").alias("n"))
+
+
+def expected_edits(spark: SparkSession, root: str) -> DataFrame:
+    """Chapters with a finding's quote replaced, where it stands there exactly once."""
+    done = per_quote(spark, root, lambda content, q, n: {"sha256": F.sha2(edits.replace_expected(content, q, F.lit("…"), F.lit(1)), 256)})
+    return done.where("sha256 IS NOT NULL").select("finding_key", "sha256")
+
+
+def line_ranges(spark: SparkSession, root: str) -> DataFrame:
+    """The second to fourth line of every chapter."""
+    return chapters(spark, root, "content").where("content IS NOT NULL").select("chapter_id", F.sha2(edits.line_range(F.col("content"), F.lit(2), F.lit(4)), 256).alias("sha256"))
+
+
 def link_masks(spark: SparkSession, root: str) -> DataFrame:
     """Chapters with masked link targets, and whether unmasking gives them back."""
     c = chapters(spark, root, "content").where("content IS NOT NULL").withColumn("m", edits.masked("content"))
@@ -146,9 +178,10 @@ def title_matches(spark: SparkSession, root: str) -> DataFrame:
     return editions.tiered_match(c, r, "chapter_id", "revised", [["book_slug", "t"], ["t"]])
 
 
-QUERIES = {f.__name__: f for f in (patched_chapters, fully_patched_chapters, quote_excerpts, quote_suggestions, findings_in_chunks, link_masks, plain_chapters, block_audit, selected_units, span_values, book_archives, archive_spines, archive_fingerprints, layout_round_trip, rendered_chapters, paired_chunks, title_matches)}
+QUERIES = {f.__name__: f for f in (patched_chapters, fully_patched_chapters, quote_excerpts, quote_suggestions, findings_in_chunks, masked_translations, unit_verdicts, path_formats, expected_edits, line_ranges, link_masks, plain_chapters, block_audit, selected_units, span_values, book_archives, archive_spines, archive_fingerprints, layout_round_trip, rendered_chapters, paired_chunks, title_matches)}
 
 _F = "(SELECT DISTINCT ON (finding_key) finding_key, book_slug, unit_id, source_anchor FROM findings)"
+_F2 = "(SELECT DISTINCT ON (finding_key) * FROM findings)"
 _C = "(SELECT DISTINCT ON (chapter_id) * FROM chapters)"
 _Q = f"SELECT f.finding_key, c.chapter_id, c.content, f.source_anchor.quote AS q, f.source_anchor.occurrence AS n FROM {_F} f JOIN {_C} c USING (book_slug, unit_id) WHERE f.source_anchor.quote <> ''"
 _LINK = r"(!?)\[([^\]\n]*)\]\((<[^>\n]+>|[^)\s]+)([ \t]+[^)\n]*)?\)"
@@ -169,6 +202,11 @@ q AS (SELECT *, list_transform(a, lambda x: length(x) + 27) AS na, list_transfor
 k AS (SELECT translation_key, list_sum(na) + list_sum(nb) - 4 AS total, na, nb, unnest(range(1, len(a))) AS k FROM q),
 c AS (SELECT translation_key, total, k, list_sum(na[1:k]) AS x, list_sum(nb[1:k]) AS y FROM k)
 SELECT translation_key, CAST(x AS INTEGER) AS source_cut, CAST(y AS INTEGER) AS target_cut, 2 AS n FROM c QUALIFY row_number() OVER (PARTITION BY translation_key ORDER BY abs(x + y - total / 2.0), k) = 1""",
+    "masked_translations": rf"""WITH n AS (SELECT translation_key, len(regexp_extract_all(source, '{_LINK}')) AS a, len(regexp_extract_all(target, '{_LINK}')) AS b FROM ({PAIRS_SQL})) SELECT translation_key, CAST(CASE WHEN a > 0 AND a = b THEN b ELSE 0 END AS INTEGER) AS n_tokens FROM n""",
+    "unit_verdicts": f"SELECT book_slug, unit_id, CAST(CASE WHEN count(*) = count(DISTINCT id) AND bool_and(coalesce(resolved, false) = coalesce(severity = 'minor', false)) THEN count(*) ELSE 0 END AS INTEGER) AS n_read FROM {_F2} WHERE id IS NOT NULL GROUP BY 1, 2",
+    "path_formats": f"""SELECT CASE regexp_extract(lower(source_path), '\\.([^./]+)$', 1) WHEN 'epub' THEN 'epub' WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'xhtml' THEN 'xhtml' WHEN 'txt' THEN 'txt' WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' END AS by_path, source_format, count(*) AS n FROM {_C} GROUP BY 1, 2""",
+    "expected_edits": f"SELECT finding_key, sha256(replace(content, q, '…')) AS sha256 FROM ({_Q}) WHERE len(string_split(content, q)) = 2",
+    "line_ranges": f"SELECT chapter_id, sha256(array_to_string(string_split(content, chr(10))[2:4], chr(10))) AS sha256 FROM {_C} WHERE content IS NOT NULL",
     "link_masks": rf"SELECT chapter_id, CAST(len(regexp_extract_all(content, '{_LINK}')) AS INTEGER) AS n_links, true AS exact FROM {_C} WHERE content IS NOT NULL",
     "plain_chapters": rf"""WITH a AS (SELECT chapter_id, regexp_replace(regexp_replace(replace(regexp_replace(content, '(?m)^[ \t]*#{{1,6}}[ \t]+', '', 'g'), '<!-- bt-scene-break -->', '  '), '(?m)^[ \t]*-[ \t]+', '', 'g'), '{_LINK}', '\2', 'g') AS t FROM {_C}),
 b AS (SELECT chapter_id, regexp_replace(t, '(?m)^<!-- bt-(?:anchor|block):[A-Za-z0-9_.:-]* -->\s*\n?', '', 'g') AS t FROM a)
