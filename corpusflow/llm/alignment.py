@@ -41,9 +41,12 @@ OFTEN, DICE, NEAR, COMMON = 2, 0.2, 0.5, 0.2
 NUMBER, UNKNOWN, STRANGE = 2.0, 0.4, 0.3
 #: Sentences of a unit that one task aligns; longer units are cut into sections, with MARGIN of a section more of the target.
 LONG, MARGIN = 2000, 0.15
-#: Anchors that place the sections' borders stand in so many sentences of either side at most; words by which what all sections left
-#: finds each other, in so many of the sentences left.
-RARE, SELDOM = 4, 50
+#: Anchors that place the sections' borders stand in so many sentences of either side at most.
+RARE = 4
+#: A sentence of which a counterpart is still wanted joins a pair that stands so near, where the words left cover it so far.
+NEXT, REST = 2, 0.55
+#: About so many sentences of either side that no section paired meet in one task.
+BLOCK = 5000
 #: Sentences a side that make a bead, and pairs of sentences whose gains are worked out at a time.
 BEADS = ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1))
 CELLS = 1 << 16
@@ -435,7 +438,7 @@ def _leftovers(unit: Unit, pairs: dict[tuple[int, int], float], used: tuple[set[
             for y in sorted({c[1 - side] for c in unit.cells if c[side] == x}):
                 near = min((abs(x - z) for z in held[1 - side].get(y, ())), default=99)
                 s = unit.covered(side, x, one(y), {y: held[1 - side].get(y, ())})
-                if near <= 2 and s >= 0.55:
+                if near <= NEXT and s >= REST:
                     options.append((s, -near, y))
             if options:
                 s, _, y = max(options)
@@ -648,17 +651,99 @@ def common_words(units: DataFrame) -> dict[str, frozenset[str]]:
     return {k: frozenset(v) for k, v in out.items()}
 
 
-def _scorer(common: dict[str, frozenset[str]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            scores = []
-            for r in frame.itertuples():
-                lexicon = defaultdict(dict)
-                for e in r.lex if r.lex is not None else ():
-                    lexicon[e["w"]][e["v"]] = e["d"]
-                unit, one = Unit([r.s], [r.t], lexicon, (common.get(r.ls, frozenset()), common.get(r.lt, frozenset()))), range(1)
-                scores.append(max(unit.one(0, 0), 0.75 * max(unit.covered(0, 0, one), unit.covered(1, 0, one))))
-            yield frame[["g", "x", "y"]].assign(score=scores)
+class Meeting:
+    """Many source sentences of two languages, and how far each can agree with a target sentence at most: what the pair of them scores by
+    itself never lies above. Words are kinds: a word, and whether it is a name in its own sentence."""
+
+    def __init__(self, texts: list[str], lexicon: dict[str, dict[str, float]], common: tuple[set[str], set[str]]):
+        found: dict[tuple[str, bool], list[int]] = defaultdict(list)
+        for x, t in enumerate(texts):
+            names = names_of([t])
+            for w in set(tokens(t)):
+                found[w, w in names].append(x)
+        self.common = common
+        self.at = {k: np.array(v) for k, v in found.items()}
+        self.total = np.zeros(len(texts))
+        self.weight: dict[tuple[str, bool], float] = {}
+        self.by_anchor: dict[str, list[tuple[str, bool]]] = defaultdict(list)
+        self.by_word: dict[str, list[tuple[tuple[str, bool], float]]] = defaultdict(list)
+        for k, at in self.at.items():
+            w, named = k
+            weight = self._weight(0, w)
+            self.weight[k] = UNKNOWN if weight == 1.0 and not named and w not in lexicon else weight
+            self.total[at] += self.weight[k]
+            if a := anchor(w, set()):
+                self.by_anchor[a].append(k)
+            for v, d in lexicon.get(w, {}).items():
+                self.by_word[v].append((k, math.sqrt(d)))
+        self.known: dict[tuple[str, bool], tuple[dict[tuple[str, bool], float], np.ndarray, np.ndarray]] = {}
+
+    def _weight(self, side: int, w: str) -> float:
+        if w in self.common[side] or (len(w) < 3 and not w[0].isdigit()):
+            return 0.15
+        return NUMBER if w[0].isdigit() else 1.0
+
+    def _of(self, v: str, named: bool) -> tuple[dict[tuple[str, bool], float], np.ndarray, np.ndarray]:
+        """The kinds that a target word goes with, how well, and the sentences that have them."""
+        if (v, named) not in self.known:
+            best: dict[tuple[str, bool], float] = dict(self.by_word.get(v, ()))
+            for k in self.by_anchor.get(anchor(v, set()), ()):
+                if v[0].isdigit() or roman(k[0]) == roman(v):
+                    best[k] = 1.0
+                elif not named and not k[1]:
+                    best[k] = max(best.get(k, 0.0), math.sqrt(0.6))
+            cover = np.zeros(len(self.total))
+            for k in sorted(best, key=best.get):
+                cover[self.at[k]] = best[k]
+            at = np.flatnonzero(cover)
+            self.known[v, named] = best, at, cover[at]
+        return self.known[v, named]
+
+    def bounds(self, text: str) -> np.ndarray:
+        words, names = set(tokens(text)), names_of([text])
+        own, other, total, full = np.zeros(len(self.total)), np.zeros(len(self.total)), self.total, 0.0
+        best: dict[tuple[str, bool], float] = {}
+        for v in words:
+            weight = self._weight(1, v)
+            full += weight
+            kinds, at, cover = self._of(v, v in names)
+            other[at] += weight * cover
+            for k, s in kinds.items():
+                best[k] = max(best.get(k, 0.0), s)
+        for k, s in best.items():
+            own[self.at[k]] += self.weight[k] * s
+        for v in words & names:  # a word that the target shows to be a name counts whole
+            if self.weight.get((v, False)) == UNKNOWN:
+                total = total.copy() if total is self.total else total
+                total[self.at[v, False]] += 1.0 - UNKNOWN
+                own[self.at[v, False]] += 1.0 - UNKNOWN
+        a, b = np.maximum(total, 1e-12), max(full, 1e-12)
+        return np.maximum((own + other) / (a + b), 0.75 * np.maximum(own / a, other / b))
+
+
+def _lexicon(entries) -> dict[str, dict[str, float]]:
+    lexicon: dict[str, dict[str, float]] = defaultdict(dict)
+    for e in entries if entries is not None else ():
+        lexicon[e["w"]][e["v"]] = e["d"]
+    return lexicon
+
+
+def _meet(common: dict[str, frozenset[str]]):
+    """Scores every pair of the source and the target sentences of a group that can reach LOOSE."""
+
+    def run(source: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(source) and len(target):
+            known, one = tuple(common.get(source[x][0], frozenset()) for x in ("ls", "lt")), range(1)
+            lexica = [_lexicon(e) for e in source["lex"]]
+            meeting = Meeting(list(source["text"]), {w: v for e in lexica for w, v in e.items()}, known)
+            for y, t in zip(target["id"], target["text"]):
+                for k in np.flatnonzero(meeting.bounds(t) >= LOOSE - 1e-9).tolist():
+                    unit = Unit([source["text"][k]], [t], lexica[k], known)
+                    s = max(unit.one(0, 0), 0.75 * max(unit.covered(0, 0, one), unit.covered(1, 0, one)))
+                    if s >= LOOSE:
+                        rows.append((source["g"][0], source["id"][k], y, s))
+        return pd.DataFrame(rows, columns=["g", "x", "y", "score"])
 
     return run
 
@@ -673,35 +758,72 @@ def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=["g", "x", "y", "score"])
 
 
+def _rest(side: int, common: dict[str, frozenset[str]]):
+    """How far each free sentence of a side is covered by a sentence that others hold already: by the words that they don't take."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            scores = []
+            for r in frame.itertuples():
+                own, other = [r.text, *r.holders], [r.other]
+                unit = Unit(*((other, own) if side else (own, other)), _lexicon(r.lex), (common.get(r.ls, frozenset()), common.get(r.lt, frozenset())))
+                scores.append(unit.covered(side, 0, range(1), {0: tuple(range(1, len(own)))}))
+            yield frame[["g", "f", "p", "near"]].assign(score=scores)
+
+    return run
+
+
 def _across(pairs: DataFrame, lexicon: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
-    """Rows like those of ``pairs``, one for each pair of sentences that no section paired: they meet by words that are rare among what is
-    left of the unit, wherever they stand in it."""
+    """Rows like those of ``pairs``, one for each pair of sentences that no section paired, wherever they stand in the unit.
+
+    As inside a section: all that is left of one side meets all that is left of the other, the best pairs first and each sentence once;
+    then what is still left joins pairs near it of which it renders a part. Tasks compare blocks of both sides.
+    """
     cut = pairs.withColumn("g", _unit_key())
     cut = cut.join(cut.where("sec > 0").select("g").distinct(), "g", "left_semi")
-    free = []
-    for side, own in (("src", "a"), ("tgt", "b")):
-        each = cut.select("g", "b", "u", "ls", "lt", F.explode(side).alias("s")).select("g", "b", "u", "ls", "lt", F.col("s.id").alias("id"), F.col("s.text").alias("text")).distinct()
-        free.append(each.join(cut.select("g", F.explode("pairs").alias("p")).select("g", F.col(f"p.{own}").alias("id")), ["g", "id"], "left_anti"))
+    held = cut.select("g", F.explode("pairs").alias("p")).select("g", F.col("p.a").alias("x"), F.col("p.b").alias("y"))
+    unit = ["g", "b", "u", "ls", "lt"]
+    said = [cut.select(*unit, F.explode(side).alias("s")).select(*unit, "s.id", "s.text").distinct() for side in ("src", "tgt")]
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            rows = [(r.g, r.ls, r.lt, r.id, w, kind) for r in frame.itertuples() for t in [tokens(r.text)] for kind, ws in (("w", set(t)), ("a", anchors(t, set()))) for w in ws]
-            yield pd.DataFrame(rows, columns=["g", "ls", "lt", "id", "w", "kind"])
-
-    said = [f.select("g", "ls", "lt", "id", "text").mapInPandas(words, "g string, ls string, lt string, id long, w string, kind string") for f in free]
-    known = said[0].where("kind = 'w'").join(lexicon, ["ls", "lt", "w"])
-    keys = [known.select("g", "id", F.col("v").alias("w"), "kind").unionByName(said[0].where("kind = 'a'").select("g", "id", "w", "kind")).distinct(), said[1].select("g", "id", "w", "kind")]
-    seldom = [k.groupBy("g", "w", "kind").agg(F.count("*").alias("n")).where(f"n <= {SELDOM}").drop("n") for k in keys]
-    left, right = (k.join(seldom[0], ["g", "w", "kind"]).join(seldom[1], ["g", "w", "kind"]).withColumnRenamed("id", c) for k, c in zip(keys, "xy"))
-    met = left.join(right, ["g", "w", "kind"]).select("g", "x", "y").distinct()
-    lex = known.groupBy("g", F.col("id").alias("x")).agg(F.collect_list(F.struct("w", "v", "d")).alias("lex"))
-    source = free[0].select("g", "b", "u", "ls", "lt", F.col("id").alias("x"), F.col("text").alias("s"))
-    target = free[1].select("g", F.col("id").alias("y"), F.col("text").alias("t"))
-    scored = met.join(source, ["g", "x"]).join(target, ["g", "y"]).join(lex, ["g", "x"], "left").select("g", "x", "y", "ls", "lt", "s", "t", "lex")
-    best = scored.mapInPandas(_scorer(common), "g string, x long, y long, score double").where(f"score >= {LOOSE}").groupBy("g").applyInPandas(_greedy, "g string, x long, y long, score double")
+            rows = [(r.g, r.ls, r.lt, r.id, w) for r in frame.itertuples() for w in set(tokens(r.text))]
+            yield pd.DataFrame(rows, columns=["g", "ls", "lt", "id", "w"])
+
+    known = said[0].select("g", "ls", "lt", "id", "text").mapInPandas(words, "g string, ls string, lt string, id long, w string").distinct().join(lexicon, ["ls", "lt", "w"])
+    lex = known.groupBy("g", "id").agg(F.collect_list(F.struct("w", "v", "d")).alias("lex"))
+    said = [said[0].join(lex, ["g", "id"], "left"), said[1].withColumn("lex", F.lit(None).cast("array<struct<w: string, v: string, d: double>>"))]
+    left = lambda side, held: said[side].join(held.select("g", F.col("xy"[side]).alias("id")), ["g", "id"], "left_anti")
+
+    free = [left(side, held) for side in (0, 1)]
+    blocks = [f.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n)) for f, n in zip(free, ("nx", "ny"))]
+    blocks = blocks[0].join(blocks[1], "g")
+    own, every = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    source = free[0].join(blocks, "g").select("g", own("nx").alias("kx"), every("ny").alias("ky"), "ls", "lt", "id", "text", "lex")
+    target = free[1].join(blocks, "g").select(F.col("g").alias("g"), every("nx").alias("kx"), own("ny").alias("ky"), "id", "text")
+    met = source.groupBy("g", "kx", "ky").cogroup(target.groupBy("g", "kx", "ky")).applyInPandas(_meet(common), "g string, x long, y long, score double")
+    found = cut_lineage(met.groupBy("g").applyInPandas(_greedy, "g string, x long, y long, score double"))
+    held = held.unionByName(found.drop("score"))
+
+    for side, array in ((1, "tgt"), (0, "src")):
+        f, p = "xy"[side], "xy"[1 - side]
+        places = cut.select("g", "sec", F.posexplode(array).alias("k", "s")).groupBy("g", F.col("s.id").alias("f")).agg(F.min(F.struct("sec", "k")).alias("at"))
+        places = places.select("g", "f", F.row_number().over(Window.partitionBy("g").orderBy("at", "f")).alias("at"))
+        near = held.join(places.withColumnRenamed("f", f), ["g", f]).select("g", F.col(p).alias("p"), "at", F.explode(F.array(*[F.lit(d) for d in range(-NEXT, NEXT + 1) if d])).alias("d"))
+        near = near.select("g", "p", (F.col("at") + F.col("d")).alias("at"), F.abs("d").alias("near")).join(places, ["g", "at"]).groupBy("g", "f", "p").agg(F.min("near").alias("near"))
+        near = near.join(left(side, held).select("g", F.col("id").alias("f"), "ls", "lt", "text", F.col("lex").alias("lex_f")), ["g", "f"])
+        near = near.join(said[1 - side].select("g", F.col("id").alias("p"), F.col("text").alias("other"), F.col("lex").alias("lex_p")), ["g", "p"])
+        holders = held.join(said[side].withColumnRenamed("id", f), ["g", f]).groupBy("g", F.col(p).alias("p")).agg(F.collect_list("text").alias("holders"), F.flatten(F.collect_list("lex")).alias("lex_h"))
+        entries = F.concat(*[F.coalesce(f"lex_{x}", F.array()) for x in "fph"])
+        rest = near.join(holders, ["g", "p"]).select("g", "f", "p", "near", "ls", "lt", "text", "other", "holders", entries.alias("lex"))
+        rest = rest.mapInPandas(_rest(side, common), "g string, f long, p long, near int, score double").where(f"score >= {REST}")
+        best = rest.groupBy("g", "f").agg(F.max(F.struct("score", (-F.col("near")).alias("near"), "p")).alias("best"))
+        found = found.unionByName(best.select("g", F.col("f").alias(f), F.col("best.p").alias(p), "best.score"))
+
     one = lambda i, t: F.array(F.struct(F.col(i).alias("id"), F.col(t).alias("text")))
-    found = F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b"), "score"))
-    return best.join(source, ["g", "x"]).join(target, ["g", "y"]).select("b", "u", F.lit(-1).alias("sec"), "ls", "lt", one("x", "s").alias("src"), one("y", "t").alias("tgt"), found.alias("pairs"))
+    pair = F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b"), "score"))
+    found = found.join(said[0].select(*unit, F.col("id").alias("x"), F.col("text").alias("s")), ["g", "x"]).join(said[1].select("g", F.col("id").alias("y"), F.col("text").alias("t")), ["g", "y"])
+    return found.select("b", "u", F.lit(-1).alias("sec"), "ls", "lt", one("x", "s").alias("src"), one("y", "t").alias("tgt"), pair.alias("pairs"))
 
 
 def _settled(pairs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pandas as pd
+
 from corpusflow.llm import alignment as A
 
 
@@ -132,6 +134,61 @@ def test_target_in_two_sections_keeps_the_better_one(spark):
     assert sorted((r.sec, p.a, p.b) for r in A._settled(df).collect() for p in r.pairs) == [(0, 4, 12), (1, 5, 11), (1, 5, 12)]
 
 
+def across(spark, sections, words=WORDS):
+    """Pairs across sections of one unit; ``sections`` have source and target sentences by id, and pairs."""
+    data = [(None, "u", k, "en", "de", list(src.items()), list(tgt.items()), pairs) for k, (src, tgt, pairs) in enumerate(sections)]
+    lexicon = spark.createDataFrame([("en", "de", a, b, 0.9) for a, b in words.items()], "ls string, lt string, w string, v string, d double")
+    got = [(p.a, p.b) for r in A._across(spark.createDataFrame(data, f"{A._UNIT}, pairs {A._PAIRS}"), lexicon, {}).collect() for p in r.pairs]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_across_without_rare_words(spark, monkeypatch):
+    s = dict(enumerate(both(x) for x in itertools.combinations(sorted(WORDS), 4)))  # 210, each word in 84 of them
+    half = lambda side, low, high: {1000 * side + k: s[k][side] for k in range(low, high)}
+    sections = [(half(0, 0, 100), half(1, 100, 210), []), (half(0, 100, 210), half(1, 0, 100), [])]
+    monkeypatch.setattr(A, "BLOCK", 60, raising=False)
+    assert across(spark, sections) == {(k, 1000 + k) for k in s}
+
+
+def test_across_pairs_all_parts(spark):
+    words = {f"{c}ol": f"un{c}a" for c in "bdfghklmnprstvae"}
+    a, b, c, d = itertools.batched(words.items(), 4)
+    part = lambda x, side: " ".join(w[side] for w in x).capitalize() + "."
+    whole = lambda x, y, side: part(x + y, side)
+    source = {1: whole(a, b, 0), 2: "He went.", 3: part(c, 0), 4: part(d, 0)}
+    target = {11: whole(c, d, 1), 12: "Er ging.", 13: part(a, 1), 14: part(b, 1)}
+    first, second = ({k: x for k, x in side.items() if k % 10 < 3} for side in (source, target))
+    rest = [{k: x for k, x in side.items() if k % 10 > 2} for side in (source, target)]
+    assert across(spark, [(first, second, [(2, 12, 0.5)]), (*rest, [])], words) == {(1, 13), (1, 14), (3, 11), (4, 11)}
+    # A part whose other part was paired in its section.
+    assert across(spark, [(first, rest[1], [(1, 13, 0.6)]), (rest[0], second, [(3, 11, 0.6)])], words) == {(1, 14), (4, 11)}
+
+
+def test_meeting_against_brute_force():
+    rnd = random.Random(11)
+    lex = {**{a: {b: 0.8, "boot": 0.3} for a, b in list(WORDS.items())[:6]}, "moskva": {"москва": 0.5}}
+    said = ["nation", "nationen", "Nation", "moskva", "Moskva", "Anna", "anna", "17", "1,7", "to", "the", "tree", "nature", *WORDS]
+    heard = ["nation", "nationale", "National", "Nation", "москва", "Москва", "anna", "Анна", "Anna", "17", "to", "der", "tree", "Tree", *WORDS.values()]
+    common = {"en": frozenset({"the"}), "de": frozenset({"der"})}
+    for _ in range(30):
+        source, target = [[" ".join(rnd.choice(ws) for _ in range(rnd.randint(0, 6))) for _ in range(25)] for ws in (said, heard)]
+        lexica = [{w: lex[w] for w in A.tokens(t) if w in lex} for t in source]
+        entries = [[{"w": w, "v": v, "d": d} for w, x in e.items() for v, d in x.items()] for e in lexica]
+        bounds, truth, one = A.Meeting(source, lex, (common["en"], common["de"])), {}, range(1)
+        for j, t in enumerate(target):
+            most = bounds.bounds(t)
+            for i, x in enumerate(source):
+                u = A.Unit([x], [t], lexica[i], (common["en"], common["de"]))
+                s = max(u.one(0, 0), 0.75 * max(u.covered(0, 0, one), u.covered(1, 0, one)))
+                assert s <= most[i] + 1e-9, (x, t)
+                if s >= A.LOOSE:
+                    truth[i, j] = s
+        frames = [pd.DataFrame({"g": "u", "ls": "en", "lt": "de", "id": range(25), "text": texts, "lex": entries}) for texts in (source, target)]
+        got = {(r.x, r.y): r.score for r in A._meet(common)(*frames).itertuples()}
+        assert got == truth and truth
+
+
 def naive_gap(unit, n, m):
     """The best beads by trying every one that ends at every place, one by one."""
     best = {(0, 0): (0.0, None)}
